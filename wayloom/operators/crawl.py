@@ -64,8 +64,9 @@ def crawl(
     """section, path, depth_level of every page within ``max_depth`` links of a section.
 
     ``items`` has the shape of ``CONTENT_ITEMS``, ``sections`` that of ``SECTIONS``. With a
-    ``state`` folder that holds earlier snapshots the walk goes on from the deepest one,
-    over the items and sections saved there.
+    ``state`` folder the walk saves a snapshot at every level that brings the pages since the
+    last one to ``snapshot_every``, and one at its end; where the folder holds snapshots it
+    goes on from the deepest one, over the items and sections saved there.
     """
     if owner not in OWNERS:
         raise ValueError(f"owner must be one of {OWNERS}")
@@ -73,7 +74,10 @@ def crawl(
         raise ValueError("snapshot_every must be at least 1")
     spark = items.sparkSession
     store = CrawlState(spark, state or fresh_dir(spark, "crawl"))
-    last = store.last_snapshot()
+    last = None
+    if state:
+        store.open()
+        last = store.last_snapshot()
     if last and last.owner != owner:
         raise ValueError(f"the state in {store.path} was made with owner={last.owner}")
 
@@ -84,32 +88,28 @@ def crawl(
         links, addresses, roots = (
             store.load(name, rows.schema) for name, rows in (("links", links), ("addresses", addresses), ("roots", roots))
         )
-        depth, saved_pages = last.depth, last.pages_processed
+        depth, fresh, pages, saved_pages = last.depth, None, last.pages_processed, last.pages_processed
     else:
         links, addresses, roots = (
             store.save(name, rows) for name, rows in (("links", links), ("addresses", addresses), ("roots", roots))
         )
-        store.save_level(0, _root_level(roots, addresses))
         depth, saved_pages = 0, 0
+        fresh, pages = store.save_level(0, _root_level(roots, addresses))
 
     graph = balance_links(links, addresses, store, bucket_rows)
     try:
         while True:
-            if not last or depth > last.depth:
-                fresh, pages, covered = _progress(store, depth)
-                ending = fresh == 0 or depth >= max_depth
-                if ending or snapshot_due(saved_pages, pages, snapshot_every):
-                    store.save_snapshot(depth, pages, covered, owner, snapshot_every)
-                    saved_pages = pages
-                if ending:
-                    break
-            elif depth >= max_depth:
+            ending = fresh == 0 or depth >= max_depth
+            due = ending or snapshot_due(saved_pages, pages, snapshot_every)
+            if state and due and (last is None or depth > last.depth):
+                store.save_snapshot(depth, owner, snapshot_every)
+                saved_pages = pages
+            if ending:
                 break
-            store.save_level(
-                depth + 1,
-                next_level(store.levels(depth, depth), store.levels(0, depth), graph, owner == "first_section"),
-            )
+            found = next_level(store.levels(depth, depth), store.levels(0, depth), graph, owner == "first_section")
             depth += 1
+            fresh, new_pages = store.save_level(depth, found)
+            pages += new_pages
     finally:
         graph.release()
 
@@ -188,16 +188,6 @@ def _root_level(roots: DataFrame, addresses: DataFrame) -> DataFrame:
     )
 
 
-def _progress(store: CrawlState, depth: int) -> tuple[int, int, int]:
-    """Rows of this level, pages so far, sections so far."""
-    row = (
-        store.levels(0, depth)
-        .agg(F.count_if(F.col("depth") == depth), F.count_if("is_new"), F.count_distinct("ord"))
-        .first()
-    )
-    return row[0], row[1], row[2]
-
-
 def _owned_pages(levels: DataFrame, owner: str) -> DataFrame:
     if owner == "nearest":
         return levels.select("path", "ord", F.col("depth").alias("depth_level"))

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions.content import is_followable, link_lists, related_links
+from wayloom.functions.content import is_followable, related_links
 
 
 def link_edges(items: DataFrame) -> DataFrame:
     """One row per link that has a target: src, link_type, pos, dst."""
-    lists = items.select(
-        F.col("base_path").alias("src"), "part", F.explode(link_lists(F.col("links"))).alias("entry")
-    )
-    placed = lists.select(
-        "src", "part", F.col("entry.key").alias("link_type"), F.posexplode("entry.value").alias("index", "link")
-    )
+    lists = items.select(F.col("base_path").alias("src"), "part", F.explode("links").alias("link_type", "entries"))
+    placed = lists.select("src", "part", "link_type", F.posexplode("entries").alias("index", "link"))
     return placed.filter(F.col("link.base_path").isNotNull()).select(
         "src", "link_type", link_position(F.col("part"), F.col("index")).alias("pos"),
         F.col("link.base_path").alias("dst"),
@@ -36,13 +32,12 @@ def link_counts(items: DataFrame) -> DataFrame:
 
 
 def followable_edges(items: DataFrame) -> DataFrame:
-    """src, dst of the links worth following (F1), copies within one row removed."""
-    targets = F.array_distinct(related_links(F.col("links")))
-    return (
-        items.filter(F.coalesce("base_path", F.lit("")) != "")
-        .select(F.col("base_path").alias("src"), F.explode(targets).alias("dst"))
-        .filter(is_followable(F.col("dst")))
+    """src, dst of the links worth following (F1). Copies stay; the walk merges them."""
+    lists = items.filter(F.coalesce("base_path", F.lit("")) != "").select(
+        F.col("base_path").alias("src"), F.explode("links").alias("link_type", "entries")
     )
+    targets = lists.select("src", F.inline("entries")).select("src", F.col("base_path").alias("dst"))
+    return targets.filter(is_followable(F.col("dst")))
 
 
 def followable_links(items: DataFrame) -> DataFrame:

@@ -83,31 +83,35 @@ def section_priority(spark, sf_dir):
 
 
 def section_sample(spark, sf_dir):
-    return sections.section_sample(inputs.sections(spark, sf_dir), inputs.items(spark, sf_dir))
+    source = inputs.items(spark, sf_dir)
+    return sections.section_sample(sections.section_catalogue(source), source)
 
 
 def section_children(spark, sf_dir):
-    return sections.section_children(inputs.sections(spark, sf_dir), inputs.items(spark, sf_dir))
+    source = inputs.items(spark, sf_dir)
+    return sections.section_children(sections.section_catalogue(source), source)
 
 
 # The walk
 
+def _crawl(spark, sf_dir, *, max_depth=MAX_DEPTH, **options):
+    source = inputs.items(spark, sf_dir)
+    return walk.crawl(source, sections.section_catalogue(source), max_depth=max_depth, **options)
+
+
 def crawl_pages(spark, sf_dir):
-    return walk.crawl(inputs.items(spark, sf_dir), inputs.sections(spark, sf_dir), max_depth=MAX_DEPTH)
+    return _crawl(spark, sf_dir)
 
 
 def crawl_nearest(spark, sf_dir):
-    return walk.crawl(
-        inputs.items(spark, sf_dir), inputs.sections(spark, sf_dir), max_depth=MAX_DEPTH, owner="nearest"
-    )
+    return _crawl(spark, sf_dir, owner="nearest")
 
 
 def crawl_resumed(spark, sf_dir):
     """Two levels first, then the rest from the saved state."""
     state = fresh_dir(spark, "state")
-    source, catalogue = inputs.items(spark, sf_dir), inputs.sections(spark, sf_dir)
-    walk.crawl(source, catalogue, max_depth=2, state=state)
-    return walk.crawl(source, catalogue, max_depth=MAX_DEPTH, state=state)
+    _crawl(spark, sf_dir, max_depth=2, state=state)
+    return _crawl(spark, sf_dir, state=state)
 
 
 # The page table

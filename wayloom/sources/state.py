@@ -7,7 +7,7 @@ says rounds 0 to k are whole. A round without its snapshot is written again on r
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = "path STRING, ord INT, is_new BOOLEAN, depth INT"
@@ -27,26 +27,44 @@ class CrawlState:
     def load(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def save_level(self, depth: int, rows: DataFrame) -> None:
-        rows.select("path", "ord", "is_new").write.mode("overwrite").parquet(f"{self.path}/levels/depth={depth}")
+    def save_level(self, depth: int, rows: DataFrame) -> tuple[int, int]:
+        """Write one round; returns its rows and how many of them are pages not met before.
+
+        Both counts come with the write itself. They are taken above the last shuffle,
+        where a task that runs again counts once.
+        """
+        counts = Observation()
+        (
+            rows.select("path", "ord", "is_new")
+            .observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if("is_new").alias("pages"))
+            .write.mode("overwrite")
+            .parquet(f"{self.path}/levels/depth={depth}")
+        )
+        return counts.get["rows"], counts.get["pages"]
 
     def levels(self, first: int, last: int) -> DataFrame:
         """Pages of the rounds ``first`` to ``last``; other rounds are not read."""
         return self.load("levels", LEVELS).filter(F.col("depth").between(first, last))
 
-    def save_snapshot(self, depth: int, pages: int, sections: int, owner: str, interval: int) -> None:
-        row = self.spark.range(1).select(
-            F.lit(pages).cast("bigint").alias("pages_processed"),
-            F.lit(sections).cast("bigint").alias("sections_covered"),
-            F.lit(pages // interval).cast("bigint").alias("snapshots_due"),
+    def save_snapshot(self, depth: int, owner: str, interval: int) -> None:
+        pages = F.count_if("is_new")
+        row = self.levels(0, depth).agg(
+            pages.alias("pages_processed"),
+            F.count_distinct("ord").alias("sections_covered"),
+            F.floor(pages / F.lit(interval)).alias("snapshots_due"),
             F.lit(owner).alias("owner"),
         )
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/depth={depth}")
+        row.write.mode("overwrite").parquet(f"{self.path}/snapshots/depth={depth}")
+
+    def open(self) -> None:
+        """Make the folder readable before its first snapshot; changes nothing later on."""
+        names = [f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in SNAPSHOTS.split(", ")[:-1])]
+        self.spark.range(0, 1, 1, 1).selectExpr(*names).write.mode("ignore").parquet(f"{self.path}/snapshots/depth=-1")
 
     def snapshots(self) -> DataFrame | None:
-        """All snapshots, or None where the folder holds no state."""
+        """One row per snapshot, or None where the folder holds no state."""
         try:
-            return self.load("snapshots", SNAPSHOTS)
+            return self.load("snapshots", SNAPSHOTS).filter(F.col("depth") >= 0)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
