@@ -48,11 +48,11 @@ def test_stream_equals_batch(spark, sf_dir):
     first = live.start_progress(live.read_page_events(spark, source, 1), target, heartbeat=None)
     first.awaitTermination()
     assert build.rows(progress.metrics_from_cells(live.latest_cells(spark, target))) == build.rows(
-        progress.metrics_from_cells(progress.progress_cells(batch)))
+        progress.metrics_from_cells(progress.live_cells(batch)))
     # More events arrive; a restarted stream goes on from its saved state.
     more = batch.limit(50).cache()
     more.write.mode("append").parquet(source)
     live.start_progress(live.read_page_events(spark, source), target, heartbeat=None).awaitTermination()
     assert build.rows(progress.metrics_from_cells(live.latest_cells(spark, target))) == build.rows(
-        progress.metrics_from_cells(progress.progress_cells(batch.unionByName(more))))
+        progress.metrics_from_cells(progress.live_cells(batch.unionByName(more))))
     more.unpersist()

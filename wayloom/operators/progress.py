@@ -6,23 +6,47 @@ stream keeps the same cells as its state, so batch and live figures share one de
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.times import duration_text
 
 
 def progress_cells(events: DataFrame) -> DataFrame:
-    """Counters per content type and depth; works on a batch and on a stream."""
-    return events.groupBy("content_type", "depth").agg(
+    """Counters per content type and depth; works on a batch and on a stream.
+
+    All counters have a fixed width, so Spark aggregates them by hash, without a sort.
+    """
+    return events.groupBy("content_type", "depth").agg(*_counters())
+
+
+def live_cells(events: DataFrame) -> DataFrame:
+    """The cells with the ``latest`` event of each, which a stream has to carry along."""
+    latest = F.max(F.when(F.col("section").isNotNull(), F.struct("event_time", "event_id", "section")))
+    return events.groupBy("content_type", "depth").agg(*_counters(), latest.alias("latest"))
+
+
+def _counters() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("pages"),
         F.sum("links_found").alias("links"),
         F.count_if("rate_limited").alias("rate_limit_hits"),
         F.count_if("section_started").alias("sections"),
         F.min("event_time").alias("first_time"),
         F.max("event_time").alias("last_time"),
-        F.max(F.when(F.col("section").isNotNull(), F.struct("event_time", "event_id", "section"))).alias("latest"),
+    ]
+
+
+def _with_latest(cells: DataFrame, events: DataFrame) -> DataFrame:
+    """Batch cells and one more row that holds the latest event only."""
+    newest = (
+        events.filter(F.col("section").isNotNull())
+        .select("event_time", "event_id", "section")
+        .orderBy(F.desc("event_time"), F.desc("event_id"))
+        .limit(1)
+        .select(F.struct("event_time", "event_id", "section").alias("latest"))
     )
+    return cells.unionByName(newest, allowMissingColumns=True)
 
 
 def status_from_cells(cells: DataFrame) -> DataFrame:
@@ -59,7 +83,7 @@ def metrics_from_cells(cells: DataFrame) -> DataFrame:
 
 
 def scan_progress(events: DataFrame) -> DataFrame:
-    return status_from_cells(progress_cells(events))
+    return status_from_cells(_with_latest(progress_cells(events), events))
 
 
 def progress_by_type(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions.scoring import complexity_score, staleness_score
 from wayloom.functions.times import iso_text
-from wayloom.operators.trends import instant, primary_owner, section_trends, top_content_types, top_publishers
+from wayloom.operators.trends import instant, join_trends, section_trends, top_content_types, top_publishers
 
 UNKNOWN_TITLE = "Unknown Section"
 REPORT_TITLE = "Content Mapping Report"
@@ -31,13 +31,15 @@ def complexity_scores(pages: DataFrame, sections: DataFrame, as_of: str | Column
 
 def section_report(pages: DataFrame, sections: DataFrame, as_of: str | Column) -> DataFrame:
     """One flat row per section: trends, both scores and the primary owner."""
-    titles = sections.select(F.col("path").alias("section"), F.coalesce("title", F.lit(UNKNOWN_TITLE)).alias("section_title"))
-    owner = primary_owner(pages, sections).select(
+    titles = sections.select(
+        F.col("path").alias("section"), F.coalesce("title", F.lit(UNKNOWN_TITLE)).alias("section_title")
+    )
+    owner = top_publishers(pages, 1).select(
         "section", F.col("publishing_org").alias("primary_owner"), F.col("n").alias("primary_owner_pages")
     )
     return (
-        titles.join(section_trends(pages, sections, as_of), "section")
-        .join(owner, "section")
+        join_trends(titles, pages, as_of)
+        .join(owner, "section", "left")
         .select(
             "section", "section_title",
             iso_text(instant(as_of)).alias("analysis_timestamp"),

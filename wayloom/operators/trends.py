@@ -7,6 +7,8 @@ table cost about one scan of it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,21 +110,24 @@ def primary_owner(pages: DataFrame, sections: DataFrame) -> DataFrame:
     return sections.select(F.col("path").alias("section")).join(first, "section", "left")
 
 
+def join_trends(sections: DataFrame, pages: DataFrame, as_of: str | Column) -> DataFrame:
+    """``sections``, which has a column ``section``, with the figures of all four analyses.
+
+    Sections are read once and keep their other columns; those without pages get zeros.
+    """
+    figures = (update_patterns(pages, as_of), content_type_totals(pages), depth_metrics(pages), org_totals(pages))
+    joined = reduce(lambda left, right: left.join(right, "section", "left"), figures, sections)
+    counts = ("total_updates", "total_types", "max_depth", "total_organisations")
+    no_updates = F.coalesce("total_updates", F.lit(0)) == 0
+    return joined.withColumns(
+        {
+            **{name: F.coalesce(name, F.lit(0)) for name in counts},
+            "average_depth": F.coalesce("average_depth", F.lit(0.0)),
+            "error": F.when(no_updates, F.lit(NO_UPDATES)),
+        }
+    )
+
+
 def section_trends(pages: DataFrame, sections: DataFrame, as_of: str | Column) -> DataFrame:
     """One row per section with the four analyses; empty sections too."""
-    zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
-    return (
-        sections.select(F.col("path").alias("section"))
-        .join(update_patterns(pages, as_of), "section", "left")
-        .join(content_type_totals(pages), "section", "left")
-        .join(depth_metrics(pages), "section", "left")
-        .join(org_totals(pages), "section", "left")
-        .select(
-            "section", "oldest_update", "newest_update",
-            zero("total_updates"), "average_age_days", "newest_age_days",
-            F.when(F.coalesce("total_updates", F.lit(0)) == 0, F.lit(NO_UPDATES)).alias("error"),
-            zero("total_types"), zero("max_depth"),
-            F.coalesce("average_depth", F.lit(0.0)).alias("average_depth"),
-            zero("total_organisations"),
-        )
-    )
+    return join_trends(sections.select(F.col("path").alias("section")), pages, as_of)

@@ -5,36 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.operators.crawl import crawl
-from wayloom.operators.pages import build_pages
-from wayloom.operators.sections import require_sections, section_catalogue
-from wayloom.session import fresh_dir
+from wayloom.plans.scan import scan
 from wayloom.sources import testdata
 
 AS_OF = "2024-02-01 00:00:00"
 MAX_DEPTH = 5
 
-_stored: dict[tuple[str, str], str] = {}
+_scans: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testdata.content_items(spark, sf_dir)
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section_catalogue(items(spark, sf_dir))
+def site(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All tables of the scan of every section; catalogue and pages are stored on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _scans:
+        _scans[key] = scan(
+            items(spark, sf_dir), as_of=AS_OF, max_depth=MAX_DEPTH, detail="detailed",
+            fetch_log=testdata.fetch_log(spark, sf_dir),
+        )
+    return _scans[key]
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page table of the whole walk, stored below the shared folder on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        source = items(spark, sf_dir)
-        crawled = crawl(source, require_sections(section_catalogue(source)), max_depth=MAX_DEPTH)
-        path = fresh_dir(spark, "pages")
-        build_pages(crawled, source, MAX_DEPTH).write.parquet(path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+    return site(spark, sf_dir)["pages"]
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site(spark, sf_dir)["catalogue"]
 
 
 def event_sections(spark: SparkSession, sf_dir: str) -> DataFrame:

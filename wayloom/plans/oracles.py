@@ -227,13 +227,23 @@ OUTCOME = """CASE WHEN event_id % 20 = 3 THEN 'Request timed out' WHEN event_id
   WHEN event_id % 20 = 2 THEN 'HTTP 500'
   WHEN event_id % 20 = 5 OR NOT json_valid(props) THEN 'Invalid JSON response from API' ELSE 'ok' END"""
 
-REPORT = f"""
+def _report(types: str) -> str:
+    return f"""
 SELECT CAST(unnest(range(1, 14)) AS INTEGER) AS line_no, unnest([
   'Content Mapping Report', repeat('=', 30), 'Generated: ' || {_iso(NOW)}, 'Duration: ' || scan_duration, '',
   'Summary', repeat('-', 7), 'Sections analyzed: ' || sections_analyzed, 'Total links found: ' || total_links_found,
   'Rate limit hits: ' || rate_limit_hits, '', 'Content Types', repeat('-', 12)]) AS line
 FROM progress
-UNION ALL SELECT 14, content_type || ': ' || count(*) FROM page_events GROUP BY content_type"""
+UNION ALL SELECT 14, content_type || ': ' || count(*) FROM {types} GROUP BY content_type"""
+
+
+SITE_PROGRESS = f"""
+progress AS (
+  SELECT (SELECT count(DISTINCT section) FROM site) AS sections_analyzed,
+    (SELECT count(*) FROM site) AS total_links_found,
+    (SELECT count(*) FROM events WHERE event_id % 20 = 1) AS rate_limit_hits, {DURATION} AS scan_duration
+  FROM (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events)
+)"""
 
 METRICS = """
 SELECT 'sections_analyzed' AS metric, '' AS item, sections_analyzed AS n FROM totals
@@ -299,7 +309,8 @@ def all_oracles() -> dict[str, str]:
         "scan_duration": f"""SELECT section, {DURATION} AS scan_duration FROM (
           SELECT CAST(user_id AS VARCHAR) AS section, epoch_us(max(ts)) - epoch_us(min(ts)) AS us
           FROM events GROUP BY user_id)""",
-        "report_lines": f"{progress} {REPORT}",
+        "report_lines": f"{progress} {_report('page_events')}",
+        "site_report_lines": f"{site}, {SITE_PROGRESS} {_report('site')}",
         "progress_stream": f"{progress} {METRICS}",
     }
     for name, (ctes, final) in _over_site().items():

@@ -15,6 +15,7 @@ from wayloom.operators import crawl as walk
 from wayloom.operators import frontier, links, pages, progress, rates, report, sections, trends
 from wayloom.plans import inputs
 from wayloom.plans.inputs import AS_OF, MAX_DEPTH
+from wayloom.plans.scan import choose_sections, sample
 from wayloom.session import fresh_dir
 from wayloom.sources import items, testdata
 from wayloom.streaming import progress as live
@@ -71,25 +72,24 @@ def section_of_path(spark, sf_dir):
 # Sections
 
 def section_catalogue(spark, sf_dir):
-    return sections.require_sections(inputs.sections(spark, sf_dir))
+    return sections.require_sections(sections.section_catalogue(inputs.items(spark, sf_dir)))
 
 
 def select_sections(spark, sf_dir):
-    return sections.select_sections(inputs.sections(spark, sf_dir), CHOSEN_SECTIONS)
+    return choose_sections(inputs.items(spark, sf_dir), CHOSEN_SECTIONS)
 
 
 def section_priority(spark, sf_dir):
-    return sections.prioritise_sections(inputs.sections(spark, sf_dir), PREFERRED_SECTIONS)
+    catalogue = sections.section_catalogue(inputs.items(spark, sf_dir))
+    return sections.prioritise_sections(catalogue, PREFERRED_SECTIONS)
 
 
 def section_sample(spark, sf_dir):
-    source = inputs.items(spark, sf_dir)
-    return sections.section_sample(sections.section_catalogue(source), source)
+    return sample(inputs.items(spark, sf_dir))["samples"]
 
 
 def section_children(spark, sf_dir):
-    source = inputs.items(spark, sf_dir)
-    return sections.section_children(sections.section_catalogue(source), source)
+    return sample(inputs.items(spark, sf_dir))["children"]
 
 
 # The walk
@@ -228,6 +228,11 @@ def report_lines(spark, sf_dir):
     return report.report_lines(progress.scan_progress(events), progress.progress_by_type(events), AS_OF)
 
 
+def site_report_lines(spark, sf_dir):
+    """The text report of the whole scan, with refusals and duration from the fetch log."""
+    return inputs.site(spark, sf_dir)["lines"]
+
+
 def progress_stream(spark, sf_dir):
     """The counters of the whole event table, kept by a stream over its stored files."""
     source, target = fresh_dir(spark, "events"), fresh_dir(spark, "progress")
@@ -245,7 +250,8 @@ def all_queries() -> dict[str, Query]:
         page_table, section_rollup, scan_metadata, exclude_types, export_pages_flat,
         url_priority, frontier_new, next_batch, frontier_batches,
         classify_fetches, rate_audit, rate_audit_hourly,
-        scan_progress, progress_by_type, progress_by_depth, scan_duration, report_lines, progress_stream,
+        scan_progress, progress_by_type, progress_by_depth, scan_duration, report_lines,
+        site_report_lines, progress_stream,
     ]
     registry: dict[str, Query] = {query.__name__: query for query in named}
     for name, operator in {

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.schemas import LINK, LINKS
+from wayloom.schemas import LINKS
 
 ROOT = "/browse"
 
@@ -36,21 +36,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _link(target: str = "NULL", title: str = "NULL") -> str:
-    return f"CAST(named_struct('title', {title}, 'base_path', {target}) AS {LINK})"
+_ABSENT = "CAST(NULL AS STRING)"
+
+
+def _link(target: str = _ABSENT, title: str = _ABSENT) -> str:
+    return f"named_struct('title', {title}, 'base_path', {target})"
 
 
 def _links(**lists: list[str]) -> str:
     entries = ", ".join(f"'{name}', array({', '.join(links)})" for name, links in lists.items())
-    return f"CAST({f'map({entries})' if lists else 'NULL'} AS {LINKS})"
+    return f"map({entries})" if lists else f"CAST(NULL AS {LINKS})"
 
 
 def _head(source: str, path: str, title: str, body: str, kind: str, links: str | None = None,
           updated_at: str = "''", requested: str | None = None) -> str:
     """The item's own document."""
     return f"""SELECT {requested or path} AS requested_path, {path} AS base_path, {title} AS title, {body} AS body,
-        '{kind}' AS document_type, CAST(NULL AS STRING) AS schema_name, {updated_at} AS updated_at,
-        {links or _links()} AS links, CAST(NULL AS STRING) AS error, 0L AS part FROM {source}"""
+        '{kind}' AS document_type, {_ABSENT} AS schema_name, {updated_at} AS updated_at,
+        {links or _links()} AS links, {_ABSENT} AS error, 0L AS part FROM {source}"""
 
 
 def _more(source: str, path: str, links: str, position: str, requested: str | None = None) -> str:

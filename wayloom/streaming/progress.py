@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from wayloom.operators.progress import progress_cells
+from wayloom.operators.progress import live_cells
 from wayloom.schemas import PAGE_EVENTS
 
 HEARTBEAT = "60 seconds"
@@ -30,7 +30,7 @@ def start_progress(events: DataFrame, path: str, *, heartbeat: str | None = HEAR
         cells.write.mode("overwrite").parquet(f"{path}/cells/batch={batch}")
 
     writer = (
-        progress_cells(events)
+        live_cells(events)
         .writeStream.outputMode("complete")
         .option("checkpointLocation", f"{path}/checkpoint")
         .foreachBatch(write)
