@@ -5,13 +5,13 @@ from __future__ import annotations
 from wayloom.schemas import CONTENT_ITEMS, FETCH_LOG, PAGE_EVENTS, PAGES, SECTIONS
 
 COLUMNS = ("requested_path", "base_path", "title", "body", "document_type", "schema_name", "updated_at", "links",
-           "error", "part")
+           "error", "list_from")
 
 
-def item(path, to=(), *, kind="related", requested=None, part=0, **fields):
+def item(path, to=(), *, kind="related", requested=None, **fields):
     """One content item whose links go to ``to``."""
     row = {"requested_path": requested or path, "base_path": path, "title": "T", "body": "B",
-           "document_type": "guide", "updated_at": "", "part": part}
+           "document_type": "guide", "updated_at": ""}
     row["links"] = {kind: [(None, target) for target in to]} if to else None
     row.update(fields)
     return tuple(row.get(name) for name in COLUMNS)

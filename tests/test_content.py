@@ -59,7 +59,7 @@ def test_related_links_stop_at_depth_limit(spark):
 def test_link_positions_run_over_parts(spark):
     frame = build.items(spark, [
         build.item("/a", ["/x", "/y"]),
-        build.item("/a", ["/z", "/w"], part=3),
+        build.item("/a", ["/z", "/w"], list_from=2),
     ])
     assert build.rows(links.link_edges(frame)) == [
         ("/a", "related", 0, "/x"), ("/a", "related", 1, "/y"), ("/a", "related", 2, "/z"), ("/a", "related", 3, "/w"),
@@ -116,7 +116,7 @@ def test_page_record_defaults(spark):
         build.item("/b", document_type="", updated_at="2024-01-01"),
         build.item(None, error="not_found", requested="/gone"),
         build.item("", requested="/empty"),
-        build.item("/a", ["/more"], part=1, document_type=None),
+        build.item("/a", ["/more"], list_from=0, document_type=None),
     ])
     found = build.rows(pages.page_records(frame).select("path", "content_type", "last_updated"))
     assert found == [("/a", "unknown", ""), ("/b", "", "2024-01-01")]
@@ -160,9 +160,9 @@ def test_read_items_round_trip(spark, tmp_path, fmt):
 
 
 def test_read_raw_documents(spark, tmp_path):
-    """Plain documents carry neither requested_path nor part."""
+    """Plain documents need not carry requested_path or list_from."""
     path = tmp_path / "raw.json"
     path.write_text(json.dumps({"base_path": "/a", "title": "Ü", "document_type": "guide"}) + "\n", encoding="utf-8")
     row = source.read_items(spark, str(path), "json").first()
-    assert (row.requested_path, row.part, row.title, row.links) == ("/a", 0, "Ü", None)
+    assert (row.requested_path, row.list_from, row.title, row.links) == ("/a", None, "Ü", None)
     assert CONTENT_ITEMS.startswith("requested_path")

@@ -151,7 +151,7 @@ def test_exclude_types_keeps_missing(spark):
 
 def test_build_pages(spark):
     frame = build.items(spark, [
-        build.item("/r", ["/a", "/old"]), build.item("/r", ["/a"], part=3),
+        build.item("/r", ["/a", "/old"]), build.item("/r", ["/a"], list_from=2),
         build.item("/a", ["/x"], body=None, links={"organisations": [("Org", None)], "related": [(None, "/x")]}),
         build.item("/b", ["/x"], requested="/old"), build.item("/b", ["/x"], requested="/older"),
         build.item("/unreached"),

@@ -6,11 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.scoring import url_priority
+from wayloom.operators.links import followable_edges, item_addresses
 from wayloom.operators.ranking import number_rows
 
 BATCH_SIZE = 10
 
 
+def linked_pages(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """path of every page that the ``sources`` (path) link to, once each.
+
+    Targets are made distinct before they are looked up, so a popular target is one row.
+    """
+    targets = (
+        followable_edges(items)
+        .join(sources.select(F.col("path").alias("src")), "src")
+        .select(F.col("dst").alias("requested_path"))
+        .distinct()
+    )
+    return targets.join(item_addresses(items), "requested_path").select("path").distinct()
+
+
 def new_links(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     """Each candidate path once, unless it was seen before (J5). Exact, no filter errors."""
     return candidates.select("path").distinct().join(seen.select("path"), "path", "left_anti")

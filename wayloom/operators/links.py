@@ -10,17 +10,17 @@ from wayloom.functions.content import is_followable, related_links
 
 def link_edges(items: DataFrame) -> DataFrame:
     """One row per link that has a target: src, link_type, pos, dst."""
-    lists = items.select(F.col("base_path").alias("src"), "part", F.explode("links").alias("link_type", "entries"))
-    placed = lists.select("src", "part", "link_type", F.posexplode("entries").alias("index", "link"))
+    lists = items.select(F.col("base_path").alias("src"), "list_from", F.explode("links").alias("link_type", "entries"))
+    placed = lists.select("src", "list_from", "link_type", F.posexplode("entries").alias("index", "link"))
     return placed.filter(F.col("link.base_path").isNotNull()).select(
-        "src", "link_type", link_position(F.col("part"), F.col("index")).alias("pos"),
+        "src", "link_type", link_position(F.col("list_from"), F.col("index")).alias("pos"),
         F.col("link.base_path").alias("dst"),
     )
 
 
-def link_position(part: Column, index: Column) -> Column:
+def link_position(list_from: Column, index: Column) -> Column:
     """Place in the item's whole list of a link found at ``index`` of one row."""
-    return F.greatest(part - 1, F.lit(0)) + index
+    return F.coalesce(list_from, F.lit(0)) + index
 
 
 def link_counts(items: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def followable_links(items: DataFrame) -> DataFrame:
 def item_addresses(items: DataFrame) -> DataFrame:
     """requested_path, path of every item that exists (F2), one row per pair."""
     return (
-        items.filter((F.col("part") == 0) & (F.coalesce("base_path", F.lit("")) != ""))
+        items.filter(F.col("list_from").isNull() & (F.coalesce("base_path", F.lit("")) != ""))
         .select("requested_path", F.col("base_path").alias("path"))
         .distinct()
     )

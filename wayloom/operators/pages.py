@@ -25,7 +25,7 @@ def _facts() -> list[Column]:
 
 def page_records(items: DataFrame) -> DataFrame:
     """One row per item that has a path, with the defaults for missing fields."""
-    return items.filter((F.col("part") == 0) & _has_path()).select(
+    return items.filter(F.col("list_from").isNull() & _has_path()).select(
         "requested_path", F.col("base_path").alias("path"), *_facts()
     )
 
@@ -40,7 +40,7 @@ def build_pages(crawled: DataFrame, items: DataFrame, max_depth: int) -> DataFra
         items.filter(_has_path())
         .groupBy(F.col("base_path").alias("path"), "requested_path")
         .agg(
-            F.max(F.when(F.col("part") == 0, F.struct(*_facts()))).alias("facts"),
+            F.max(F.when(F.col("list_from").isNull(), F.struct(*_facts()))).alias("facts"),
             F.sum(F.size(related_links(F.col("links")))).alias("n_links"),
         )
         .filter(F.col("facts").isNotNull())

@@ -20,10 +20,10 @@ class NoSectionsError(ValueError):
 
 def _children(items: DataFrame) -> DataFrame:
     return items.select(
-        "requested_path", "part", F.posexplode(child_links(F.col("links"))).alias("index", "child")
+        "requested_path", "list_from", F.posexplode(child_links(F.col("links"))).alias("index", "child")
     ).select(
         "requested_path",
-        link_position(F.col("part"), F.col("index")).alias("pos"),
+        link_position(F.col("list_from"), F.col("index")).alias("pos"),
         F.col("child.title").alias("title"),
         F.col("child.base_path").alias("path"),
     )
@@ -63,11 +63,11 @@ def section_sample(sections: DataFrame, items: DataFrame) -> DataFrame:
     """
     roots = sections.select("ord", "title", F.col("path").alias("requested_path"))
     facts = (
-        items.join(roots.select("requested_path").distinct(), "requested_path", "left_semi")
+        items.join(roots.select("requested_path").distinct(), "requested_path")
         .groupBy("requested_path")
         .agg(
             F.sum(F.size(child_links(F.col("links")))).cast("bigint").alias("estimated_pages"),
-            F.max(F.when(F.col("part") == 0, content_type(F.col("document_type")))).alias("content_type"),
+            F.max(F.when(F.col("list_from").isNull(), content_type(F.col("document_type")))).alias("content_type"),
         )
     )
     return roots.join(facts, "requested_path", "left").select(

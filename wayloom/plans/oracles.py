@@ -299,6 +299,10 @@ def all_oracles() -> dict[str, str]:
         "frontier_batches": f"""{site} SELECT *,
           (row_number() OVER (PARTITION BY section ORDER BY priority, path, depth) - 1) // 10 AS batch FROM ({QUEUE})""",
         "classify_fetches": f"SELECT {OUTCOME} AS outcome, count(*) AS n FROM events GROUP BY ALL",
+        "landed_items": f"""SELECT '/doc/' || event_id AS requested_path,
+            CASE WHEN outcome = 'ok' THEN json_extract_string(props, '$.base_path') END AS base_path,
+            CASE WHEN outcome = 'not_found' THEN outcome END AS error
+          FROM (SELECT *, {OUTCOME} AS outcome FROM events) WHERE outcome IN ('ok', 'not_found')""",
         "rate_audit": _audit(1_000_000, 10),
         "rate_audit_hourly": _audit(3_600_000_000, 2),
         "scan_progress": f"""{progress} SELECT sections_analyzed, total_links_found, rate_limit_hits, current_section,

@@ -148,9 +148,8 @@ def url_priority(spark, sf_dir):
 def frontier_new(spark, sf_dir):
     """Links of the pages at depth 2 that lead to pages not seen up to there."""
     stored = inputs.pages(spark, sf_dir)
-    sources = stored.filter(F.col("depth_level") == 2).select(F.col("path").alias("src"))
-    targets = links.resolved_links(inputs.items(spark, sf_dir)).join(sources, "src", "left_semi")
-    return frontier.new_links(targets.select(F.col("dst").alias("path")), stored.filter(F.col("depth_level") <= 2))
+    linked = frontier.linked_pages(inputs.items(spark, sf_dir), stored.filter(F.col("depth_level") == 2))
+    return frontier.new_links(linked, stored.filter(F.col("depth_level") <= 2))
 
 
 def _queue(spark, sf_dir):
@@ -195,6 +194,10 @@ def classify_fetches(spark, sf_dir):
     return items.outcome_counts(testdata.fetch_log(spark, sf_dir))
 
 
+def landed_items(spark, sf_dir):
+    return items.items_from_fetches(testdata.fetch_log(spark, sf_dir)).select("requested_path", "base_path", "error")
+
+
 def rate_audit(spark, sf_dir):
     return rates.rate_audit(testdata.fetch_log(spark, sf_dir))
 
@@ -249,7 +252,7 @@ def all_queries() -> dict[str, Query]:
         crawl_pages, crawl_nearest, crawl_resumed,
         page_table, section_rollup, scan_metadata, exclude_types, export_pages_flat,
         url_priority, frontier_new, next_batch, frontier_batches,
-        classify_fetches, rate_audit, rate_audit_hourly,
+        classify_fetches, landed_items, rate_audit, rate_audit_hourly,
         scan_progress, progress_by_type, progress_by_depth, scan_duration, report_lines,
         site_report_lines, progress_stream,
     ]

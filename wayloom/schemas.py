@@ -12,10 +12,10 @@ DOCUMENT = (
 )
 
 # A landed item. ``requested_path`` is the link that was followed; it differs from
-# ``base_path`` on redirects. ``part`` is 0 for the item's own document. An item with
-# more links than fit in one row goes on in further rows: they carry the two paths and
-# ``links`` only, and ``part`` = 1 + position of their first link in the item's list.
-CONTENT_ITEMS = f"requested_path STRING, {DOCUMENT}, error STRING, part BIGINT"
+# ``base_path`` on redirects. ``list_from`` is null for the item's own document. An item
+# with more links than fit in one row goes on in further rows: they carry the two paths
+# and ``links`` only, and ``list_from`` is the place of their first link in its list.
+CONTENT_ITEMS = f"requested_path STRING, {DOCUMENT}, error STRING, list_from BIGINT"
 
 FETCH_LOG = (
     "request_id BIGINT, client STRING, requested_path STRING, fetched_at TIMESTAMP, "

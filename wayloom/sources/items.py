@@ -10,22 +10,14 @@ from wayloom.schemas import CONTENT_ITEMS, DOCUMENT, FETCH_LOG
 
 def read_items(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Landed items with the declared schema, so no inference pass runs."""
-    return _with_defaults(spark.read.schema(CONTENT_ITEMS).format(fmt).load(path))
+    items = spark.read.schema(CONTENT_ITEMS).format(fmt).load(path)
+    return items.withColumn("requested_path", F.coalesce("requested_path", "base_path"))
 
 
 def read_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(FETCH_LOG).format(fmt).load(path)
 
 
-def _with_defaults(items: DataFrame) -> DataFrame:
-    return items.withColumns(
-        {
-            "requested_path": F.coalesce("requested_path", "base_path"),
-            "part": F.coalesce("part", F.lit(0).cast("bigint")),
-        }
-    )
-
-
 def fetch_outcome(http_status: Column, body: Column, transport_error: Column) -> Column:
     """``ok``, ``not_found`` or the error text of one response."""
     return (
@@ -64,6 +56,6 @@ def items_from_fetches(fetch_log: DataFrame) -> DataFrame:
             "requested_path",
             "doc.*",
             F.when(F.col("outcome") == "not_found", F.col("outcome")).alias("error"),
-            F.lit(0).cast("bigint").alias("part"),
+            F.lit(None).cast("bigint").alias("list_from"),
         )
     )

@@ -1,7 +1,7 @@
 """The given star-schema and event tables in the shape of content items and logs.
 
 Lists of links are never collected: an item with many links is one head row
-(``part`` 0) and one continuation row per source row, so that a customer, nation or
+(``list_from`` null) and one continuation row per source row, so that a customer, nation or
 order holding a third of all rows stays spread over tasks.
 """
 
@@ -53,13 +53,17 @@ def _head(source: str, path: str, title: str, body: str, kind: str, links: str |
     """The item's own document."""
     return f"""SELECT {requested or path} AS requested_path, {path} AS base_path, {title} AS title, {body} AS body,
         '{kind}' AS document_type, {_ABSENT} AS schema_name, {updated_at} AS updated_at,
-        {links or _links()} AS links, {_ABSENT} AS error, 0L AS part FROM {source}"""
+        {links or _links()} AS links, {_ABSENT} AS error,
+        CAST(NULL AS BIGINT) AS list_from FROM {source}"""
 
 
 def _more(source: str, path: str, links: str, position: str, requested: str | None = None) -> str:
-    """Further links of an item, one row per row of ``source``."""
+    """Further links of an item, one row per row of ``source``.
+
+    The place is never null, so a query of the items' own documents skips these tables.
+    """
     return f"""SELECT {requested or path}, {path}, NULL, NULL, NULL, NULL, NULL, {links}, NULL,
-        CAST({position} AS BIGINT) + 1 FROM {source}"""
+        coalesce(CAST({position} AS BIGINT), 0L) FROM {source}"""
 
 
 def content_items(spark: SparkSession, sf_dir: str) -> DataFrame:
