@@ -112,13 +112,12 @@ def test_hub_links_are_spread_and_links_are_not_shuffled_again(spark):
     hub = build.items(spark, [build.item("/hub", [f"/x{i}" for i in range(400)])] +
                       [build.item(f"/x{i}", ["/hub"]) for i in range(400)])
     store = CrawlState(spark, fresh_dir(spark, "plan"))
-    edges = store.save("links", links.followable_edges(hub))
-    balanced = walk.balance_links(edges, links.item_addresses(hub), store, bucket_rows=100)
+    balanced = walk.stage_graph(hub, links.item_addresses(hub), store, bucket_rows=100)
     try:
         hubs = balanced.hubs.collect()
         assert [row.src for row in hubs] == ["/hub"] and hubs[0].copies > 1
         assert balanced.edges.filter("src = '/hub'").select("salt").distinct().count() > 1
-        assert balanced.edges.count() == edges.count()
+        assert balanced.edges.count() == 800
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         level = spark.createDataFrame([("/hub", 0, True, 0)], "path STRING, ord INT, is_new BOOLEAN, depth INT")
         plan = walk.next_level(level, level, balanced, True)._jdf.queryExecution().executedPlan().toString()
@@ -144,10 +143,13 @@ def test_resume_equals_uninterrupted(spark):
     edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(60)]
     roots = ["/n0", "/n1", "/n2"]
     frame, catalogue = graph(spark, edges, nodes), build.sections(spark, *roots)
+    edges += [("/n1", node) for node in nodes]
+    frame = graph(spark, edges, nodes)
     for owner in walk.OWNERS:
         state = fresh_dir(spark, "resume")
         for depth in (0, 2, 4):
-            found = walk.crawl(frame, catalogue, max_depth=depth, owner=owner, state=state, snapshot_every=1)
+            found = walk.crawl(frame, catalogue, max_depth=depth, owner=owner, state=state, snapshot_every=1,
+                               bucket_rows=80)
             assert build.rows(found) == owners(edges, roots, depth, owner)
         # A shallower walk over the same state reads only its own rounds.
         assert build.rows(walk.crawl(frame, catalogue, max_depth=2, owner=owner, state=state)) == owners(
@@ -158,6 +160,11 @@ def test_half_written_level_is_replaced(spark):
     edges = [(f"/n{i}", f"/n{i + 1}") for i in range(4)]
     frame, catalogue = graph(spark, edges, [f"/n{i}" for i in range(5)]), build.sections(spark, "/n0")
     state = fresh_dir(spark, "torn")
+    # A first run that stopped before its first snapshot leaves staged tables behind.
+    torn = CrawlState(spark, state)
+    torn.open()
+    other = build.items(spark, [build.item("/other", ["/n0"])])
+    walk.stage_graph(other, torn.save("addresses", links.item_addresses(other)), torn).release()
     walk.crawl(frame, catalogue, max_depth=1, state=state)
     store = CrawlState(spark, state)
     store.save_level(2, spark.createDataFrame([("/junk", 0, True)], "path STRING, ord INT, is_new BOOLEAN"))

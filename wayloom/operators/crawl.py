@@ -20,35 +20,37 @@ import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from wayloom.operators.links import followable_edges, item_addresses
+from wayloom.operators.links import followable_edges, item_addresses, link_rows
 from wayloom.session import fresh_dir
 from wayloom.sources.state import DEFAULT_INTERVAL, CrawlState, snapshot_due
 
 OWNERS = ("first_section", "nearest")
 BUCKET_ROWS = 8_000_000
+SMALL_BUCKET_ROWS = 100_000
 MAX_BUCKETS = 100_000
 MAX_HUBS = 100_000
 
 
 @dataclass(frozen=True)
 class LinkGraph:
-    """Links ready for repeated joins from their source.
+    """Links (src, salt, dst) bucketed by src and salt, and where each link leads.
 
-    ``hubs`` (src, copies) lists the sources whose links are spread over several
-    buckets by ``salt``; it is None when the links are small enough not to be bucketed.
+    ``hubs`` (src, copies) lists the sources whose links are spread over several buckets
+    by ``salt``; None when there are none, and every salt is 0.
     """
 
     edges: DataFrame
     addresses: DataFrame
-    hubs: DataFrame | None = None
-    table: str | None = None
+    hubs: DataFrame | None
+    buckets: int
+    table: str
 
     def release(self) -> None:
-        if self.table:
-            self.edges.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+        """Forget the table's name; its files stay."""
+        self.edges.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def crawl(
@@ -81,28 +83,25 @@ def crawl(
     if last and last.owner != owner:
         raise ValueError(f"the state in {store.path} was made with owner={last.owner}")
 
-    links = followable_edges(items)
     addresses = item_addresses(items)
     roots = sections.select("ord", F.col("path").alias("section"))
     if last:
-        links, addresses, roots = (
-            store.load(name, rows.schema) for name, rows in (("links", links), ("addresses", addresses), ("roots", roots))
-        )
+        addresses, roots = store.load("addresses", addresses.schema), store.load("roots", roots.schema)
+        graph = open_graph(store, addresses, last.link_buckets, last.link_hubs)
         depth, fresh, pages, saved_pages = last.depth, None, last.pages_processed, last.pages_processed
     else:
-        links, addresses, roots = (
-            store.save(name, rows) for name, rows in (("links", links), ("addresses", addresses), ("roots", roots))
-        )
+        addresses, roots = store.save("addresses", addresses), store.save("roots", roots)
+        graph = stage_graph(items, addresses, store, bucket_rows)
         depth, saved_pages = 0, 0
         fresh, pages = store.save_level(0, _root_level(roots, addresses))
 
-    graph = balance_links(links, addresses, store, bucket_rows)
+    facts = {"owner": owner, "link_buckets": graph.buckets, "link_hubs": graph.hubs is not None}
     try:
         while True:
             ending = fresh == 0 or depth >= max_depth
             due = ending or snapshot_due(saved_pages, pages, snapshot_every)
             if state and due and (last is None or depth > last.depth):
-                store.save_snapshot(depth, owner, snapshot_every)
+                store.save_snapshot(depth, snapshot_every, **facts)
                 saved_pages = pages
             if ending:
                 break
@@ -117,37 +116,66 @@ def crawl(
     return owned.join(roots, "ord").select("section", "path", "depth_level")
 
 
-def balance_links(links: DataFrame, addresses: DataFrame, store: CrawlState, bucket_rows: int) -> LinkGraph:
+def stage_graph(items: DataFrame, addresses: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_ROWS) -> LinkGraph:
     """Bucket the links by source once, so that no level has to shuffle them again.
 
-    A source with more links than a bucket should hold is a hub: its links are salted by
+    A source with more links than an eighth of a bucket is a hub: its links are salted by
     target over several buckets. A hub has more than 1/MAX_HUBS of all links, so there are
     fewer than MAX_HUBS of them, and their list is safe to broadcast.
     """
-    total = links.count()
-    if total <= bucket_rows:
-        return LinkGraph(links, addresses)
-    spark = links.sparkSession
-    floor = max(bucket_rows // 8, total // MAX_HUBS)
-    copies = F.ceil(F.col("n") / F.lit(max(bucket_rows // 8, 1))).cast("int")
-    hubs = store.save(
-        "hubs",
-        links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor)
-        .select("src", copies.alias("copies")),
+    spark = items.sparkSession
+    share = max(1, bucket_rows // 8)
+    counted = Observation()
+    degrees = (
+        items.groupBy(F.col("base_path").alias("src"))
+        .agg(F.sum(link_rows(F.col("links"))).alias("n"))
+        .observe(counted, F.sum("n").alias("links"))
     )
-    salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("copies")).cast("int"), F.lit(0))
-    salted = links.join(F.broadcast(hubs), "src", "left").select("src", salt.alias("salt"), "dst")
-    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_rows)))
-    table = f"wayloom_links_{uuid.uuid4().hex}"
+    large = store.save("hubs", degrees.filter(F.col("n") > share).select("src", "n"))
+    total = counted.get["links"] or 0
+    floor = max(share, total // MAX_HUBS)
+    hubs = _copies(large, floor, share)
+    salted = followable_edges(items)
+    if hubs.isEmpty():
+        hubs = None
+        salted = salted.select("src", F.lit(0).alias("salt"), "dst")
+    else:
+        hubs = store.save("hubs_in_use", hubs)
+        salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("copies")).cast("int"), F.lit(0))
+        salted = salted.join(F.broadcast(hubs), "src", "left").select("src", salt.alias("salt"), "dst")
+    at_hand = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(at_hand, math.ceil(total / SMALL_BUCKET_ROWS)), math.ceil(total / bucket_rows))
+    buckets = min(buckets, MAX_BUCKETS)
+    table = _table_name()
     (
         salted.repartition(buckets, "src", "salt")
         .write.format("parquet")
+        .mode("overwrite")
         .bucketBy(buckets, "src", "salt")
         .sortBy("src", "salt")
-        .option("path", f"{store.path}/{table}")
+        .option("path", f"{store.path}/links")
         .saveAsTable(table)
     )
-    return LinkGraph(spark.table(table), addresses, hubs, table)
+    return LinkGraph(spark.table(table), addresses, hubs, buckets, table)
+
+
+def open_graph(store: CrawlState, addresses: DataFrame, buckets: int, has_hubs: bool) -> LinkGraph:
+    """The graph of an earlier run, from its files."""
+    table = _table_name()
+    store.spark.sql(
+        f"CREATE TABLE {table} (src STRING, salt INT, dst STRING) USING parquet "
+        f"CLUSTERED BY (src, salt) SORTED BY (src, salt) INTO {buckets} BUCKETS LOCATION '{store.path}/links'"
+    )
+    hubs = store.load("hubs_in_use", "src STRING, copies INT") if has_hubs else None
+    return LinkGraph(store.spark.table(table), addresses, hubs, buckets, table)
+
+
+def _copies(large: DataFrame, floor: int, share: int) -> DataFrame:
+    return large.filter(F.col("n") > floor).select("src", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("copies"))
+
+
+def _table_name() -> str:
+    return f"wayloom_links_{uuid.uuid4().hex}"
 
 
 def next_level(frontier: DataFrame, seen: DataFrame, graph: LinkGraph, improve: bool) -> DataFrame:
@@ -157,15 +185,15 @@ def next_level(frontier: DataFrame, seen: DataFrame, graph: LinkGraph, improve:
     any before found it.
     """
     sources = frontier.select(F.col("path").alias("src"), "ord")
-    keys = ["src"]
-    if graph.hubs is not None:
-        keys.append("salt")
+    if graph.hubs is None:
+        sources = sources.withColumn("salt", F.lit(0))
+    else:
         last_copy = F.coalesce("copies", F.lit(1)) - 1
         sources = sources.join(F.broadcast(graph.hubs), "src", "left").select(
             "src", "ord", F.explode(F.sequence(F.lit(0), last_copy)).alias("salt")
         )
     targets = (
-        sources.join(graph.edges, keys)
+        sources.join(graph.edges, ["src", "salt"])
         .groupBy(F.col("dst").alias("requested_path"))
         .agg(F.min("ord").alias("found"))
     )

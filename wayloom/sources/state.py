@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = "path STRING, ord INT, is_new BOOLEAN, depth INT"
-SNAPSHOTS = "pages_processed BIGINT, sections_covered BIGINT, snapshots_due BIGINT, owner STRING, depth INT"
+SNAPSHOTS = (
+    "pages_processed BIGINT, sections_covered BIGINT, snapshots_due BIGINT, "
+    "owner STRING, link_buckets INT, link_hubs BOOLEAN, depth INT"
+)
 DEFAULT_INTERVAL = 100
 
 
@@ -46,13 +49,14 @@ class CrawlState:
         """Pages of the rounds ``first`` to ``last``; other rounds are not read."""
         return self.load("levels", LEVELS).filter(F.col("depth").between(first, last))
 
-    def save_snapshot(self, depth: int, owner: str, interval: int) -> None:
+    def save_snapshot(self, depth: int, interval: int, **facts) -> None:
+        """``facts`` are the columns that describe the walk: owner, link_buckets, link_hubs."""
         pages = F.count_if("is_new")
         row = self.levels(0, depth).agg(
             pages.alias("pages_processed"),
             F.count_distinct("ord").alias("sections_covered"),
             F.floor(pages / F.lit(interval)).alias("snapshots_due"),
-            F.lit(owner).alias("owner"),
+            *(F.lit(value).alias(name) for name, value in facts.items()),
         )
         row.write.mode("overwrite").parquet(f"{self.path}/snapshots/depth={depth}")
 
