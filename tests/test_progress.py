@@ -41,6 +41,19 @@ def test_a_section_counts_each_time_it_starts(spark):
     assert progress.scan_progress(frame).first().sections_analyzed == 3
 
 
+def test_heartbeat_renews_the_counters(spark, sf_dir):
+    source, target = fresh_dir(spark, "events"), fresh_dir(spark, "progress")
+    batch = testdata.page_events(spark, sf_dir)
+    batch.write.parquet(source)
+    query = live.start_progress(live.read_page_events(spark, source), target, heartbeat="1 second")
+    try:
+        query.processAllAvailable()
+        status = progress.status_from_cells(live.latest_cells(spark, target)).first()
+    finally:
+        query.stop()
+    assert tuple(status) == tuple(progress.scan_progress(batch).first())
+
+
 def test_stream_equals_batch(spark, sf_dir):
     source, target = fresh_dir(spark, "events"), fresh_dir(spark, "progress")
     batch = testdata.page_events(spark, sf_dir)

@@ -9,24 +9,31 @@ from pyspark.sql import functions as F
 
 from wayloom.functions.scoring import complexity_score, staleness_score
 from wayloom.functions.times import iso_text
-from wayloom.operators.trends import instant, join_trends, section_trends, top_content_types, top_publishers
+from wayloom.operators.trends import (
+    depth_metrics,
+    instant,
+    join_trends,
+    top_content_types,
+    top_publishers,
+    update_patterns,
+)
 
 UNKNOWN_TITLE = "Unknown Section"
 REPORT_TITLE = "Content Mapping Report"
 
 
 def staleness_scores(pages: DataFrame, sections: DataFrame, as_of: str | Column) -> DataFrame:
-    """section, staleness_score."""
-    trends = section_trends(pages, sections, as_of)
-    return trends.select("section", staleness_score(F.col("newest_age_days")).alias("staleness_score"))
+    """section, staleness_score (P13); only the dates are read."""
+    ages = update_patterns(pages, as_of).select("section", "newest_age_days")
+    joined = sections.select(F.col("path").alias("section")).join(ages, "section", "left")
+    return joined.select("section", staleness_score(F.col("newest_age_days")).alias("staleness_score"))
 
 
-def complexity_scores(pages: DataFrame, sections: DataFrame, as_of: str | Column) -> DataFrame:
-    """section, complexity_score."""
-    trends = section_trends(pages, sections, as_of)
-    return trends.select(
-        "section", complexity_score(F.col("max_depth"), F.col("average_depth")).alias("complexity_score")
-    )
+def complexity_scores(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """section, complexity_score (P14); only the depths are read."""
+    joined = sections.select(F.col("path").alias("section")).join(depth_metrics(pages), "section", "left")
+    score = complexity_score(F.coalesce("max_depth", F.lit(0)), F.coalesce("average_depth", F.lit(0.0)))
+    return joined.select("section", score.alias("complexity_score"))
 
 
 def section_report(pages: DataFrame, sections: DataFrame, as_of: str | Column) -> DataFrame:

@@ -273,7 +273,7 @@ def all_queries() -> dict[str, Query]:
     for name, operator, args in (
         ("primary_owner", trends.primary_owner, ()),
         ("staleness_score", report.staleness_scores, (AS_OF,)),
-        ("complexity_score", report.complexity_scores, (AS_OF,)),
+        ("complexity_score", report.complexity_scores, ()),
         ("section_trends", trends.section_trends, (AS_OF,)),
         ("section_report", report.section_report, (AS_OF,)),
     ):
