@@ -56,6 +56,20 @@ def test_related_links_stop_at_depth_limit(spark):
     assert at(1) == ["/x"] and at(2) == []
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_link_rows(spark, ansi):
+    frame = build.items(spark, [
+        build.item("/a", links={"related": [(None, "/x"), ("no path", None)], "children": None, "other": [(None, "/y")]}),
+        build.item("/b"),
+    ])
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        assert [r[0] for r in frame.select(links.link_rows(F.col("links"))).collect()] == [3, 0]
+        assert build.rows(links.link_counts(frame)) == [("/a", 2), ("/b", 0)]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_link_positions_run_over_parts(spark):
     frame = build.items(spark, [
         build.item("/a", ["/x", "/y"]),

@@ -50,6 +50,16 @@ def test_head_documents_do_not_read_the_listings(spark, sf_dir):
     assert "lineitem" not in text and "Exchange" not in text
 
 
+def test_page_table_moves_no_bodies(spark, sf_dir):
+    """Bodies are read, tested and dropped before anything is sorted, joined or shuffled."""
+    source = inputs.items(spark, sf_dir)
+    walked = spark.range(1).selectExpr("'/s' AS section", "concat('/order/', id) AS path", "1 AS depth_level")
+    text = plan(pages.build_pages(walked, source, 5))
+    for line in text.splitlines():
+        if any(word in line for word in ("Aggregate", "Sort ", "Join")):
+            assert "coalesce(body" not in line and "o_orderstatus" not in line
+
+
 def test_progress_is_aggregated_by_hash(spark, sf_dir):
     text = plan(progress.progress_cells(testdata.page_events(spark, sf_dir)))
     last = text.split("HashAggregate(keys=[content_type")

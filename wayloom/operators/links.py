@@ -34,7 +34,7 @@ def link_counts(items: DataFrame) -> DataFrame:
 def link_rows(links: Column) -> Column:
     """Entries in all lists of one row, with or without a target."""
     return F.coalesce(
-        F.aggregate(F.map_values(links), F.lit(0), lambda total, entries: total + F.coalesce(F.size(entries), F.lit(0))),
+        F.aggregate(F.map_values(links), F.lit(0), lambda total, entries: total + F.coalesce(F.array_size(entries), F.lit(0))),
         F.lit(0),
     )
 

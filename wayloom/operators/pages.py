@@ -14,19 +14,15 @@ def _has_path() -> Column:
     return F.coalesce("base_path", F.lit("")) != ""
 
 
-def _facts() -> list[Column]:
-    return [
+def page_records(items: DataFrame) -> DataFrame:
+    """One row per item that has a path, with the defaults for missing fields."""
+    return items.filter(F.col("list_from").isNull() & _has_path()).select(
+        "requested_path",
+        F.col("base_path").alias("path"),
         content_type(F.col("document_type")).alias("content_type"),
         last_updated(F.col("updated_at")).alias("last_updated"),
         page_status(F.col("error"), F.col("title"), F.col("body"), F.col("schema_name")).alias("status"),
         publishing_org(F.col("links")).alias("publishing_org"),
-    ]
-
-
-def page_records(items: DataFrame) -> DataFrame:
-    """One row per item that has a path, with the defaults for missing fields."""
-    return items.filter(F.col("list_from").isNull() & _has_path()).select(
-        "requested_path", F.col("base_path").alias("path"), *_facts()
     )
 
 
@@ -36,18 +32,15 @@ def build_pages(crawled: DataFrame, items: DataFrame, max_depth: int) -> DataFra
     An item that several links redirect to is read once, by its first address.
     Link counts are 0 at the depth limit, where links are not looked at (P5, P10).
     """
-    by_address = (
+    counts = (
         items.filter(_has_path())
         .groupBy(F.col("base_path").alias("path"), "requested_path")
-        .agg(
-            F.max(F.when(F.col("list_from").isNull(), F.struct(*_facts()))).alias("facts"),
-            F.sum(F.size(related_links(F.col("links")))).alias("n_links"),
-        )
-        .filter(F.col("facts").isNotNull())
-    )
-    records = by_address.groupBy("path").agg(
-        F.min_by(F.struct("facts.*", "n_links"), "requested_path").alias("record")
+        .agg(F.sum(F.size(related_links(F.col("links")))).alias("n_links"))
     )
+    # The facts are worked out below the join, so no sort or shuffle ever carries a body.
+    documents = page_records(items).join(counts, ["path", "requested_path"], "left")
+    facts = F.struct("requested_path", "content_type", "last_updated", "status", "publishing_org", "n_links")
+    records = documents.groupBy("path").agg(F.min(facts).alias("record"))
     n_links = F.when(F.col("depth_level") < max_depth, F.col("n_links")).otherwise(F.lit(0))
     return (
         crawled.join(records, "path")
