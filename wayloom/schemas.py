@@ -11,10 +11,11 @@ DOCUMENT = (
     f"schema_name STRING, updated_at STRING, links {LINKS}"
 )
 
-# A landed item, one document per ``requested_path``. It is the link that was followed and
-# differs from ``base_path`` on redirects. ``list_from`` is null for the item's own document. An item
-# with more links than fit in one row goes on in further rows: they carry the two paths
-# and ``links`` only, and ``list_from`` is the place of their first link in its list.
+# A landed item, one document per ``requested_path``. That is the link that was followed;
+# it differs from ``base_path`` on redirects. ``list_from`` is null for the item's own
+# document. An item with more links than fit in one row goes on in further rows: they carry
+# the two paths and ``links`` only, and ``list_from`` is the place of their first link in
+# its list.
 CONTENT_ITEMS = f"requested_path STRING, {DOCUMENT}, error STRING, list_from BIGINT"
 
 FETCH_LOG = (
