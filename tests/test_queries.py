@@ -6,8 +6,11 @@ import __spark_entry__ as entry
 from tests.compare import connect, difference
 from wayloom.operators import links
 from wayloom.plans import inputs
+from wayloom.plans.oracles import all_oracles
+from wayloom.plans.queries import all_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: entry.queries()[name] for name in all_queries()}
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +20,7 @@ def duck(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and ORACLES.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
