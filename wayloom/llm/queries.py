@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from wayloom.llm import packing
+from wayloom.llm import decontamination, language, packing
 
 
 def all_queries() -> dict:
     found = (
         packing.op3_packing,
+        decontamination.op6_benchmark_decontamination,
+        language.op7_language_id,
     )
     return {query.__name__: query for query in found}
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op6_benchmark_decontamination": decontamination.ORACLE,
+    }
