@@ -52,7 +52,7 @@ def test_walk_against_row_by_row(factor):
 def test_query_keeps_its_law(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     rows = op8_sharding(spark, sf_dir).collect()
-    assert Counter(r.doc_id for r in rows) == Counter(texts)
+    assert Counter(r.doc_id for r in rows) == Counter(list(texts))
     slots = {}
     for r in rows:
         raw = (texts[r.doc_id] or "").encode()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayloom.llm import decontamination, language, packing
+from wayloom.llm import decontamination, language, packing, sharding
 
 
 def all_queries() -> dict:
@@ -10,6 +10,7 @@ def all_queries() -> dict:
         packing.op3_packing,
         decontamination.op6_benchmark_decontamination,
         language.op7_language_id,
+        sharding.op8_sharding,
     )
     return {query.__name__: query for query in found}
 
