@@ -26,9 +26,10 @@ VIRTUAL_NODES = 256
 
 def ring(spark, shards: int, virtual_nodes: int, cells: int) -> np.ndarray:
     """Owner of each virtual node's cell, -1 elsewhere; the lower shard keeps a cell two want."""
+    shard = (F.col("id") / virtual_nodes).cast("long")
     nodes = spark.range(shards * virtual_nodes).select(
-        F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(cells)).alias("cell"),
-        (F.col("id") % shards).alias("shard"),
+        F.pmod(F.xxhash64(F.lit("node"), shard, F.col("id") % virtual_nodes), F.lit(cells)).alias("cell"),
+        shard.alias("shard"),
     )
     owners = np.full(cells, -1, dtype=np.int64)
     for row in nodes.groupBy("cell").agg(F.min("shard").alias("shard")).collect():  # at most a row a cell
