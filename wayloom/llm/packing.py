@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.tables import table
-from wayloom.llm.tokens import WordTokenizer, default_path
+from wayloom.llm.tokens import default_path, of_process
 
 END_ID = 2
 PIECES = (
@@ -160,7 +160,7 @@ def pack(
     schema = f"key {key_type.simpleString()}, {PIECES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = of_process(path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         packer = Packer(limits, buffer_tokens)
         held: dict[int, list] = {}  # example number -> [key, ids, tokens still to place]
@@ -200,11 +200,10 @@ def pack(
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 keys, texts, prompts = (part.column(i).to_pylist() for i in range(3))
-                if sum(len(t or "") for t in texts) < 1 << 21:
-                    words.prepare(t for t in texts if t)
-                for key, body, head in zip(keys, texts, prompts, strict=True):
-                    first = words.encode(head) if head else b""
-                    ids = first + (words.encode(body) if body else b"") + end
+                bodies = words.encode_all([body or "" for body in texts])
+                heads = words.encode_all([head or "" for head in prompts])
+                for key, first, body in zip(keys, heads, bodies, strict=True):
+                    ids = first + body + end
                     held[number] = [key, ids, len(ids) // 4, len(first) // 4]
                     for sequence in packer.add(number, len(ids) // 4, len(first) // 4):
                         place(sequence)

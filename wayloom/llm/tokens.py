@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import regex
 
 SLICE_CHARS = 1 << 20
-MAX_CHUNKS = 250_000
-MAX_PIECES = 500_000
+MAX_CHUNKS = 800_000
+MAX_PIECES = 1_000_000
 
 # How the tokenizer cuts a text before it merges, and the letters for which
 # lower case is the same in every Unicode version.
@@ -36,6 +36,16 @@ def text_slices(text: str) -> Iterator[str]:
     yield text[start:]
 
 
+_OF_PROCESS: dict[str, WordTokenizer] = {}
+
+
+def of_process(path: str) -> WordTokenizer:
+    """The tokenizer of this worker process, which keeps its memory from task to task."""
+    if path not in _OF_PROCESS:
+        _OF_PROCESS[path] = WordTokenizer(path)
+    return _OF_PROCESS[path]
+
+
 class WordTokenizer:
     """Ids as little-endian 32-bit bytes. No id spans a space or a line end, so the ids of a
     text are those of its chunks one after the other, and a chunk seen before costs a look-up.
@@ -46,6 +56,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -53,40 +65,64 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(item.ids, dtype="<u4").tobytes() for item in found]
 
-    def _learn(self, chunks: list[str]) -> bool:
-        """True if the memory was full and had to be emptied first."""
-        full = len(self.chunks) + len(chunks) > MAX_CHUNKS
-        if full:
-            self.chunks.clear()
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Many pieces in few calls: each ends with the one id that closes a word."""
+        groups = [pieces[i : i + 64] for i in range(0, len(pieces), 64)]
+        found = []
+        for group, ids in zip(groups, self._encode([" ".join(group) for group in groups]), strict=True):
+            ends = 4 * np.flatnonzero(self.ends_word[np.frombuffer(ids, dtype="<u4")]) + 4
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                cuts = ends.tolist()
+                found += [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                found += self._encode(group)
+        return found
+
+    def _learn(self, chunks: set[str]) -> None:
         if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
-        cut = {
-            chunk: PIECES.findall(chunk.lower())
-            for chunk in chunks
-            if PLAIN.fullmatch(chunk) and "<|" not in chunk
-        }
-        new = list({piece for pieces in cut.values() for piece in pieces if piece not in self.pieces})
-        self.pieces.update(zip(new, self._encode(new), strict=True))
+        known = self.pieces
+        cut = {c: PIECES.findall(c.lower()) for c in chunks if "<|" not in c and PLAIN.fullmatch(c)}
+        new = list({piece for pieces in cut.values() for piece in pieces if piece not in known})
+        known.update(zip(new, self._encode_pieces(new), strict=True))
         for chunk, pieces in cut.items():
-            self.chunks[chunk] = b"".join([self.pieces[piece] for piece in pieces])
+            self.chunks[chunk] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
         odd = [chunk for chunk in chunks if chunk not in cut]
         self.chunks.update(zip(odd, self._encode(odd), strict=True))
-        return full
 
-    def encode(self, text: str) -> bytes:
-        parts = []
-        for part in text_slices(text):
-            chunks = part.replace("\n", " ").split(" ")
-            missing = [chunk for chunk in set(chunks) if chunk not in self.chunks]
-            if missing and self._learn(missing):
-                lost = [chunk for chunk in set(chunks) if chunk not in self.chunks]
-                self.chunks.update(zip(lost, self._encode(lost), strict=True))
-            parts.append(b"".join(map(self.chunks.__getitem__, chunks)))
-        return b"".join(parts)
-
-    def prepare(self, texts: Iterable[str]) -> None:
-        """Learns the new chunks of several short texts in one call."""
-        chunks = {chunk for text in texts for chunk in text.replace("\n", " ").split(" ")}
-        missing = [chunk for chunk in chunks if chunk not in self.chunks]
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        lists = [part.replace("\n", " ").split(" ") for part in parts]
+        missing = set().union(*lists).difference(self.chunks)
+        if len(self.chunks) + len(missing) > MAX_CHUNKS:
+            self.chunks.clear()
+            missing = set().union(*lists)
         if missing:
             self._learn(missing)
+        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in lists]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; a bounded number of characters is in work at a time."""
+        found: list[list[bytes]] = [[] for _ in texts]
+        parts: list[str] = []
+        owners: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            for owner, ids in zip(owners, self._encode_parts(parts), strict=True):
+                found[owner].append(ids)
+            parts.clear()
+            owners.clear()
+
+        for at, text in enumerate(texts):
+            for part in text_slices(text):
+                parts.append(part)
+                owners.append(at)
+                size += len(part)
+                if size >= SLICE_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return [ids[0] if len(ids) == 1 else b"".join(ids) for ids in found]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
