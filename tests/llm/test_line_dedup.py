@@ -1,0 +1,48 @@
+from collections import Counter
+
+from tests.compare import connect, difference
+from wayloom.llm.line_dedup import ORACLE, drop_site_lines, op10_line_dedup
+
+
+def brute(rows, ratio, least):
+    pages, count = Counter(), Counter()
+    for _, site, text in rows:
+        pages[site] += 1
+        count.update((site, line) for line in {x.strip(" ") for x in (text or "").split("\n")} if line)
+    out = []
+    for doc_id, site, text in rows:
+        lines = (text or "").split("\n")
+        gone = lambda x: x.strip(" ") and count[site, x.strip(" ")] >= least and count[site, x.strip(" ")] > ratio * pages[site]  # noqa: E731, B023
+        kept = [x for x in lines if not gone(x)]
+        out.append((doc_id, None if text is None else "\n".join(kept), 0 if text is None else len(lines), len(lines) - len(kept)))
+    return Counter(out)
+
+
+ROWS = (
+    [(i, "a", f"menu\nbody {i}\n\n  menu  \nfoot") for i in range(6)]
+    + [(i, "a", f"own {i}") for i in range(10, 20)]
+    + [(i, "b", "menu\nfoot") for i in range(30, 33)]
+    + [(i, None, "menu\nx\ny") for i in range(40, 45)]
+    + [(50, "a", None), (51, "a", ""), (None, "a", "menu"), (52, "c", "long line " * 20_000 + "\nmenu"), (53, "a", "\n\n")]
+    + [(60, "d", "same\nsame\nsame")] * 3
+)
+
+
+def test_against_brute_force(spark):
+    pages = spark.createDataFrame(ROWS, "doc_id long, source string, text string")
+    for ratio, least in [(0.2, 4), (0.3, 1), (0.5, 2), (1.0, 1)]:
+        rows = drop_site_lines(pages, max_ratio=ratio, min_pages=least).collect()
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in rows) == brute(ROWS, ratio, least)
+
+
+def test_other_columns_and_no_rows(spark):
+    pages = spark.createDataFrame([(r[0], r[1], r[2], "k", "z") for r in ROWS], "doc_id long, source string, text string, n_lines string, __drop string")
+    found = drop_site_lines(pages, max_ratio=0.2)
+    assert found.columns == ["doc_id", "source", "text", "__drop", "n_lines", "n_dropped"]
+    assert {r["__drop"] for r in found.collect()} == {"z"}
+    assert drop_site_lines(pages.limit(0)).count() == 0
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert difference(op10_line_dedup(spark, sf_dir), connect(sf_dir), ORACLE) is None
+    assert difference(op10_line_dedup(spark, "/root/testdata/sf0.01"), connect("/root/testdata/sf0.01"), ORACLE) is None
