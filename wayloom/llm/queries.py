@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from wayloom.llm import decontamination, language, packing, sharding
+from wayloom.llm import decontamination, language, line_dedup, packing, sharding, url_filter
 
 
 def all_queries() -> dict:
     found = (
+        url_filter.op2_url_filter,
         packing.op3_packing,
         decontamination.op6_benchmark_decontamination,
         language.op7_language_id,
         sharding.op8_sharding,
+        line_dedup.op10_line_dedup,
     )
     return {query.__name__: query for query in found}
 
 
 def all_oracles() -> dict[str, str]:
     return {
+        "op2_url_filter": url_filter.ORACLE,
         "op6_benchmark_decontamination": decontamination.ORACLE,
+        "op10_line_dedup": line_dedup.ORACLE,
     }
