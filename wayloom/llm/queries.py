@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wayloom.llm import decontamination, language, line_dedup, packing, sharding, url_filter
+from wayloom.llm import decontamination, fingerprints, language, line_dedup, packing, sharding, url_filter
 
 
 def all_queries() -> dict:
     found = (
+        fingerprints.op1_document_fingerprints,
         url_filter.op2_url_filter,
         packing.op3_packing,
         decontamination.op6_benchmark_decontamination,
