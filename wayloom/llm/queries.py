@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayloom.llm import decontamination, fingerprints, language, line_dedup, near_join, packing, sharding, url_filter
+from wayloom.llm import decontamination, fingerprints, html_extraction, language, line_dedup, near_join, packing, sharding, url_filter
 
 
 def all_queries() -> dict:
@@ -11,6 +11,7 @@ def all_queries() -> dict:
         url_filter.op2_url_filter,
         packing.op3_packing,
         near_join.op4_ngram_jaccard_join,
+        html_extraction.op5_html_extraction,
         decontamination.op6_benchmark_decontamination,
         language.op7_language_id,
         sharding.op8_sharding,

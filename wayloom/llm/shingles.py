@@ -23,13 +23,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word as 8 bytes; a bounded memory of words seen."""
 
-    def __missing__(self, word: str) -> bytes:
-        found = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: str | bytes) -> bytes:
+        found = xxhash.xxh3_64_digest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         if len(self) < MAX_WORDS:
             self[word] = found
         return found
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype=np.uint64)
 
 
