@@ -3,10 +3,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tests.compare import connect, difference
 from wayloom.llm import near_join as nj
 from wayloom.llm.components import components
 from wayloom.llm.near_join import keep_one_of_each, near_classes
-from wayloom.llm.tables import table
 
 
 def shingles(text, size=5):
@@ -83,9 +83,10 @@ def test_blocks_give_the_same(spark, documents, monkeypatch):
     compare(spark, documents)
 
 
-def test_given_documents(spark):
-    rows = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
-    compare(spark, [(r.doc_id, r.text) for r in rows])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_sql(spark, sf):
+    path = f"/root/testdata/{sf}"
+    assert difference(nj.op4_ngram_jaccard_join(spark, path), connect(path), nj.ORACLE) is None
 
 
 def test_one_of_each_stays(spark, documents):

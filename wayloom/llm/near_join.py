@@ -304,3 +304,20 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "class_id", "n_class", "n_links"
     )
+
+
+# All pairs that share a shingle, and whatever can be reached over similar ones.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+p AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT r, r AS q FROM d UNION SELECT reach.r, p.b FROM reach JOIN p ON p.a = reach.q),
+k AS (SELECT reach.r, min(d.doc_id) AS class_id, count(*) AS n_class FROM reach JOIN d ON d.r = reach.q GROUP BY reach.r),
+l AS (SELECT a AS r, count(*) AS n_links FROM p GROUP BY a)
+SELECT doc_id, class_id, n_class, coalesce(n_links, 0)::BIGINT AS n_links FROM d JOIN k USING (r) LEFT JOIN l USING (r)
+"""

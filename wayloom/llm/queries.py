@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayloom.llm import decontamination, fingerprints, html_extraction, language, line_dedup, near_join, packing, sharding, url_filter
+from wayloom.llm import decontamination, fingerprints, html_extraction, language, line_dedup, near_join, packing, sharding, substring_dedup, url_filter
 
 
 def all_queries() -> dict:
@@ -15,6 +15,7 @@ def all_queries() -> dict:
         decontamination.op6_benchmark_decontamination,
         language.op7_language_id,
         sharding.op8_sharding,
+        substring_dedup.op9_substring_dedup,
         line_dedup.op10_line_dedup,
     )
     return {query.__name__: query for query in found}
@@ -23,6 +24,8 @@ def all_queries() -> dict:
 def all_oracles() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.ORACLE,
+        "op4_ngram_jaccard_join": near_join.ORACLE,
         "op6_benchmark_decontamination": decontamination.ORACLE,
+        "op9_substring_dedup": substring_dedup.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
     }
