@@ -1,6 +1,7 @@
 """The walk against a plain breadth-first search."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -108,26 +109,34 @@ def test_any_graph(spark, edges, roots, owner):
     assert build.rows(found) == owners(edges, roots, 3, owner)
 
 
-def test_hub_links_are_spread_and_links_are_not_shuffled_again(spark):
-    hub = build.items(spark, [build.item("/hub", [f"/x{i}" for i in range(400)])] +
-                      [build.item(f"/x{i}", ["/hub"]) for i in range(400)])
+@pytest.mark.parametrize("hub", [True, False])
+def test_a_level_moves_only_what_it_finds(spark, hub):
+    """Links, addresses and earlier levels are read in their buckets, with and without hubs."""
+    nodes = [f"/x{i}" for i in range(400)]
+    rows = [build.item("/hub", nodes if hub else nodes[:5])] + [build.item(node, ["/hub"]) for node in nodes]
     store = CrawlState(spark, fresh_dir(spark, "plan"))
-    balanced = walk.stage_graph(hub, links.item_addresses(hub), store, bucket_rows=100)
+    staged = walk.stage_graph(build.items(spark, rows), store, bucket_rows=100)
     try:
-        hubs = balanced.hubs.collect()
-        assert [row.src for row in hubs] == ["/hub"] and hubs[0].copies > 1
-        assert balanced.edges.filter("src = '/hub'").select("salt").distinct().count() > 1
-        assert balanced.edges.count() == 800
+        hubs = staged.hubs.collect()
+        assert [row.src for row in hubs] == (["/hub"] if hub else []) and staged.buckets > 1
+        parts = staged.edges.filter(r"src_part LIKE '/hub\n%'").select("src_part").distinct().count()
+        assert parts > 1 if hub else parts == 1
+        assert staged.edges.count() == (800 if hub else 405)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        level = spark.createDataFrame([("/hub", 0, True, 0)], "path STRING, ord INT, is_new BOOLEAN, depth INT")
-        plan = walk.next_level(level, level, balanced, True)._jdf.queryExecution().executedPlan().toString()
-        scan = plan[: plan.index("wayloom_links_")].rsplit("SortMergeJoin", 1)[1]
-        assert "Bucketed: true" in plan
-        # Between the join and the bucketed scan there is one exchange: that of the frontier.
-        assert scan.count("Exchange hashpartitioning(src") == 1
+        levels = []
+        for depth, path in enumerate(("/hub", "/x1", "/x2")):
+            level = spark.createDataFrame([(path, 0, True)], "path STRING, ord INT, is_new BOOLEAN")
+            levels.append(store.save_level(depth, level.repartition(staged.pages, "path"), staged.pages)[0])
+        found = walk.next_level(levels, staged, True)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        plan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+        # Sources to the links, targets to the addresses, pages to the levels; the rest lies still.
+        assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == ["dst", "path", "src_part"]
+        assert plan.count("Bucketed: true") == 6 and "Bucketed: false" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        balanced.release()
+        store.release()
 
 
 def test_fan_out(spark):
@@ -164,10 +173,12 @@ def test_half_written_level_is_replaced(spark):
     torn = CrawlState(spark, state)
     torn.open()
     other = build.items(spark, [build.item("/other", ["/n0"])])
-    walk.stage_graph(other, torn.save("addresses", links.item_addresses(other)), torn).release()
+    walk.stage_graph(other, torn)
+    torn.release()
     walk.crawl(frame, catalogue, max_depth=1, state=state)
     store = CrawlState(spark, state)
-    store.save_level(2, spark.createDataFrame([("/junk", 0, True)], "path STRING, ord INT, is_new BOOLEAN"))
+    store.save_level(2, spark.createDataFrame([("/junk", 0, True)], "path STRING, ord INT, is_new BOOLEAN"), 3)
+    store.release()
     found = walk.crawl(frame, catalogue, max_depth=3, state=state)
     assert [row[1] for row in build.rows(found)] == ["/n0", "/n1", "/n2", "/n3"]
 
@@ -184,6 +195,25 @@ def test_snapshots(spark):
         walk.crawl(frame, build.sections(spark, "/root"), state=state, owner="nearest")
 
 
+def test_state_of_other_inputs_is_refused(spark):
+    frame = build.items(spark, [build.item("/a", ["/b"]), build.item("/b"), build.item("/c", ["/b"])])
+    state = fresh_dir(spark, "other")
+    walk.crawl(frame, build.sections(spark, "/a"), state=state)
+    with pytest.raises(ValueError):
+        walk.crawl(frame, build.sections(spark, "/c"), state=state)
+    with pytest.raises(ValueError):
+        walk.crawl(frame.filter("base_path <> '/b'"), build.sections(spark, "/a"), state=state)
+    assert walk.crawl(frame, build.sections(spark, "/a"), state=state).count() == 2
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("wayloom_")]
+
+
+def test_deep_walk(spark):
+    edges = [(f"/n{i}", f"/n{i + 1}") for i in range(12)] + [("/n11", "/n0")]
+    frame = graph(spark, edges, [f"/n{i}" for i in range(13)])
+    found = walk.crawl(frame, build.sections(spark, "/n0"), max_depth=20)
+    assert sorted(row[2] for row in build.rows(found)) == list(range(13))
+
+
 def test_snapshot_cadence():
     since = 0
     due = []

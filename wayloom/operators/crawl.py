@@ -1,7 +1,7 @@
 """Depth-limited walk of the link graph from section roots.
 
 The walk goes level by level. Each level is one join of the pages found last with the
-links, one lookup of the targets and one merge with the pages seen so far.
+links, one lookup of the targets and one look at the pages of each level so far.
 
 Which section owns a page, ``owner``:
 
@@ -17,10 +17,10 @@ the page later, the lower one has reached in as many steps or fewer.
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayloom.operators.links import followable_edges, item_addresses, link_rows
@@ -32,25 +32,23 @@ BUCKET_ROWS = 8_000_000
 SMALL_BUCKET_ROWS = 100_000
 MAX_BUCKETS = 100_000
 MAX_HUBS = 100_000
+JOINED_LEVELS = 8
 
 
 @dataclass(frozen=True)
 class LinkGraph:
-    """Links (src, salt, dst) bucketed by src and salt, and where each link leads.
+    """Links and where they lead, laid out so that a level moves only what it finds.
 
-    ``hubs`` (src, copies) lists the sources whose links are spread over several buckets
-    by ``salt``; None when there are none, and every salt is 0.
+    ``edges`` (src_part, dst) are bucketed by ``src_part``, the source and the number of its
+    part; only ``hubs`` (src, copies) have more than part 0. ``addresses`` are bucketed by
+    requested_path into ``pages``, the number of partitions that aggregates shuffle to.
     """
 
     edges: DataFrame
     addresses: DataFrame
-    hubs: DataFrame | None
+    hubs: DataFrame
     buckets: int
-    table: str
-
-    def release(self) -> None:
-        """Forget the table's name; its files stay."""
-        self.edges.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+    pages: int
 
 
 def crawl(
@@ -68,7 +66,9 @@ def crawl(
     ``items`` has the shape of ``CONTENT_ITEMS``, ``sections`` that of ``SECTIONS``. With a
     ``state`` folder the walk saves a snapshot at every level that brings the pages since the
     last one to ``snapshot_every``, and one at its end; where the folder holds snapshots it
-    goes on from the deepest one, over the items and sections saved there.
+    goes on from the deepest one. A state of other items, sections or owner is refused.
+
+    ``bucket_rows`` is the number of links a bucket may hold; hubs and parts follow from it.
     """
     if owner not in OWNERS:
         raise ValueError(f"owner must be one of {OWNERS}")
@@ -83,20 +83,24 @@ def crawl(
     if last and last.owner != owner:
         raise ValueError(f"the state in {store.path} was made with owner={last.owner}")
 
-    addresses = item_addresses(items)
     roots = sections.select("ord", F.col("path").alias("section"))
-    if last:
-        addresses, roots = store.load("addresses", addresses.schema), store.load("roots", roots.schema)
-        graph = open_graph(store, addresses, last.link_buckets, last.link_hubs)
-        depth, fresh, pages, saved_pages = last.depth, None, last.pages_processed, last.pages_processed
-    else:
-        addresses, roots = store.save("addresses", addresses), store.save("roots", roots)
-        graph = stage_graph(items, addresses, store, bucket_rows)
-        depth, saved_pages = 0, 0
-        fresh, pages = store.save_level(0, _root_level(roots, addresses))
-
-    facts = {"owner": owner, "link_buckets": graph.buckets, "link_hubs": graph.hubs is not None}
+    made_from = _inputs(items, roots) if state else None
+    if last and last.inputs != made_from:
+        raise ValueError(f"the state in {store.path} was made from other items or sections")
     try:
+        if last:
+            roots = store.load("roots", roots.schema)
+            graph = open_graph(store, last.link_buckets, last.page_buckets)
+            levels = [store.open_level(depth, graph.pages) for depth in range(last.depth + 1)]
+            depth, fresh, pages, saved_pages = last.depth, None, last.pages_processed, last.pages_processed
+        else:
+            roots = store.save("roots", roots)
+            graph = stage_graph(items, store, bucket_rows)
+            depth, saved_pages = 0, 0
+            level, fresh, pages = store.save_level(0, _root_level(roots, graph.addresses), graph.pages)
+            levels = [level]
+
+        facts = {"owner": owner, "link_buckets": graph.buckets, "page_buckets": graph.pages, "inputs": made_from}
         while True:
             ending = fresh == 0 or depth >= max_depth
             due = ending or snapshot_due(saved_pages, pages, snapshot_every)
@@ -105,23 +109,32 @@ def crawl(
                 saved_pages = pages
             if ending:
                 break
-            found = next_level(store.levels(depth, depth), store.levels(0, depth), graph, owner == "first_section")
+            found = next_level(levels, graph, owner == "first_section")
             depth += 1
-            fresh, new_pages = store.save_level(depth, found)
+            level, fresh, new_pages = store.save_level(depth, found, graph.pages)
+            levels.append(level)
             pages += new_pages
     finally:
-        graph.release()
+        store.release()
 
     owned = _owned_pages(store.levels(0, min(depth, max_depth)), owner)
     return owned.join(roots, "ord").select("section", "path", "depth_level")
 
 
-def stage_graph(items: DataFrame, addresses: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_ROWS) -> LinkGraph:
-    """Bucket the links by source once, so that no level has to shuffle them again.
+def _inputs(items: DataFrame, roots: DataFrame) -> str:
+    """A mark of what a walk starts from, whatever the order of the rows."""
+    linked = F.xxhash64("requested_path", "base_path", "list_from", F.map_entries("links"))
+    of_items = items.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(linked).alias("x")).first()
+    of_roots = roots.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("ord", "section")).alias("x")).first()
+    return f"{of_items['n']}:{of_items['x']} {of_roots['n']}:{of_roots['x']}"
+
 
-    A source with more links than an eighth of a bucket is a hub: its links are salted by
-    target over several buckets. A hub has more than 1/MAX_HUBS of all links, so there are
-    fewer than MAX_HUBS of them, and their list is safe to broadcast.
+def stage_graph(items: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_ROWS) -> LinkGraph:
+    """Bucket the links by source and the addresses by request, once for all levels.
+
+    A source with more links than an eighth of a bucket is a hub: its links are spread by
+    target over several parts. A hub has more than 1/MAX_HUBS of all links, so there are
+    fewer than MAX_HUBS of them, and their list, empty or not, is safe to broadcast.
     """
     spark = items.sparkSession
     share = max(1, bucket_rows // 8)
@@ -133,77 +146,72 @@ def stage_graph(items: DataFrame, addresses: DataFrame, store: CrawlState, bucke
     )
     large = store.save("hubs", degrees.filter(F.col("n") > share).select("src", "n"))
     total = counted.get["links"] or 0
-    floor = max(share, total // MAX_HUBS)
-    hubs = _copies(large, floor, share)
-    salted = followable_edges(items)
-    if hubs.isEmpty():
-        hubs = None
-        salted = salted.select("src", F.lit(0).alias("salt"), "dst")
-    else:
-        hubs = store.save("hubs_in_use", hubs)
-        salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("copies")).cast("int"), F.lit(0))
-        salted = salted.join(F.broadcast(hubs), "src", "left").select("src", salt.alias("salt"), "dst")
+    hubs = store.save("hubs_in_use", _copies(large, max(share, total // MAX_HUBS), share))
     at_hand = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(at_hand, math.ceil(total / SMALL_BUCKET_ROWS)), math.ceil(total / bucket_rows))
     buckets = min(buckets, MAX_BUCKETS)
-    table = _table_name()
-    (
-        salted.repartition(buckets, "src", "salt")
-        .write.format("parquet")
-        .mode("overwrite")
-        .bucketBy(buckets, "src", "salt")
-        .sortBy("src", "salt")
-        .option("path", f"{store.path}/links")
-        .saveAsTable(table)
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("copies")), F.lit(0))
+    parts = followable_edges(items).join(F.broadcast(hubs), "src", "left").select(
+        _src_part(F.col("src"), part).alias("src_part"), "dst"
     )
-    return LinkGraph(spark.table(table), addresses, hubs, buckets, table)
+    edges = store.bucketed("links", parts.repartition(buckets, "src_part"), "src_part", buckets)
+    addresses = item_addresses(items).repartition(at_hand, "requested_path")
+    return LinkGraph(edges, store.bucketed("addresses", addresses, "requested_path", at_hand), hubs, buckets, at_hand)
 
 
-def open_graph(store: CrawlState, addresses: DataFrame, buckets: int, has_hubs: bool) -> LinkGraph:
+def open_graph(store: CrawlState, buckets: int, pages: int) -> LinkGraph:
     """The graph of an earlier run, from its files."""
-    table = _table_name()
-    store.spark.sql(
-        f"CREATE TABLE {table} (src STRING, salt INT, dst STRING) USING parquet "
-        f"CLUSTERED BY (src, salt) SORTED BY (src, salt) INTO {buckets} BUCKETS LOCATION '{store.path}/links'"
+    return LinkGraph(
+        store.reopen("links", "src_part STRING, dst STRING", "src_part", buckets),
+        store.reopen("addresses", "requested_path STRING, path STRING", "requested_path", pages),
+        store.load("hubs_in_use", "src STRING, copies INT"), buckets, pages,
     )
-    hubs = store.load("hubs_in_use", "src STRING, copies INT") if has_hubs else None
-    return LinkGraph(store.spark.table(table), addresses, hubs, buckets, table)
 
 
-def _copies(large: DataFrame, floor: int, share: int) -> DataFrame:
-    return large.filter(F.col("n") > floor).select("src", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("copies"))
+def _src_part(src: Column, part: Column) -> Column:
+    """One key for a source and a part of its links; no path holds a line end."""
+    return F.concat(src, F.lit("\n"), part.cast("string"))
 
 
-def _table_name() -> str:
-    return f"wayloom_links_{uuid.uuid4().hex}"
+def _copies(large: DataFrame, floor: int, share: int) -> DataFrame:
+    return large.filter(F.col("n") > floor).select("src", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("copies"))
 
 
-def next_level(frontier: DataFrame, seen: DataFrame, graph: LinkGraph, improve: bool) -> DataFrame:
-    """Pages one link beyond ``frontier``: path, ord, is_new.
+def next_level(levels: list[DataFrame], graph: LinkGraph, improve: bool) -> DataFrame:
+    """Pages one link beyond the last of ``levels``: path, ord, is_new.
 
-    A page counts if it is not in ``seen`` or, with ``improve``, if a lower section than
-    any before found it.
+    A page counts if it is in none of them or, with ``improve``, if a lower section than
+    any before found it. Targets and then pages are shuffled once; links, addresses and
+    earlier levels are read where they lie.
     """
-    sources = frontier.select(F.col("path").alias("src"), "ord")
-    if graph.hubs is None:
-        sources = sources.withColumn("salt", F.lit(0))
-    else:
-        last_copy = F.coalesce("copies", F.lit(1)) - 1
-        sources = sources.join(F.broadcast(graph.hubs), "src", "left").select(
-            "src", "ord", F.explode(F.sequence(F.lit(0), last_copy)).alias("salt")
-        )
+    last_copy = F.coalesce("copies", F.lit(1)) - 1
+    sources = (
+        levels[-1].select(F.col("path").alias("src"), "ord").join(F.broadcast(graph.hubs), "src", "left")
+        .select("src", "ord", F.explode(F.sequence(F.lit(0), last_copy)).alias("part"))
+        .select(_src_part(F.col("src"), F.col("part")).alias("src_part"), "ord")
+    )
     targets = (
-        sources.join(graph.edges, ["src", "salt"])
+        sources.join(graph.edges, "src_part")
         .groupBy(F.col("dst").alias("requested_path"))
         .agg(F.min("ord").alias("found"))
     )
-    nothing = F.lit(None).cast("int")
-    found = targets.join(graph.addresses, "requested_path").select("path", "found", nothing.alias("known"))
-    known = seen.select("path", nothing.alias("found"), F.col("ord").alias("known"))
-    merged = found.unionAll(known).groupBy("path").agg(F.min("found").alias("ord"), F.min("known").alias("known"))
-    is_new = F.col("known").isNull()
-    wanted = is_new | (F.col("ord") < F.col("known")) if improve else is_new
-    return merged.filter(F.col("ord").isNotNull() & wanted).select("path", "ord", is_new.alias("is_new"))
+    found = targets.join(graph.addresses, "requested_path").groupBy("path").agg(F.min("found").alias("ord"))
+    known = []
+    for seen in _seen(levels):
+        known.append(f"known_{len(known)}")
+        found = found.join(seen.select("path", F.col("ord").alias(known[-1])), "path", "left")
+    least = F.least(*known) if len(known) > 1 else F.col(known[0])
+    wanted = least.isNull() | (F.col("ord") < least) if improve else least.isNull()
+    return found.filter(wanted).select("path", "ord", least.isNull().alias("is_new"))
+
+
+def _seen(levels: list[DataFrame]) -> list[DataFrame]:
+    """The last levels one by one; those before, of very deep walks, with one row per page."""
+    old, last = levels[:-JOINED_LEVELS], levels[-JOINED_LEVELS:]
+    if not old:
+        return last
+    merged = reduce(DataFrame.unionAll, [level.select("path", "ord") for level in old])
+    return [merged.groupBy("path").agg(F.min("ord").alias("ord")), *last]
 
 
 def _root_level(roots: DataFrame, addresses: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ says rounds 0 to k are whole. A round without its snapshot is written again on r
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 LEVELS = "path STRING, ord INT, is_new BOOLEAN, depth INT"
 SNAPSHOTS = (
     "pages_processed BIGINT, sections_covered BIGINT, snapshots_due BIGINT, "
-    "owner STRING, link_buckets INT, link_hubs BOOLEAN, depth INT"
+    "owner STRING, link_buckets INT, page_buckets INT, inputs STRING, depth INT"
 )
 DEFAULT_INTERVAL = 100
 
@@ -22,6 +24,36 @@ class CrawlState:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._tables: dict[str, str] = {}
+
+    def bucketed(self, name: str, rows: DataFrame, key: str, buckets: int) -> DataFrame:
+        """The rows in ``buckets`` by ``key``. Only a named table remembers its buckets, so it
+        has a name until ``release``."""
+        table = self._name(name)
+        (
+            rows.write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
+            .option("path", f"{self.path}/{name}").saveAsTable(table)
+        )
+        return self.spark.table(table)
+
+    def reopen(self, name: str, columns: str, key: str, buckets: int) -> DataFrame:
+        """A bucketed table of an earlier run, from its files."""
+        table = self._name(name)
+        self.spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+            f"INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'"
+        )
+        return self.spark.table(table)
+
+    def _name(self, name: str) -> str:
+        self._tables[name] = f"wayloom_{name.replace('/', '_').replace('=', '_')}_{uuid.uuid4().hex}"
+        return self._tables[name]
+
+    def release(self) -> None:
+        """Forget the names of the bucketed tables; their files stay."""
+        for table in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables.clear()
 
     def save(self, name: str, rows: DataFrame) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -30,27 +62,29 @@ class CrawlState:
     def load(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def save_level(self, depth: int, rows: DataFrame) -> tuple[int, int]:
-        """Write one round; returns its rows and how many of them are pages not met before.
+    def save_level(self, depth: int, rows: DataFrame, buckets: int) -> tuple[DataFrame, int, int]:
+        """Write one round, bucketed by path; returns it, its rows and how many of them are
+        pages not met before.
 
         Both counts come with the write itself. They are taken above the last shuffle,
         where a task that runs again counts once.
         """
         counts = Observation()
-        (
-            rows.select("path", "ord", "is_new")
-            .observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if("is_new").alias("pages"))
-            .write.mode("overwrite")
-            .parquet(f"{self.path}/levels/depth={depth}")
+        counted = rows.select("path", "ord", "is_new").observe(
+            counts, F.count(F.lit(1)).alias("rows"), F.count_if("is_new").alias("pages")
         )
-        return counts.get["rows"], counts.get["pages"]
+        level = self.bucketed(f"levels/depth={depth}", counted, "path", buckets)
+        return level, counts.get["rows"], counts.get["pages"]
+
+    def open_level(self, depth: int, buckets: int) -> DataFrame:
+        return self.reopen(f"levels/depth={depth}", "path STRING, ord INT, is_new BOOLEAN", "path", buckets)
 
     def levels(self, first: int, last: int) -> DataFrame:
         """Pages of the rounds ``first`` to ``last``; other rounds are not read."""
         return self.load("levels", LEVELS).filter(F.col("depth").between(first, last))
 
     def save_snapshot(self, depth: int, interval: int, **facts) -> None:
-        """``facts`` are the columns that describe the walk: owner, link_buckets, link_hubs."""
+        """``facts`` are the columns that describe the walk: owner, buckets, inputs."""
         pages = F.count_if("is_new")
         row = self.levels(0, depth).agg(
             pages.alias("pages_processed"),
