@@ -1,6 +1,7 @@
 """P1 to P6, P9, S1 to S3, F1, F2, P16."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,7 +139,8 @@ def test_page_record_defaults(spark):
 
 def test_fetch_outcomes(spark):
     good = json.dumps({"base_path": "/a", "title": "T", "body": "B", "links": {"related": [{"base_path": "/b"}]}})
-    odd = json.dumps({"base_path": "/odd", "title": "T", "body": {}, "links": {"related": "not a list"}})
+    odd = json.dumps({"base_path": "/odd", "title": "T", "body": {}, "links": {
+        "related": "not a list", "more": ["plain", {"base_path": "/kept"}, 7, {"title": "no path"}], "none": []}})
     log = build.fetches(spark, [
         (1, "c", "/a", None, 200, good, None),
         (2, "c", "/b", None, 404, None, None),
@@ -158,11 +160,36 @@ def test_fetch_outcomes(spark):
     assert set(landed) == {"/a", "/b", "/odd"}
     assert landed["/b"].error == "not_found" and landed["/b"].base_path is None
     assert landed["/a"].links["related"][0].base_path == "/b"
-    assert landed["/odd"].links is None and landed["/odd"].base_path == "/odd"
+    assert landed["/odd"].base_path == "/odd" and set(landed["/odd"].links) == {"more", "none"}
+    assert [(link.title, link.base_path) for link in landed["/odd"].links["more"]] == [(None, "/kept"), ("no path", None)]
     status = {r.path: r.status for r in pages.page_records(source.items_from_fetches(log)).collect()}
     assert status == {"/a": "active", "/odd": "placeholder"}
 
 
+def test_repeated_keys_and_refetches(spark):
+    at = [datetime(2024, 1, day) for day in range(1, 5)]
+    page = lambda title: f'{{"base_path": "/a", "title": "old", "title": "{title}"}}'
+    log = build.fetches(spark, [
+        (1, "c", "/a", at[0], 200, page("first"), None), (2, "c", "/a", at[2], 200, page("last"), None),
+        (3, "c", "/a", at[1], 404, None, None), (4, "c", "/a", at[3], 500, None, None),
+        (5, "c", "/b", at[0], 200, page("b"), None), (6, "c", "/b", at[1], 404, None, None),
+        (7, "c", "/s", at[0], 200, "[1]", None), (8, "c", "/n", at[0], 200, '{"links": null, "title": 5}', None),
+    ])
+    landed = {r.requested_path: r for r in source.items_from_fetches(log).collect()}
+    assert len(landed) == 4 and landed["/a"].title == "last" and landed["/a"].error is None
+    assert landed["/b"].error == "not_found" and landed["/b"].title is None
+    assert landed["/s"].base_path is None and (landed["/n"].title, landed["/n"].links) == ("5", None)
+
+
+def test_large_bodies_are_not_called_bad(spark):
+    body = F.concat(F.lit('{"x": "'), F.repeat(F.lit("y"), 140_000_000))
+    log = spark.range(1).select(
+        F.lit(1).alias("request_id"), F.lit("/a").alias("requested_path"), F.lit(200).alias("http_status"), body.alias("body"),
+        F.lit(None).cast("string").alias("transport_error"),
+    )
+    assert source.outcome_counts(log).first().outcome == "Response too large to parse"
+
+
 @pytest.mark.parametrize("fmt", ["json", "parquet"])
 def test_read_items_round_trip(spark, tmp_path, fmt):
     frame = build.items(spark, [build.item("/a", ["/b"], requested="/old"), build.item("/b")])

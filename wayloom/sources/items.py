@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.schemas import CONTENT_ITEMS, DOCUMENT, FETCH_LOG
+from wayloom.schemas import CONTENT_ITEMS, DOCUMENT, FETCH_LOG, LINK
 
 
 def read_items(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -18,27 +18,52 @@ def read_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return spark.read.schema(FETCH_LOG).format(fmt).load(path)
 
 
-def fetch_outcome(http_status: Column, body: Column, transport_error: Column) -> Column:
-    """``ok``, ``not_found`` or the error text of one response."""
+# The outcomes of a fetch, as they appear in counts and reports.
+TIMED_OUT, FAILED, NOT_FOUND, RATE_LIMITED, OK = "Request timed out", "Request failed", "not_found", "Rate limit exceeded", "ok"
+BAD_JSON, TOO_LARGE = "Invalid JSON response from API", "Response too large to parse"
+
+# Above this size the JSON reader may give up on a good document.
+MAX_BODY_BYTES = 16 << 20
+
+
+def fetch_outcome(http_status: Column, body: Column, transport_error: Column, doc: Column) -> Column:
+    """``ok``, ``not_found`` or the error text of one response, whose parsed body is ``doc``.
+
+    A large body that can't be parsed is an outcome of its own: it may be good JSON.
+    """
     return (
-        F.when(transport_error == "timeout", F.lit("Request timed out"))
-        .when(transport_error.isNotNull() | http_status.isNull(), F.lit("Request failed"))
-        .when(http_status == 404, F.lit("not_found"))
-        .when(is_rate_limited(http_status), F.lit("Rate limit exceeded"))
+        F.when(transport_error == "timeout", F.lit(TIMED_OUT))
+        .when(transport_error.isNotNull() | http_status.isNull(), F.lit(FAILED))
+        .when(http_status == 404, F.lit(NOT_FOUND))
+        .when(is_rate_limited(http_status), F.lit(RATE_LIMITED))
         .when(http_status >= 400, F.concat(F.lit("HTTP "), http_status.cast("string")))
-        .when(F.try_parse_json(body).isNull(), F.lit("Invalid JSON response from API"))
-        .otherwise(F.lit("ok"))
+        .when(doc.isNull() & (F.octet_length(body) > MAX_BODY_BYTES), F.lit(TOO_LARGE))
+        .when(doc.isNull(), F.lit(BAD_JSON))
+        .otherwise(F.lit(OK))
     )
 
 
+def parsed_body(fetch_log: DataFrame) -> Column:
+    """The body as a variant, null if it is no JSON. Of a repeated key the last value counts."""
+    fetch_log.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json("body")
+
+
 def is_rate_limited(http_status: Column) -> Column:
     """Refused for too many requests."""
     return F.coalesce(http_status == 429, F.lit(False))
 
 
+def _classified(fetch_log: DataFrame) -> DataFrame:
+    """The log with ``doc`` and ``outcome``; each body is parsed once."""
+    parsed = fetch_log.withColumn("doc", parsed_body(fetch_log))
+    outcome = fetch_outcome(F.col("http_status"), F.col("body"), F.col("transport_error"), F.col("doc"))
+    return parsed.withColumn("outcome", outcome)
+
+
 def classify_fetches(fetch_log: DataFrame) -> DataFrame:
     """The log with its ``outcome`` column."""
-    return fetch_log.withColumn("outcome", fetch_outcome(F.col("http_status"), F.col("body"), F.col("transport_error")))
+    return _classified(fetch_log).drop("doc")
 
 
 def outcome_counts(fetch_log: DataFrame) -> DataFrame:
@@ -46,16 +71,32 @@ def outcome_counts(fetch_log: DataFrame) -> DataFrame:
 
 
 def items_from_fetches(fetch_log: DataFrame) -> DataFrame:
-    """Content items of the good and the not-found responses; failed requests drop out."""
-    document = F.when(F.col("outcome") == "ok", F.from_json("body", DOCUMENT))
-    return (
-        classify_fetches(fetch_log)
-        .filter(F.col("outcome").isin("ok", "not_found"))
-        .select("requested_path", "outcome", document.alias("doc"))
-        .select(
-            "requested_path",
-            "doc.*",
-            F.when(F.col("outcome") == "not_found", F.col("outcome")).alias("error"),
-            F.lit(None).cast("bigint").alias("list_from"),
-        )
+    """Content items of the good and the not-found responses; failed requests drop out.
+
+    Of several such responses to one request path the latest counts, the larger request id
+    first at one instant: a later 404 takes a page away, a later failure doesn't.
+    """
+    answers = _classified(fetch_log).filter(F.col("outcome").isin(OK, NOT_FOUND))
+    latest = answers.groupBy("requested_path").agg(
+        F.max_by(F.struct("outcome", F.when(F.col("outcome") == OK, F.col("doc")).alias("doc")), F.struct("fetched_at", "request_id")).alias("last")
+    )
+    fields = [f"try_variant_get(doc, '$.{name}', 'string') AS {name}" for name in _SCALARS]
+    return latest.select("requested_path", "last.outcome", "last.doc").selectExpr(
+        "requested_path", *fields, f"{_DOC_LINKS} AS links",
+        f"CASE WHEN outcome = '{NOT_FOUND}' THEN outcome END AS error", "CAST(NULL AS BIGINT) AS list_from",
     )
+
+
+_SCALARS = [field.split()[0] for field in DOCUMENT.split(", links ")[0].split(", ")]
+
+# Lists of links by type. What is no list, and entries that are no documents, are left out; the
+# others stay.
+_DOC_LINKS = f"""
+  transform_values(
+    map_filter(
+      transform_values(
+        try_variant_get(doc, '$.links', 'map<string,variant>'),
+        (kind, list) -> try_variant_get(list, '$', 'array<variant>')),
+      (kind, list) -> list IS NOT NULL),
+    (kind, list) -> filter(
+      transform(list, entry -> try_variant_get(entry, '$', '{LINK}')), link -> link IS NOT NULL))"""
