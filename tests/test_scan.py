@@ -28,12 +28,17 @@ def test_scan(spark, tmp_path):
     tables = scan(site(spark), as_of=AS_OF, excluded=["topic"], detail="detailed")
     assert build.rows(tables["pages"].select("section", "path", "depth_level")) == [
         ("/one", "/a", 1), ("/one", "/behind", 2), ("/one", "/one", 0), ("/two", "/b", 1), ("/two", "/two", 0)]
-    assert tuple(tables["metadata"].first()) == (5, 5, 2)
-    assert build.rows(tables["sections"]) == [("/one", 3, 3, 0), ("/two", 2, 1, 1)]
+    # Excluded pages leave the pages and analyses; what counts the scan still counts them.
+    assert tuple(tables["metadata"].first()) == ("2024-02-01T00:00:00", 5, 6, 2)
+    assert build.rows(tables["sections"]) == [("/one", 4, 4, 0), ("/two", 2, 1, 1)]
+    assert build.rows(tables["section_depths"]) == [("/one", 0, 1), ("/one", 1, 2), ("/one", 2, 1), ("/two", 0, 1), ("/two", 1, 1)]
+    assert ("content_type", "topic", 1) in build.rows(tables["progress"]) and ("depth", "2", 1) in build.rows(tables["progress"])
+    assert build.rows(tables["page_links"].select("path", "dst")) == [("/one", "/a"), ("/one", "/topic"), ("/two", "/a"), ("/two", "/b")]
+    assert {r.content_type for r in tables["type_distribution"].collect()} == {"browse_page", "guide"}
     assert {r.section: r.total_updates for r in tables["trends"].collect()} == {"/one": 1, "/two": 0, "/lost": 0}
     assert {r.section_title for r in tables["reports"].collect()} == {"One", "Two", "Lost"}
     lines = {r.line for r in tables["lines"].collect()}
-    assert {"Sections analyzed: 2", "Total links found: 5", "Duration: N/A", "browse_page: 2", "guide: 3"} <= lines
+    assert {"Sections analyzed: 2", "Total links found: 6", "Duration: N/A", "browse_page: 2", "guide: 3"} <= lines
     for fmt in exports.FORMATS:
         exports.export(tables, str(tmp_path / fmt), fmt)
     written = [json.loads(line) for part in (tmp_path / "json" / "pages").glob("*.json")

@@ -31,6 +31,23 @@ def new_links(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.select("path").distinct().join(seen.select("path"), "path", "left_anti")
 
 
+def links_beyond(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """depth, path: what the pages of each depth link to and no page of that depth or above is.
+
+    ``pages`` has path and depth_level. Targets are made distinct for each depth before they
+    are looked up, so a popular target is a row per depth.
+    """
+    targets = (
+        followable_edges(items)
+        .join(pages.select(F.col("path").alias("src"), F.col("depth_level").alias("depth")), "src")
+        .select("depth", F.col("dst").alias("requested_path"))
+        .distinct()
+    )
+    linked = targets.join(item_addresses(items), "requested_path").select("depth", "path").distinct()
+    seen = pages.groupBy("path").agg(F.min("depth_level").alias("seen"))
+    return linked.join(seen, "path", "left").filter("seen IS NULL OR seen > depth").select("depth", "path")
+
+
 def frontier(pages: DataFrame) -> DataFrame:
     """section, path, depth, priority of rows that have path, content_type, depth_level."""
     return pages.select(

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from wayloom.functions.content import is_followable, related_links
 
 
-def link_edges(items: DataFrame) -> DataFrame:
-    """One row per link that has a target: src, link_type, pos, dst."""
-    lists = items.select(F.col("base_path").alias("src"), "list_from", F.explode("links").alias("link_type", "entries"))
-    placed = lists.select("src", "list_from", "link_type", F.posexplode("entries").alias("index", "link"))
+def link_edges(items: DataFrame, *more: str) -> DataFrame:
+    """One row per link that has a target: src, link_type, pos, dst (P4), and ``more`` columns of its item."""
+    lists = items.select(
+        F.col("base_path").alias("src"), *more, "list_from", F.explode("links").alias("link_type", "entries")
+    )
+    placed = lists.select("src", *more, "list_from", "link_type", F.posexplode("entries").alias("index", "link"))
     return placed.filter(F.col("link.base_path").isNotNull()).select(
-        "src", "link_type", link_position(F.col("list_from"), F.col("index")).alias("pos"),
+        "src", *more, "link_type", link_position(F.col("list_from"), F.col("index")).alias("pos"),
         F.col("link.base_path").alias("dst"),
     )
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.content import content_type, last_updated, page_status, publishing_org, related_links
+from wayloom.functions.times import instant, iso_text
+from wayloom.operators.links import link_edges
 
 
 def _has_path() -> Column:
@@ -68,9 +70,24 @@ def section_rollup(pages: DataFrame) -> DataFrame:
     )
 
 
-def scan_metadata(pages: DataFrame, max_depth: int) -> DataFrame:
-    """One row: pages, sections and depth limit of the scan."""
+def page_links(pages: DataFrame, items: DataFrame, max_depth: int) -> DataFrame:
+    """section, path, link_type, pos, dst: the links of all pages below the depth limit (P5).
+
+    An item with several addresses is read once, by its first one, as in the page table.
+    """
+    first = (
+        items.filter(F.col("list_from").isNull() & _has_path())
+        .groupBy(F.col("base_path").alias("path")).agg(F.min("requested_path").alias("requested_path"))
+    )
+    below = pages.filter(F.col("depth_level") < max_depth).select("section", "path").join(first, "path")
+    links = link_edges(items, "requested_path").withColumnRenamed("src", "path")
+    return below.join(links, ["path", "requested_path"]).select("section", "path", "link_type", "pos", "dst")
+
+
+def scan_metadata(pages: DataFrame, max_depth: int, as_of: str | Column) -> DataFrame:
+    """One row: when the scan was made, its pages, sections and depth limit."""
     return pages.agg(
+        iso_text(instant(as_of)).alias("scanned_at"),
         F.lit(max_depth).alias("depth_limit"),
         F.count(F.lit(1)).alias("total_pages"),
         F.count_distinct("section").alias("sections_covered"),

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.scoring import complexity_score, staleness_score
-from wayloom.functions.times import iso_text
+from wayloom.functions.times import instant, iso_text
 from wayloom.operators.trends import (
     depth_metrics,
-    instant,
     join_trends,
     top_content_types,
     top_publishers,

@@ -12,17 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayloom.functions.times import DAY_MICROS, age_days, age_micros, floor_div, iso_text, parse_iso
+from wayloom.functions.times import DAY_MICROS, age_days, age_micros, floor_div, instant, iso_text, parse_iso
 
 NO_UPDATES = "No update data available"
 TOP_TYPES = 3
 TOP_PUBLISHERS = 5
 
 
-def instant(as_of: str | Column) -> Column:
-    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
-
-
 def update_patterns(pages: DataFrame, as_of: str | Column) -> DataFrame:
     """Oldest and newest update, how many, and the age in full days of the mean one (A1, K4).
 

@@ -185,7 +185,7 @@ PRIORITY = """CAST(greatest(1, depth_level * 10
     WHEN 'transaction' THEN -300 ELSE 0 END
   + CASE WHEN contains(path, '/services/') THEN -100 ELSE 0 END
   + CASE WHEN contains(path, '/guidance/') THEN -50 ELSE 0 END) AS INTEGER)"""
-QUEUE = f"SELECT section, path, depth_level AS depth, {PRIORITY} AS priority FROM site WHERE depth_level = 3"
+QUEUE = f"SELECT section, path, depth_level AS depth, {PRIORITY} AS priority FROM site"
 
 
 def _over_site() -> dict[str, tuple[str, str]]:
@@ -237,6 +237,34 @@ FROM progress
 UNION ALL SELECT 14, content_type || ': ' || count(*) FROM {types} GROUP BY content_type"""
 
 
+QUEUE_SITE = """
+site AS (
+  SELECT CAST(user_id % 10 AS VARCHAR) AS section,
+    CASE event_id % 4 WHEN 1 THEN '/services/' WHEN 2 THEN '/guidance/' ELSE '/doc/' END || event_id AS path,
+    ['guide', 'detailed_guide', 'service', 'transaction', 'topic'][event_id % 5 + 1] AS content_type,
+    CAST(event_id % 97 AS INTEGER) AS depth_level
+  FROM events
+)"""
+
+# Links of the fetched items: suppliers of every eleventh key are gone, customers are leaves.
+FETCHED = f"""
+fetched(asked, path) AS (
+  SELECT '/region/' || r_regionkey, '/region/' || r_regionkey FROM region
+  UNION ALL SELECT '/nation/' || n_nationkey, '/nation/' || n_nationkey FROM nation
+  UNION ALL SELECT '/supplier/' || s_suppkey, '/supplier/' || s_suppkey FROM supplier WHERE s_suppkey % 11 <> 0
+  UNION ALL SELECT {CUSTOMER_LINK.format('c_custkey')}, '/customer/' || c_custkey FROM customer
+),
+answered(src, dst) AS (
+  SELECT '/region/' || r_regionkey, '/nation/' || unnest(range(r_regionkey * 5, r_regionkey * 5 + 5)) FROM region
+  UNION ALL SELECT '/nation/' || n_nationkey, '/supplier/' || unnest(range(n_nationkey, n_nationkey + 176, 25)) FROM nation
+  UNION ALL SELECT '/supplier/' || s, {CUSTOMER_LINK.format('c')} FROM (
+    SELECT s_suppkey AS s, unnest(range(s_suppkey * 10, s_suppkey * 10 + 10)) AS c FROM supplier)
+  UNION ALL SELECT '/supplier/' || s_suppkey, '/region/0' FROM supplier WHERE s_suppkey % 7 = 0
+),
+edges(src, dst) AS (
+  SELECT DISTINCT s.path, t.path FROM answered a JOIN fetched s ON s.path = a.src JOIN fetched t ON t.asked = a.dst
+)"""
+
 SITE_PROGRESS = f"""
 progress AS (
   SELECT (SELECT count(DISTINCT section) FROM site) AS sections_analyzed,
@@ -287,14 +315,29 @@ def all_oracles() -> dict[str, str]:
             count(*) FILTER (status = 'active') AS active_pages,
             count(*) FILTER (status <> 'active') AS placeholder_pages
           FROM site GROUP BY section""",
-        "scan_metadata": f"""{site} SELECT {MAX_DEPTH} AS depth_limit, count(*) AS total_pages,
+        "scan_metadata": f"""{site} SELECT {_iso(NOW)} AS scanned_at, {MAX_DEPTH} AS depth_limit, count(*) AS total_pages,
           count(DISTINCT section) AS sections_covered FROM site""",
         "exclude_types": f"""{site} SELECT section, path, content_type FROM site
           WHERE content_type IS NULL OR content_type NOT IN ('transaction', 'topic')""",
         "export_pages_flat": f"{site} SELECT * FROM site",
         "url_priority": f"{site} SELECT path, {PRIORITY} AS priority FROM site",
-        "frontier_new": f"""{site} SELECT DISTINCT e.dst AS path FROM edges e JOIN site s ON s.path = e.src
-          WHERE s.depth_level = 2 AND e.dst NOT IN (SELECT path FROM site WHERE depth_level <= 2)""",
+        "frontier_new": f"""{site} SELECT DISTINCT s.depth_level AS depth, e.dst AS path
+          FROM edges e JOIN site s ON s.path = e.src LEFT JOIN site t ON t.path = e.dst
+          WHERE t.depth_level IS NULL OR t.depth_level > s.depth_level""",
+        "url_priority_events": f"WITH {QUEUE_SITE} SELECT path, {PRIORITY} AS priority FROM site",
+        "next_batch_events": f"WITH {QUEUE_SITE} {QUEUE} ORDER BY priority, path, depth LIMIT 10",
+        "frontier_batches_events": f"""WITH {QUEUE_SITE} SELECT *,
+          (row_number() OVER (PARTITION BY section ORDER BY priority, path, depth) - 1) // 10 AS batch FROM ({QUEUE})""",
+        "page_links": f"""{site} SELECT s.section, s.path, l.link_type, l.pos, l.dst
+          FROM site s JOIN links l ON l.src = s.path WHERE s.depth_level < {MAX_DEPTH}""",
+        "scan_progress_site": f"""{site}, {SITE_PROGRESS}
+          SELECT unnest(['sections_analyzed', 'total_links_found', 'rate_limit_hits']) AS metric, '' AS item,
+            unnest([sections_analyzed, total_links_found, rate_limit_hits]) AS n FROM progress
+          UNION ALL SELECT 'content_type', content_type, count(*) FROM site GROUP BY content_type
+          UNION ALL SELECT 'depth', CAST(depth_level AS VARCHAR), count(*) FROM site GROUP BY depth_level""",
+        "export_json": f"{site} SELECT * FROM site",
+        "export_csv": f"{site} SELECT * FROM site",
+        "crawl_from_fetches": f"WITH RECURSIVE {FETCHED}, {SECTIONS}, {WALK}, {_owned('ord')} {CRAWL}",
         "next_batch": f"{site} {QUEUE} ORDER BY priority, path, depth LIMIT 10",
         "frontier_batches": f"""{site} SELECT *,
           (row_number() OVER (PARTITION BY section ORDER BY priority, path, depth) - 1) // 10 AS batch FROM ({QUEUE})""",

@@ -17,7 +17,7 @@ from wayloom.plans import inputs
 from wayloom.plans.inputs import AS_OF, MAX_DEPTH
 from wayloom.plans.scan import choose_sections, sample
 from wayloom.session import fresh_dir
-from wayloom.sources import items, testdata
+from wayloom.sources import exports, items, testdata
 from wayloom.streaming import progress as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,7 +126,30 @@ def section_rollup(spark, sf_dir):
 
 
 def scan_metadata(spark, sf_dir):
-    return pages.scan_metadata(inputs.pages(spark, sf_dir), MAX_DEPTH)
+    return inputs.site(spark, sf_dir)["metadata"]
+
+
+def page_links(spark, sf_dir):
+    return inputs.site(spark, sf_dir)["page_links"]
+
+
+def scan_progress_site(spark, sf_dir):
+    return inputs.site(spark, sf_dir)["progress"]
+
+
+def export_json(spark, sf_dir):
+    """The pages as the JSON sink writes them, read again."""
+    stored, path = inputs.pages(spark, sf_dir), fresh_dir(spark, "json")
+    exports.export(inputs.site(spark, sf_dir), path, "json")
+    return spark.read.schema(stored.schema).json(f"{path}/pages")
+
+
+def export_csv(spark, sf_dir):
+    """The flat pages as the CSV sink writes them, read again."""
+    stored, path = pages.export_columns(inputs.pages(spark, sf_dir)), fresh_dir(spark, "csv")
+    exports.export(inputs.site(spark, sf_dir), path, "csv")
+    back = spark.read.schema(stored.schema).option("header", True).csv(path)
+    return back.fillna("", ["last_updated", "publishing_org"])
 
 
 def exclude_types(spark, sf_dir):
@@ -145,15 +168,17 @@ def url_priority(spark, sf_dir):
     return inputs.pages(spark, sf_dir).select("path", score.alias("priority"))
 
 
+def url_priority_events(spark, sf_dir):
+    return frontier.frontier(testdata.queue_pages(spark, sf_dir)).select("path", "priority")
+
+
 def frontier_new(spark, sf_dir):
-    """Links of the pages at depth 2 that lead to pages not seen up to there."""
-    stored = inputs.pages(spark, sf_dir)
-    linked = frontier.linked_pages(inputs.items(spark, sf_dir), stored.filter(F.col("depth_level") == 2))
-    return frontier.new_links(linked, stored.filter(F.col("depth_level") <= 2))
+    """For each depth, the links of its pages that lead to pages not seen up to there."""
+    return frontier.links_beyond(inputs.items(spark, sf_dir), inputs.pages(spark, sf_dir))
 
 
 def _queue(spark, sf_dir):
-    return frontier.frontier(inputs.pages(spark, sf_dir).filter(F.col("depth_level") == 3))
+    return frontier.frontier(inputs.pages(spark, sf_dir))
 
 
 def next_batch(spark, sf_dir):
@@ -164,6 +189,14 @@ def frontier_batches(spark, sf_dir):
     return frontier.frontier_batches(_queue(spark, sf_dir))
 
 
+def next_batch_events(spark, sf_dir):
+    return frontier.next_batch(frontier.frontier(testdata.queue_pages(spark, sf_dir)))
+
+
+def frontier_batches_events(spark, sf_dir):
+    return frontier.frontier_batches(frontier.frontier(testdata.queue_pages(spark, sf_dir)))
+
+
 # Trends and reports
 
 def _on_pages(operator) -> Query:
@@ -198,6 +231,16 @@ def landed_items(spark, sf_dir):
     return items.items_from_fetches(testdata.fetch_log(spark, sf_dir)).select("requested_path", "base_path", "error")
 
 
+def crawl_from_fetches(spark, sf_dir):
+    """The walk over what a log of API answers holds."""
+    path = fresh_dir(spark, "landed")
+    items.items_from_fetches(testdata.site_fetches(spark, sf_dir)).write.parquet(path)
+    roots = testdata.table(spark, sf_dir, "region").selectExpr(
+        "r_regionkey AS ord", "r_name AS title", "concat('/region/', r_regionkey) AS path"
+    )
+    return walk.crawl(items.read_items(spark, path), roots, max_depth=MAX_DEPTH)
+
+
 def rate_audit(spark, sf_dir):
     return rates.rate_audit(testdata.fetch_log(spark, sf_dir))
 
@@ -251,8 +294,10 @@ def all_queries() -> dict[str, Query]:
         section_catalogue, select_sections, section_priority, section_sample, section_children,
         crawl_pages, crawl_nearest, crawl_resumed,
         page_table, section_rollup, scan_metadata, exclude_types, export_pages_flat,
-        url_priority, frontier_new, next_batch, frontier_batches,
-        classify_fetches, landed_items, rate_audit, rate_audit_hourly,
+        page_links, scan_progress_site, export_json, export_csv,
+        url_priority, url_priority_events, frontier_new,
+        next_batch, next_batch_events, frontier_batches, frontier_batches_events,
+        classify_fetches, landed_items, crawl_from_fetches, rate_audit, rate_audit_hourly,
         scan_progress, progress_by_type, progress_by_depth, scan_duration, report_lines,
         site_report_lines, progress_stream,
     ]

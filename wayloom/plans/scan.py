@@ -32,8 +32,10 @@ def scan(
     """Tables of one scan, by name, ready for ``exports.export``.
 
     The catalogue and the page table are stored once; all other tables read those. Types
-    are excluded after the walk, so links of excluded pages are still followed.
-    ``detail="detailed"`` adds the section reports.
+    are excluded after the walk, so links of excluded pages are still followed, and what
+    counts the scan (metadata, sections and their depths, progress, text report) still counts
+    them; the pages, their links, the trends with their histograms and the section reports
+    don't. ``detail="detailed"`` adds the section reports.
     """
     if detail not in DETAILS:
         raise ValueError(f"detail must be one of {DETAILS}")
@@ -41,14 +43,21 @@ def scan(
     walked = crawl.crawl(items, chosen, max_depth=max_depth, owner=owner, state=state, snapshot_every=snapshot_every)
     found = _stored(pages.build_pages(walked, items, max_depth), "pages")
     kept = pages.exclude_types(found, excluded)
-    types = kept.groupBy("content_type").agg(F.count(F.lit(1)).alias("n"))
+    types = found.groupBy("content_type").agg(F.count(F.lit(1)).alias("n"))
+    totals = _totals(found, fetch_log)
     tables = {
         "catalogue": chosen,
+        "metadata": pages.scan_metadata(found, max_depth, as_of),
+        "sections": pages.section_rollup(found),
+        "section_depths": trends.depth_distribution(found),
+        "progress": _progress(found, totals, types),
+        "lines": report.report_lines(totals, types, as_of),
         "pages": kept,
-        "metadata": pages.scan_metadata(kept, max_depth),
-        "sections": pages.section_rollup(kept),
+        "page_links": pages.page_links(kept, items, max_depth),
         "trends": trends.section_trends(kept, chosen, as_of),
-        "lines": report.report_lines(_totals(kept, fetch_log), types, as_of),
+        "type_distribution": trends.content_type_distribution(kept),
+        "depth_distribution": trends.depth_distribution(kept),
+        "org_distribution": trends.org_distribution(kept),
     }
     if detail == "detailed":
         tables["reports"] = report.section_report_documents(kept, chosen, as_of)
@@ -71,6 +80,18 @@ def _stored(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def _progress(found: DataFrame, totals: DataFrame, types: DataFrame) -> DataFrame:
+    """metric, item, n: the counters at the end of the scan, and its pages by type and depth."""
+    names = ("sections_analyzed", "total_links_found", "rate_limit_hits")
+    counters = totals.select(F.inline(F.array(*(
+        F.struct(F.lit(name).alias("metric"), F.lit("").alias("item"), F.col(name).cast("bigint").alias("n")) for name in names
+    ))))
+    by_type = types.filter("content_type IS NOT NULL").select(F.lit("content_type").alias("metric"), F.col("content_type").alias("item"), "n")
+    depths = found.groupBy("depth_level").agg(F.count(F.lit(1)).alias("n"))
+    by_depth = depths.select(F.lit("depth").alias("metric"), F.col("depth_level").cast("string").alias("item"), "n")
+    return counters.unionByName(by_type).unionByName(by_depth)
+
+
 def _totals(found: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
     """The summary row of the report; refusals and duration need the fetch log."""
     totals = found.agg(

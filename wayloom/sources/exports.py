@@ -40,20 +40,22 @@ def output_path(folder: str, stamp: str, fmt: str) -> str:
 def export(tables: dict[str, DataFrame], path: str, fmt: str) -> None:
     """Write the tables the format needs below ``path``.
 
-    json      ``metadata``, ``sections`` and ``pages`` as one folder each
+    json      ``metadata``, ``sections``, ``section_depths``, ``progress``, ``pages`` and
+              ``page_links`` as one folder each
     csv       ``pages``
     report    ``lines``
-    analysis  ``trends`` and ``reports`` as one folder each
+    analysis  ``trends``, the histograms of types, depths and organisations, and ``reports``
+              as one folder each
     """
     if fmt == "json":
-        for name in ("metadata", "sections", "pages"):
+        for name in ("metadata", "sections", "section_depths", "progress", "pages", "page_links"):
             write_json(tables[name], f"{path}/{name}")
     elif fmt == "csv":
         write_csv(tables["pages"], path)
     elif fmt == "report":
         write_report(tables["lines"], path)
     elif fmt == "analysis":
-        for name in ("trends", "reports"):
+        for name in ("trends", "type_distribution", "depth_distribution", "org_distribution", "reports"):
             write_json(tables[name], f"{path}/{name}")
     else:
         raise ValueError(f"format must be one of {FORMATS}")

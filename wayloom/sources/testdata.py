@@ -7,6 +7,8 @@ order holding a third of all rows stays spread over tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +138,60 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a content API for regions, nations, suppliers and customers, as JSON bodies.
+
+    Every item is asked for twice; the first answer is old and has no links. Some suppliers
+    are gone by a later request, some bodies repeat a key, some have lists and entries that
+    are no links, and some requests fail.
+    """
+    link = lambda path: f"concat('{{\"base_path\":\"', {path}, '\"}}')"
+    body = lambda path, links: (
+        f"concat('{{\"base_path\":\"', {path}, '\",\"title\":\"old\",\"title\":\"', {path}, '\",\"body\":\"b\",\"links\":{{', {links}, '}}}}')"
+    )
+    listed = lambda name, ids, path: (
+        f"concat('\"{name}\":[', array_join(transform({ids}, x -> {link(path)}), ','), ']')"
+    )
+    nations = listed("children", "sequence(k * 5, k * 5 + 4)", "concat('/nation/', x)")
+    suppliers = listed("children", "sequence(k, k + 175, 25)", "concat('/supplier/', x)")
+    customers = f"concat({listed('related', 'sequence(k * 10, k * 10 + 9)', _CUSTOMER_LINK.format('x'))}, if(k % 7 = 0, ',\"odd\":[\"text\",3,{{\"base_path\":\"/region/0\"}}],\"note\":\"text\"', ''))"
+    kinds = [
+        ("region", "r_regionkey", "concat('/region/', k)", "concat('/region/', k)", nations),
+        ("nation", "n_nationkey", "concat('/nation/', k)", "concat('/nation/', k)", suppliers),
+        ("supplier", "s_suppkey", "concat('/supplier/', k)", "concat('/supplier/', k)", customers),
+        ("customer", "c_custkey", _CUSTOMER_LINK.format("k"), "concat('/customer/', k)", "''"),
+    ]
+    parts = [
+        table(spark, sf_dir, name).selectExpr(f"CAST({key} AS BIGINT) AS k", "explode(array(0, 1, 2)) AS n").selectExpr(
+            f"{at} * 10000000000L + k * 10 + n AS request_id", f"{asked} AS requested_path", f"'{name}' AS kind", "k", "n",
+            f"""CASE WHEN n = 0 THEN concat('{{"base_path":"', {path}, '","title":"first"}}') ELSE {body(path, links)} END AS body""",
+        )
+        for at, (name, key, asked, path, links) in enumerate(kinds)
+    ]
+    asked = reduce(DataFrame.unionAll, parts)
+    gone = (F.col("kind") == "supplier") & (F.col("k") % 11 == 0)
+    status = F.when(F.col("n") < 2, 200).when(gone, 404).otherwise(500)
+    return asked.select(
+        "request_id", F.col("kind").alias("client"), "requested_path",
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n")).alias("fetched_at"),
+        status.cast("int").alias("http_status"), F.when(status == 200, F.col("body")).alias("body"),
+        F.lit(None).cast("string").alias("transport_error"),
+    )
+
+
+def queue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pages of many types, paths and depths, for the fetch queue."""
+    event = F.col("event_id")
+    area = F.when(event % 4 == 1, "/services/").when(event % 4 == 2, "/guidance/").otherwise("/doc/")
+    kinds = F.array(*(F.lit(kind) for kind in ("guide", "detailed_guide", "service", "transaction", "topic")))
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 10).cast("string").alias("section"),
+        F.concat(area, event.cast("string")).alias("path"),
+        F.element_at(kinds, (event % 5 + 1).cast("int")).alias("content_type"),
+        (event % 97).cast("int").alias("depth_level"),
+    )
+
+
 def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as progress reports; a user's first event starts its section."""
     events = table(spark, sf_dir, "events")
