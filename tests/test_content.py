@@ -21,15 +21,15 @@ def value(spark, column):
     "title, body, schema, error, status",
     [
         (None, None, None, None, "placeholder"),
-        ("Test", "Content", "detailed_guide", None, "active"),
-        ("Test", None, "placeholder", None, "placeholder"),
-        ("Test", "Content", "placeholder", None, "placeholder"),
-        ("", "Content", None, None, "placeholder"),
-        ("Test", "", None, None, "placeholder"),
-        ("Test", "{}", None, None, "placeholder"),
-        ("Test", "[]", None, None, "placeholder"),
-        ("Test", "Content", None, None, "active"),
-        ("Test", "Content", None, "not_found", "placeholder"),
+        ("Opening hours", "Daily from nine", "answer", None, "active"),
+        ("Opening hours", None, "placeholder", None, "placeholder"),
+        ("Opening hours", "Daily from nine", "placeholder", None, "placeholder"),
+        ("", "Daily from nine", None, None, "placeholder"),
+        ("Opening hours", "", None, None, "placeholder"),
+        ("Opening hours", "{}", None, None, "placeholder"),
+        ("Opening hours", "[]", None, None, "placeholder"),
+        ("Opening hours", "Daily from nine", None, None, "active"),
+        ("Opening hours", "Daily from nine", None, "not_found", "placeholder"),
     ],
 )
 def test_page_status(spark, title, body, schema, error, status):
@@ -39,14 +39,14 @@ def test_page_status(spark, title, body, schema, error, status):
 
 def test_related_links_keep_type_order_and_copies(spark):
     frame = build.items(spark, [
-        build.item("/a", links={"related": [(None, "/l1"), (None, "/l2"), ("no path", None), (None, "/l1")],
-                                "organisations": [("Org", "/org1")]}),
+        build.item("/a", links={"related": [(None, "/gallery"), (None, "/cafe"), ("no path", None), (None, "/gallery")],
+                                "organisations": [("Trust", "/trust")]}),
         build.item("/b"),
         build.item("/c", links={"related": None, "organisations": []}),
     ])
     found = {r[0]: r[1] for r in frame.select("base_path", content.related_links(F.col("links"))).collect()}
-    assert sorted(found["/a"]) == ["/l1", "/l1", "/l2", "/org1"]
-    assert [x for x in found["/a"] if x != "/org1"] == ["/l1", "/l2", "/l1"]
+    assert sorted(found["/a"]) == ["/cafe", "/gallery", "/gallery", "/trust"]
+    assert [x for x in found["/a"] if x != "/trust"] == ["/gallery", "/cafe", "/gallery"]
     assert found["/b"] == [] and found["/c"] == []
     assert build.rows(links.link_counts(frame)) == [("/a", 4), ("/b", 0), ("/c", 0)]
 
@@ -103,8 +103,8 @@ def test_child_links_need_title_and_path(spark):
 @pytest.mark.parametrize(
     "path, keep",
     [
-        ("/valid/path", True), ("/assets/image.jpg", False), ("/images/photo.png", False),
-        ("http://external.com", False), ("/docs/attachments/x.pdf", False), ("/assets", True), ("", False), (None, False),
+        ("/harbour/tides", True), ("/assets/map.svg", False), ("/images/pier.webp", False),
+        ("https://harbour.example", False), ("/docs/attachments/x.pdf", False), ("/assets", True), ("", False), (None, False),
     ],
 )
 def test_followable(spark, path, keep):
@@ -113,7 +113,7 @@ def test_followable(spark, path, keep):
 
 @pytest.mark.parametrize(
     "path, section",
-    [("/benefits/universal-credit", "/benefits"), ("/", "/"), ("//a/b", "/a"), ("", "/"), ("a/b/", "/a")],
+    [("/harbour/tides/today", "/harbour"), ("/", "/"), ("//a/b", "/a"), ("", "/"), ("a/b/", "/a")],
 )
 def test_section_of_path(spark, path, section):
     assert value(spark, content.section_of_path(F.lit(path))) == section

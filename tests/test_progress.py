@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+
 from tests import build
 from wayloom.operators import progress
 from wayloom.session import fresh_dir
@@ -54,6 +56,18 @@ def test_heartbeat_renews_the_counters(spark, sf_dir):
     assert tuple(status) == tuple(progress.scan_progress(batch).first())
 
 
+def test_reader_during_a_write_sees_the_last_whole_trigger(spark, sf_dir):
+    target = fresh_dir(spark, "progress")
+    with pytest.raises(ValueError):
+        live.latest_cells(spark, target)
+    cells = progress.live_cells(testdata.page_events(spark, sf_dir))
+    cells.write.parquet(f"{target}/cells/batch=0")
+    spark.range(1).selectExpr("true AS ended").write.parquet(f"{target}/ends/batch=0")
+    # The next trigger has written some of its files, but not its mark.
+    cells.limit(1).write.parquet(f"{target}/cells/batch=1")
+    assert build.rows(live.latest_cells(spark, target)) == build.rows(cells)
+
+
 def test_stream_equals_batch(spark, sf_dir):
     source, target = fresh_dir(spark, "events"), fresh_dir(spark, "progress")
     batch = testdata.page_events(spark, sf_dir)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tests import build
 from wayloom.operators import frontier, rates, ranking, sections
 
-CATALOGUE = [(0, "Benefits", "/browse/benefits"), (1, "Education", "/browse/education")]
+CATALOGUE = [(0, "Museums", "/browse/museums"), (1, "Parks", "/browse/parks")]
 
 
 def catalogue(spark):
@@ -19,8 +19,8 @@ def catalogue(spark):
 
 def test_catalogue(spark):
     frame = build.items(spark, [
-        build.item("/browse", links={"children": [("Benefits", "/browse/benefits"), (None, "/x"),
-                                                  ("Education", "/browse/education")]}),
+        build.item("/browse", links={"children": [("Museums", "/browse/museums"), (None, "/x"),
+                                                  ("Parks", "/browse/parks")]}),
         build.item("/other", links={"children": [("No", "/no")]}),
     ])
     found = sections.section_catalogue(frame)
@@ -34,27 +34,27 @@ def test_catalogue(spark):
 def test_select_sections(spark):
     frame = catalogue(spark)
     assert sections.select_sections(frame, None) is frame
-    assert build.rows(sections.select_sections(frame, " Benefits , /browse/education")) == CATALOGUE
-    assert build.rows(sections.select_sections(frame, "Education,nothing")) == CATALOGUE[1:]
+    assert build.rows(sections.select_sections(frame, " Museums , /browse/parks")) == CATALOGUE
+    assert build.rows(sections.select_sections(frame, "Parks,nothing")) == CATALOGUE[1:]
     with pytest.raises(sections.NoSectionsError):
-        sections.select_sections(frame, "NonExistent")
+        sections.select_sections(frame, "Harbours")
 
 
 def test_section_priority(spark):
-    assert build.rows(sections.prioritise_sections(catalogue(spark), ["Education"])) == [
-        ("/browse/benefits", 10), ("/browse/education", 1)]
+    assert build.rows(sections.prioritise_sections(catalogue(spark), ["Parks"])) == [
+        ("/browse/museums", 10), ("/browse/parks", 1)]
     assert {r.priority for r in sections.prioritise_sections(catalogue(spark), []).collect()} == {10}
 
 
 def test_section_sample(spark):
     frame = build.items(spark, [
-        build.item("/browse/benefits", document_type="browse_page",
+        build.item("/browse/museums", document_type="browse_page",
                    links={"children": [("One", "/1"), ("Two", "/2"), (None, "/3")]}),
     ])
     assert build.rows(sections.section_sample(catalogue(spark), frame)) == [
-        ("Benefits", "/browse/benefits", 2, "browse_page"), ("Education", "/browse/education", 0, None)]
+        ("Museums", "/browse/museums", 2, "browse_page"), ("Parks", "/browse/parks", 0, None)]
     assert build.rows(sections.section_children(catalogue(spark), frame)) == [
-        ("/browse/benefits", "Benefits", 0, "One", "/1"), ("/browse/benefits", "Benefits", 1, "Two", "/2")]
+        ("/browse/museums", "Museums", 0, "One", "/1"), ("/browse/museums", "Museums", 1, "Two", "/2")]
 
 
 def test_new_links_come_once(spark):

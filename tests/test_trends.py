@@ -21,9 +21,10 @@ def sample(spark):
         return ("/s", path, kind, (NOW - timedelta(days=age)).isoformat(), "active", depth, org, 0)
 
     return build.pages(spark, [
-        page("/test/page1", "guide", 0, 1, "Department A"),
-        page("/test/page2", "guide", 1, 2, "Department A"),
-        page("/test/page3", "detailed_guide", 7, 2, "Department B"),
+        page("/visit", "answer", 3, 0, "Museum"),
+        page("/tickets", "answer", 10, 4, "Box office"),
+        page("/shop", "form", 10, 4, "Box office"),
+        page("/archive", "answer", 41, 1, ""),
     ])
 
 
@@ -33,19 +34,19 @@ def value(spark, column):
 
 def test_update_patterns(spark):
     row = trends.update_patterns(sample(spark), AS_OF).first()
-    assert (row.oldest_update, row.newest_update) == ("2024-01-25T00:00:00", "2024-02-01T00:00:00")
-    assert (row.total_updates, row.average_age_days, row.newest_age_days, row.error) == (3, 2.0, 0, None)
+    assert (row.oldest_update, row.newest_update) == ("2023-12-22T00:00:00", "2024-01-29T00:00:00")
+    assert (row.total_updates, row.average_age_days, row.newest_age_days, row.error) == (4, 16.0, 3, None)
 
 
 def test_distributions(spark):
     frame = sample(spark)
-    assert build.rows(trends.content_type_distribution(frame)) == [("/s", "detailed_guide", 1), ("/s", "guide", 2)]
+    assert build.rows(trends.content_type_distribution(frame)) == [("/s", "answer", 3), ("/s", "form", 1)]
     assert build.rows(trends.content_type_totals(frame)) == [("/s", 2)]
-    assert build.rows(trends.depth_distribution(frame)) == [("/s", 1, 1), ("/s", 2, 2)]
-    assert build.rows(trends.depth_metrics(frame)) == [("/s", 2, 5 / 3)]
-    assert build.rows(trends.org_distribution(frame)) == [("/s", "Department A", 2), ("/s", "Department B", 1)]
+    assert build.rows(trends.depth_distribution(frame)) == [("/s", 0, 1), ("/s", 1, 1), ("/s", 4, 2)]
+    assert build.rows(trends.depth_metrics(frame)) == [("/s", 4, 9 / 4)]
+    assert build.rows(trends.org_distribution(frame)) == [("/s", "Box office", 2), ("/s", "Museum", 1)]
     assert build.rows(trends.org_totals(frame)) == [("/s", 2)]
-    assert [r.publishing_org for r in trends.top_publishers(frame).orderBy("rank").collect()] == ["Department A", "Department B"]
+    assert [r.publishing_org for r in trends.top_publishers(frame).orderBy("rank").collect()] == ["Box office", "Museum"]
 
 
 def test_missing_fields(spark):
@@ -84,12 +85,12 @@ def test_section_report(spark):
     catalogue = spark.createDataFrame([(0, None, "/s")], "ord INT, title STRING, path STRING")
     row = report.section_report(sample(spark), catalogue, AS_OF).first()
     assert row.section_title == "Unknown Section" and row.analysis_timestamp == "2024-02-01T00:00:00"
-    assert (row.primary_owner, row.primary_owner_pages, row.total_types) == ("Department A", 2, 2)
-    assert row.staleness_score == 0.0 and row.complexity_score == pytest.approx((0.2 + 1 / 3) / 2)
+    assert (row.primary_owner, row.primary_owner_pages, row.total_types) == ("Box office", 2, 2)
+    assert row.staleness_score == 3 / 365 and row.complexity_score == pytest.approx((0.4 + 0.45) / 2)
     document = report.section_report_documents(sample(spark), catalogue, AS_OF).first()
-    assert document.content_freshness.update_patterns.total_updates == 3
-    assert [tuple(e) for e in document.type_analysis.most_common] == [(1, "guide", 2), (2, "detailed_guide", 1)]
-    assert document.content_ownership.primary_publishers[0].value == "Department A"
+    assert document.content_freshness.update_patterns.total_updates == 4
+    assert [tuple(e) for e in document.type_analysis.most_common] == [(1, "answer", 3), (2, "form", 1)]
+    assert document.content_ownership.primary_publishers[0].value == "Box office"
 
 
 @pytest.mark.parametrize(
@@ -165,7 +166,7 @@ def test_build_pages(spark):
         ("/a", "placeholder", "Org", 1), ("/b", "active", "", 0), ("/r", "active", "", 3)]
     rollup = page_ops.section_rollup(built).first()
     assert (rollup.total_pages, rollup.active_pages, rollup.placeholder_pages) == (3, 2, 1)
-    assert tuple(page_ops.scan_metadata(built, 2).first()) == (2, 3, 1)
+    assert tuple(page_ops.scan_metadata(built, 2, AS_OF).first()) == ("2024-02-01T00:00:00", 2, 3, 1)
 
 
 def read_lines(path, pattern):
@@ -173,25 +174,31 @@ def read_lines(path, pattern):
 
 
 def test_csv_export(spark, tmp_path):
-    frame = build.pages(spark, [("/s", "/test", "guide", "2024-01-01", "active", 1, "Test Org", 0)]).coalesce(1)
+    frame = build.pages(spark, [("/s", "/tides", "answer", "2023-11-05", "active", 3, "Harbour, north", 4)]).coalesce(1)
     assert exports.write_csv(frame, str(tmp_path / "out"))
     lines = read_lines(tmp_path / "out", "*.csv")
     assert lines == ["section,path,content_type,status,depth_level,publishing_org,last_updated,related_links_count",
-                     "/s,/test,guide,active,1,Test Org,2024-01-01,0"]
+                     '/s,/tides,answer,active,3,"Harbour, north",2023-11-05,4']
     with pytest.warns(UserWarning, match="No data"):
         assert not exports.write_csv(frame.limit(0), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
 
 
 def test_json_export(spark, tmp_path):
-    frame = build.pages(spark, [("/s", "/test", "guide", None, "active", 1, "Büro", 2)])
+    frame = build.pages(spark, [("/s", "/tides", "answer", None, "active", 3, "Büro", 2)])
     catalogue = build.sections(spark, "/s")
-    tables = {"metadata": page_ops.scan_metadata(frame, 5), "sections": page_ops.section_rollup(frame), "pages": frame,
+    tables = {"metadata": page_ops.scan_metadata(frame, 5, AS_OF), "sections": page_ops.section_rollup(frame), "pages": frame,
+              "page_links": page_ops.page_links(frame, build.items(spark, [build.item("/tides", ["/moon"])]), 5),
+              "section_depths": trends.depth_distribution(frame), "progress": frame.limit(0),
+              "type_distribution": trends.content_type_distribution(frame),
+              "depth_distribution": trends.depth_distribution(frame), "org_distribution": trends.org_distribution(frame),
               "trends": trends.section_trends(frame, catalogue, AS_OF),
               "reports": report.section_report_documents(frame, catalogue, AS_OF)}
     exports.export(tables, str(tmp_path / "json"), "json")
     [line] = read_lines(tmp_path / "json" / "pages", "*.json")
     assert "Büro" in line and json.loads(line)["last_updated"] is None
+    [link] = read_lines(tmp_path / "json" / "page_links", "*.json")
+    assert json.loads(link) == {"section": "/s", "path": "/tides", "link_type": "related", "pos": 0, "dst": "/moon"}
     [sections] = read_lines(tmp_path / "json" / "sections", "*.json")
     assert json.loads(sections)["total_pages"] == 1
     exports.export(tables, str(tmp_path / "analysis"), "analysis")
@@ -202,15 +209,15 @@ def test_json_export(spark, tmp_path):
 
 
 def test_report_export(spark, tmp_path):
-    totals = spark.createDataFrame([(1, 10, 0, "0:01:00")],
+    totals = spark.createDataFrame([(3, 7, 2, "0:12:00")],
                                    "sections_analyzed LONG, total_links_found LONG, rate_limit_hits LONG, scan_duration STRING")
-    types = spark.createDataFrame([("guide", 50), ("detailed_guide", 30)], "content_type STRING, n LONG")
+    types = spark.createDataFrame([("form", 4), ("answer", 3)], "content_type STRING, n LONG")
     lines = report.report_lines(totals, types, AS_OF, title="My Report")
     exports.export({"lines": lines}, str(tmp_path / "out"), "report")
     assert read_lines(tmp_path / "out", "*.txt") == [
-        "My Report", "=" * 30, "Generated: 2024-02-01T00:00:00", "Duration: 0:01:00", "", "Summary", "-" * 7,
-        "Sections analyzed: 1", "Total links found: 10", "Rate limit hits: 0", "", "Content Types", "-" * 12,
-        "detailed_guide: 30", "guide: 50"]
+        "My Report", "=" * 30, "Generated: 2024-02-01T00:00:00", "Duration: 0:12:00", "", "Summary", "-" * 7,
+        "Sections analyzed: 3", "Total links found: 7", "Rate limit hits: 2", "", "Content Types", "-" * 12,
+        "answer: 3", "form: 4"]
 
 
 def test_output_path():

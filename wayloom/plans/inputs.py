@@ -1,4 +1,4 @@
-"""Tables shared by the registered queries, built once per session and folder."""
+"""Tables shared by the registered queries, built once per session and state of the folder."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from wayloom.sources import testdata
 AS_OF = "2024-02-01 00:00:00"
 MAX_DEPTH = 5
 
-_scans: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_scans: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All tables of the scan of every section; catalogue and pages are stored on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """All tables of the scan of every section; catalogue and pages are stored on first use,
+    and again when a file of the folder has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, _listing(spark, sf_dir))
     if key not in _scans:
         _scans[key] = scan(
             items(spark, sf_dir), as_of=AS_OF, max_depth=MAX_DEPTH, detail="detailed",
@@ -29,6 +30,14 @@ def site(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _scans[key]
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> str:
+    """A mark of the folder's files, their sizes and times; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sf_dir)
+    mark = F.xxhash64("path", "modificationTime", "length")
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x")).first()
+    return f"{row['n']}:{row['x']}"
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site(spark, sf_dir)["pages"]
 
