@@ -310,6 +310,13 @@ def all_oracles() -> dict[str, str]:
         "crawl_pages": f"{_graph()} {CRAWL}",
         "crawl_nearest": f"{_graph('depth, ord')} {CRAWL}",
         "crawl_resumed": f"{_graph()} {CRAWL}",
+        "crawl_snapshots": f"""{_graph()}, firsts AS (SELECT path, min(depth) AS d FROM reached GROUP BY path)
+          SELECT CAST(r.d AS INTEGER) AS depth, count(*) AS pages_processed, count(*) AS snapshots_due
+          FROM range(0, {MAX_DEPTH + 1}) r(d) JOIN firsts f ON f.d <= r.d GROUP BY r.d""",
+        "parsed_dates": f"""SELECT event_id, {_iso('m')} AS moment FROM (SELECT event_id, CASE event_id % 7
+            WHEN 2 THEN date_trunc('second', ts) - INTERVAL 1 HOUR WHEN 3 THEN date_trunc('hour', ts)
+            WHEN 4 THEN date_trunc('day', ts) WHEN 5 THEN date_trunc('second', ts) + INTERVAL 500 MILLISECOND
+            WHEN 6 THEN NULL ELSE date_trunc('second', ts) END::TIMESTAMP AS m FROM events)""",
         "page_table": f"{site} SELECT * FROM site",
         "section_rollup": f"""{site} SELECT section, count(*) AS total_pages,
             count(*) FILTER (status = 'active') AS active_pages,

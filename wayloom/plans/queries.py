@@ -18,6 +18,7 @@ from wayloom.plans.inputs import AS_OF, MAX_DEPTH
 from wayloom.plans.scan import choose_sections, sample
 from wayloom.session import fresh_dir
 from wayloom.sources import exports, items, testdata
+from wayloom.sources.state import CrawlState
 from wayloom.streaming import progress as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +115,13 @@ def crawl_resumed(spark, sf_dir):
     return _crawl(spark, sf_dir, state=state)
 
 
+def crawl_snapshots(spark, sf_dir):
+    """The snapshots that a walk leaves when every new page is reason enough for one."""
+    state = fresh_dir(spark, "state")
+    _crawl(spark, sf_dir, state=state, snapshot_every=1)
+    return CrawlState(spark, state).snapshots().select("depth", "pages_processed", "snapshots_due")
+
+
 # The page table
 
 def page_table(spark, sf_dir):
@@ -241,6 +249,11 @@ def crawl_from_fetches(spark, sf_dir):
     return walk.crawl(items.read_items(spark, path), roots, max_depth=MAX_DEPTH)
 
 
+def parsed_dates(spark, sf_dir):
+    """Date texts of many forms as moments."""
+    return testdata.date_texts(spark, sf_dir).select("event_id", times.iso_text(times.parse_iso(F.col("text"))).alias("moment"))
+
+
 def rate_audit(spark, sf_dir):
     return rates.rate_audit(testdata.fetch_log(spark, sf_dir))
 
@@ -292,12 +305,12 @@ def all_queries() -> dict[str, Query]:
         page_records, page_status, publishing_orgs, related_links, link_edges, followable_links, resolved_links,
         build_urls, section_of_path,
         section_catalogue, select_sections, section_priority, section_sample, section_children,
-        crawl_pages, crawl_nearest, crawl_resumed,
+        crawl_pages, crawl_nearest, crawl_resumed, crawl_snapshots,
         page_table, section_rollup, scan_metadata, exclude_types, export_pages_flat,
         page_links, scan_progress_site, export_json, export_csv,
         url_priority, url_priority_events, frontier_new,
         next_batch, next_batch_events, frontier_batches, frontier_batches_events,
-        classify_fetches, landed_items, crawl_from_fetches, rate_audit, rate_audit_hourly,
+        classify_fetches, landed_items, crawl_from_fetches, parsed_dates, rate_audit, rate_audit_hourly,
         scan_progress, progress_by_type, progress_by_depth, scan_duration, report_lines,
         site_report_lines, progress_stream,
     ]

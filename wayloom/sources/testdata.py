@@ -179,6 +179,17 @@ def site_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times of the events in six ISO forms, one of them with a zone, and some that are none."""
+    form = lambda pattern: F.date_format("ts", pattern)
+    texts = [
+        form("yyyy-MM-dd HH:mm:ss"), form("yyyyMMdd'T'HHmmss"), F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0100")),
+        form("yyyy-MM-dd'T'HH"), form("yyyyMMdd"), F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit(",5")), form("yyyy-MM"),
+    ]
+    chosen = F.element_at(F.array(*texts), (F.col("event_id") % len(texts) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", chosen.alias("text"))
+
+
 def queue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as pages of many types, paths and depths, for the fetch queue."""
     event = F.col("event_id")
