@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 
 # Odd 64-bit factors for the places of a shingle; any odd numbers would do.
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], dtype=np.uint64)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.shingles import WordHashes, mixed, runs
-from wayloom.llm.tables import table, written
+from wayloom.llm.tables import long_texts, table, written
 
 WINDOW, GRAM = 35, 8
 BATCH_WORDS = 100_000
@@ -109,11 +109,11 @@ class Words:
         return owner, starts - self.begins[owner], self.grams[anchors].view(np.int64), found.view(np.int64)
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _batches(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
     """(first row, words of the rows) of parts with a bounded number of words, or one long text."""
     start, part, size = 0, [], 0
     for at, text in enumerate(texts):
-        words = split_words(text)
+        words = split_words(text.as_py())
         if part and size + len(words) > BATCH_WORDS:
             yield start, part
             start, part, size = at, [], 0
@@ -127,6 +127,11 @@ def _text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
 
 
+def _keys(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
+    """t1 and t2 of the rows; their texts stay where they are."""
+    return [batch.column(at).take(pa.array(rows, pa.int64())) for at in (1, 2)]
+
+
 def _anchored(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """One row per document with windows: a row number, the text's key, its anchors and blocks."""
 
@@ -134,20 +139,19 @@ def _anchored(texts: DataFrame, window: int, gram: int) -> DataFrame:
         hashes = WordHashes()
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for start, documents in _batches(batch.column(0).to_pylist()):
+            for start, documents in _batches(batch.column(0)):
                 owner, place, grams, blocks = Words(hashes, documents, window, gram).blocks()
                 counts = np.bincount(owner, minlength=len(documents))
                 rows = np.flatnonzero(counts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts[rows])]), pa.int32())
-                keys = batch.slice(start, len(documents)).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows + number, pa.int64()), keys.column(1), keys.column(2)]
+                    [pa.array(rows + number, pa.int64()), *_keys(batch, rows + start)]
                     + [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (place, grams, blocks)],
                     names=["row", "t1", "t2", "places", "grams", "blocks"],
                 )
                 number += len(documents)
 
-    return texts.select("text", "t1", "t2").mapInArrow(
+    return long_texts(texts).select("text", "t1", "t2").mapInArrow(
         run, "row long, t1 long, t2 long, places array<long>, grams array<long>, blocks array<long>"
     )
 
@@ -159,12 +163,11 @@ def _counted_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             wanted = batch.column(3).to_pylist()
-            for start, documents in _batches(batch.column(0).to_pylist()):
+            for start, documents in _batches(batch.column(0)):
                 words = Words(hashes, documents, window, gram)
                 owner, at, grams, found = words.windows(wanted[start : start + len(documents)])
-                keys = batch.slice(start, len(documents)).take(pa.array(owner, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.column(1), keys.column(2), pa.array(at, pa.int64()), pa.array(grams, pa.int64()), pa.array(found, pa.int64())],
+                    [*_keys(batch, owner + start), pa.array(at, pa.int64()), pa.array(grams, pa.int64()), pa.array(found, pa.int64())],
                     names=["t1", "t2", "start", "gram", "hash"],
                 )
 
@@ -241,8 +244,8 @@ def remove_repeats(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 sizes, gone, kept, spans = [], [], [], []
                 for body, whole, starts in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     words = split_words(body)
@@ -263,7 +266,7 @@ def remove_repeats(
                     names=["row", "n_words", "n_removed", "kept_text", "spans"],
                 )
 
-    return joined.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in names], *RESULT_NAMES)
+    return long_texts(joined).mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in names], *RESULT_NAMES)
 
 
 def op9_substring_dedup(spark, sf_dir):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wayloom.session import fresh_dir
 
+MAX_ROWS = 1000
+
 SCHEMAS = {
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
     "pages": "page_id BIGINT, url STRING, html STRING",
@@ -27,3 +29,13 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(spark, label)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def long_texts(frame: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends at most a thousand of them to Python at a
+    time, as texts may be long and a task's memory holds a few batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = frame.sparkSession
+    if not 0 < int(spark.conf.get(name)) <= MAX_ROWS:
+        spark.conf.set(name, str(MAX_ROWS))
+    return frame
