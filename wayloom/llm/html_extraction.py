@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.html_tree import FEATURES, Forest, Tree, parse
-from wayloom.llm.tables import table
+from wayloom.llm.tables import long_texts, table
 
 SAMPLE_PAGES, SAMPLE_CHARS = 200, 20_000
 BATCH_CHARS = 1 << 20
@@ -186,7 +186,10 @@ def train(pages: DataFrame, *, text: str = "html", sample_pages: int = SAMPLE_PA
     they are chosen by a hash. Without any, filler words take their place."""
     html = F.col(f"`{text}`")
     marked = pages.filter(html.contains("<article") & (F.length(html) <= SAMPLE_CHARS))
-    rows = marked.select(html.alias("html"), F.xxhash64(html).alias("h")).orderBy("h").limit(sample_pages).collect()
+    marked = marked.select(html.alias("html"), F.xxhash64(html).alias("h"))
+    share = min(1.0, 2 * sample_pages / max(1, marked.count()))  # a task sends few pages, however many there are
+    near = marked.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    rows = near.dropDuplicates(["h"]).orderBy("h").limit(sample_pages).collect()
     found = [m[1] for m in (_ARTICLE.search(row["html"]) for row in rows) if m]
     maker = PageMaker(found)
     return fit([parse(maker.page()) for _ in range(made_pages)])
@@ -227,7 +230,7 @@ def extract(pages: DataFrame, model: Model, *, html: str = "html", keep: tuple[s
                 yield pa.RecordBatch.from_arrays(part.columns[1:] + [texts], names=[*names, "text"])
                 start += len(group)
 
-    return source.mapInArrow(run, schema)
+    return long_texts(source).mapInArrow(run, schema)
 
 
 def op5_html_extraction(spark, sf_dir):
