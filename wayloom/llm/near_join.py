@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wayloom.llm.components import components
 from wayloom.llm.shingles import WordHashes, mixed, shingle_set
-from wayloom.llm.tables import table, written
+from wayloom.llm.tables import long_texts, table, written
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 28, 8, 0.998
@@ -144,7 +144,7 @@ def signed_rows(documents: DataFrame, *, key: str, text: str, shingle_words: int
                     names=["id", "t1", "t2", "node", "keys"],
                 )
 
-    return source.mapInArrow(run, schema)
+    return long_texts(source).mapInArrow(run, schema)
 
 
 def _verified(members: DataFrame, shingle_words: int, threshold: float) -> DataFrame:
@@ -158,8 +158,8 @@ def _verified(members: DataFrame, shingle_words: int, threshold: float) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 sets = [shingle_set(hashes.of(t.lower().split()), shingle_words).tobytes() for t in part.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     part.columns[:4] + [pa.array(sets, pa.binary())], names=["grp", "node", "copies", "blocks", "shingles"]
@@ -199,13 +199,14 @@ def _verified(members: DataFrame, shingle_words: int, threshold: float) -> DataF
 
         current, rows = None, {}
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for grp, i, j, own, node, copies, shingles in zip(*columns, strict=True):
-                if (grp, i, j) != current:
-                    if current:
-                        done(rows, current)
-                    current, rows = (grp, i, j), {}
-                rows[node] = (own, copies, shingles)
+            for lo in range(0, batch.num_rows, 64):
+                columns = [c.to_pylist() for c in batch.slice(lo, 64).columns]
+                for grp, i, j, own, node, copies, shingles in zip(*columns, strict=True):
+                    if (grp, i, j) != current:
+                        if current:
+                            done(rows, current)
+                        current, rows = (grp, i, j), {}
+                    rows[node] = (own, copies, shingles)
             yield flush()
         if current:
             done(rows, current)
@@ -259,7 +260,7 @@ def near_classes(
         .select(F.col("label").alias("grp"), "n", "node", "copies", F.col("pick.id").alias("id"), F.col("pick.t1").alias("t1"), F.col("pick.t2").alias("t2"))
     )
     texts = documents.select(F.col(f"`{key}`").alias("of"), F.col(f"`{text}`").cast("string").alias("text"), *_text_keys(F.col(f"`{text}`")))
-    members = texts.join(picked, (F.col("of").eqNullSafe(F.col("id"))) & (texts["t1"] == picked["t1"]) & (texts["t2"] == picked["t2"]))
+    members = texts.join(picked.hint("merge"), (F.col("of").eqNullSafe(F.col("id"))) & (texts["t1"] == picked["t1"]) & (texts["t2"] == picked["t2"]))
     links = written(_verified(members, shingle_words, threshold), "near-links")
     classes = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "near-classes")
     per_node = links.groupBy("node").agg(F.sum("links").alias("links"))
@@ -285,18 +286,23 @@ def keep_one_of_each(documents: DataFrame, *, key: str = "doc_id", text: str = "
     row for each of its different texts. Documents without words all stay.
     """
     found = near_classes(documents, key=key, text=text, **options).filter("n_class > 1")
-    found = written(found.groupBy(key, "t1", "t2").agg(F.min("class_id").alias("class_id")), "near-found")
-    names = documents.columns
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{key}`").alias("id"), *_text_keys(F.col(f"`{text}`")))
-    at = found.select(F.col(key).alias("of"), F.col("t1").alias("f1"), F.col("t2").alias("f2"), "class_id")
-    joined = rows.join(at, F.col("id").eqNullSafe(F.col("of")) & (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")), "left")
-    alone = joined.filter("f1 IS NULL").select("row")
-    heads = joined.filter("f1 IS NOT NULL AND id <=> class_id")
+    found = found.groupBy(F.col(key).alias("of"), F.col("t1").alias("f1"), F.col("t2").alias("f2")).agg(
+        F.min("class_id").alias("class_id"), F.count("*").alias("rows")
+    )
+    found = written(found, "near-found")
+    heads = found.filter("of = class_id").groupBy("class_id").agg(F.min(F.struct("f1", "f2")).alias("head"))
+    marked = found.join(heads, "class_id", "left")
+    stays = F.coalesce((F.col("of") == F.col("class_id")) & (F.struct("f1", "f2") == F.col("head")), F.col("class_id").isNull())
+    marked = written(marked.select("of", "f1", "f2", "rows", stays.alias("stays")), "near-marked")
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{key}`").alias("id"), *_text_keys(F.col(f"`{text}`"))
+    )
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2"))
+    # One plan for every size: the texts are shuffled once, by keys that no two documents share.
+    left = rows.join(marked.filter("NOT stays OR rows > 1").hint("merge"), same, "left_anti").select("row")
     # Copies of one row meet in a partial aggregate, so a row repeated very often is no load.
-    single = heads.groupBy("id", "t1", "t2").agg(F.first("row").alias("row"))
-    least = single.groupBy("id").agg(F.min_by("row", F.struct("t1", "t2")).alias("row")).filter("id IS NOT NULL")
-    unnamed = single.filter("id IS NULL").select("row")
-    return alone.union(least.select("row")).union(unnamed).select("row.*")
+    repeated = rows.join(marked.filter("stays AND rows > 1"), same, "left_semi").groupBy("id", "t1", "t2").agg(F.first("row").alias("row"))
+    return left.union(repeated.select("row")).select("row.*")
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):
