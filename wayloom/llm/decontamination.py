@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.tables import table
+from wayloom.llm.tables import long_texts, table
 
 WINDOW = 13
 MIN_SHARE = 0.05
@@ -202,7 +202,7 @@ def screen(
                 )
                 start = end
 
-    judged = source.mapInArrow(run, schema)
+    judged = long_texts(source).mapInArrow(run, schema)
     return judged.withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") + 1e-6 >= F.lit(min_share) * F.col("n_words"))
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.tables import table
+from wayloom.llm.tables import long_texts, table
 
 UNDETERMINED = "und"
 MIN_SCORE = 0.005
@@ -151,7 +151,7 @@ def identify(
                 names=[*names, "lang_pred", "score"],
             )
 
-    predicted = source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    predicted = long_texts(source).mapInArrow(run, f"{schema}, lang_pred string, score double")
     return predicted.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score))
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.tables import table
+from wayloom.llm.tables import long_texts, table
 from wayloom.llm.tokens import default_path, of_process
 
 END_ID = 2
@@ -140,7 +140,7 @@ def pack(
     limits: Limits = Limits(),
     tokenizer: str | None = None,
     end_id: int = END_ID,
-    buffer_tokens: int = 2_000_000,
+    buffer_tokens: int = 500_000,
 ) -> DataFrame:
     """One row per piece: ``keep``, its place in the example and in a sequence, and its ids.
 
@@ -197,8 +197,8 @@ def pack(
 
         for batch in batches:
             key_field = batch.schema.field(0)
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 keys, texts, prompts = (part.column(i).to_pylist() for i in range(3))
                 bodies = words.encode_all([body or "" for body in texts])
                 heads = words.encode_all([head or "" for head in prompts])
@@ -218,8 +218,9 @@ def pack(
                 place(part)
         if rows:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
-    return source.mapInArrow(run, schema).withColumnRenamed("key", keep)
+    return long_texts(source).mapInArrow(run, schema).withColumnRenamed("key", keep)
 
 
 def op3_packing(spark, sf_dir):
