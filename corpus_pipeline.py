@@ -18,10 +18,14 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; one that has no text left goes."""
-    cleaned = line_dedup.drop_site_lines(docs)
-    left = (F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")
-    return cleaned.filter(left).select(
+    """Documents without the boilerplate lines of their source; one made of nothing else stays whole.
+
+    Near copies count once, or a large group of them would lose the lines it has in common.
+    """
+    classes = near_join.near_classes(docs.select(F.xxhash64("text").alias("id"), "text"), key="id")
+    classes = classes.groupBy("t1", "t2").agg(F.min("class_id").alias("class"))
+    cleaned = line_dedup.drop_site_lines(docs, classes=written(classes, "line-classes"), keep_emptied=True)
+    return cleaned.select(
         *[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in COLUMNS]
     )
 

@@ -1,7 +1,9 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tests.compare import connect, difference
-from wayloom.llm.line_dedup import ORACLE, drop_site_lines, op10_line_dedup
+from wayloom.llm.line_dedup import ORACLE, drop_site_lines, op10_line_dedup, text_keys
 
 
 def brute(rows, ratio, least):
@@ -46,3 +48,11 @@ def test_other_columns_and_no_rows(spark):
 def test_query_equals_sql(spark, sf_dir):
     assert difference(op10_line_dedup(spark, sf_dir), connect(sf_dir), ORACLE) is None
     assert difference(op10_line_dedup(spark, "/root/testdata/sf0.01"), connect("/root/testdata/sf0.01"), ORACLE) is None
+
+
+def test_classes_count_once_and_emptied_pages_stay(spark):
+    rows = [(i, "a", f"menu\nown {i}") for i in range(20)] + [(i, "a", "copied\ntwice") for i in range(20, 30)] + [(30, "a", "menu"), (31, "a", None)]
+    pages = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    classes = pages.select(*text_keys(F.col("text")), F.xxhash64("text").alias("class")).distinct()
+    found = {r.doc_id: (r.text, r.n_dropped) for r in drop_site_lines(pages, classes=classes, keep_emptied=True).collect()}
+    assert found == {i: (f"own {i}", 1) if i < 20 else (text, 0) for i, _, text in rows}

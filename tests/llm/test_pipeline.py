@@ -98,3 +98,21 @@ def test_odd_documents(spark, tmp_path):
         table(spark, SF, "benchmark").write.parquet(f"{path}/benchmark.parquet")
         ids = {r.doc_id for r in pipeline.run(spark, path).collect()}
         assert ids.isdisjoint({None, 1, 2}) and (not at) == (3 in ids)
+
+
+def test_large_groups_of_copies_keep_one(spark):
+    """A source where exact copies are a third of the pages and near copies another, and a small one."""
+    words = lambda seed, n: " ".join(f"w{seed * 7919 + i * 31 % 977}" for i in range(n))
+    exact = "\n".join(words(1000 + k, 12) for k in range(4))
+    near = [words(2000 + k, 40) for k in range(6)]
+    data = [(i, f"menu of the site\n{words(i, 60)}", "big") for i in range(30)]
+    data += [(i, exact, "big") for i in range(100, 130)]
+    data += [(i, "\n".join(near[:5] + [f"{near[5]} edit{i} here{i}"]), "big") for i in range(200, 230)]
+    data += [(i, words(i, 60), "small") for i in range(300, 320)] + [(i, exact + "\nof the small site", "small") for i in range(400, 404)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in data], SCHEMA)
+    cleaned = written(pipeline.drop_site_lines(spark, docs, SF), "test-copies-lines")
+    menu = "menu of the site\n"
+    assert {i: r.text for i, r in rows(cleaned).items()} == {i: t.removeprefix(menu) for i, t, _ in data}
+    left = rows(pipeline.join_near_duplicates(spark, cleaned, SF))
+    assert {i for i in left if 100 <= i < 300} == {100, 200} and left[200].text == data[60][1]
+    assert set(range(30)) <= set(left) and set(range(300, 320)) <= set(left)

@@ -4,6 +4,9 @@ Per site, the pages that hold a line are divided by all pages of the site; a lin
 ratio is boilerplate of that site. A line counts once per page. Only hashes of lines are
 shuffled, summed in each task first, so a line on a third of all pages is a few rows by then.
 A site has at most (lines per page / ratio) boilerplate lines, so they fit in one row.
+
+Copies of one page share all lines, which doesn't make these boilerplate. Where classes of
+like texts are given, a line must be over the bounds by classes, too.
 """
 
 from __future__ import annotations
@@ -25,23 +28,39 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def boilerplate(pages: DataFrame, *, site: str, text: str, max_ratio: float, min_pages: int) -> DataFrame:
+def text_keys(text: Column) -> list[Column]:
+    """t1 and t2, which name a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
+
+
+def boilerplate(
+    pages: DataFrame, *, site: str, text: str, max_ratio: float, min_pages: int, classes: DataFrame | None = None
+) -> DataFrame:
     """One row per site that has boilerplate: __site and the hashes of the lines."""
     filled = F.filter(_lines(F.col(f"`{text}`")), lambda line: F.trim(line) != "")
     keys = F.array_distinct(F.transform(filled, _key))
     # A page adds one row without a line, by which the pages of the site are counted.
-    rows = pages.select(
-        F.col(f"`{site}`").alias("__site"),
-        F.explode(F.concat(F.coalesce(keys, F.array().cast("array<bigint>")), F.array(F.lit(None).cast("bigint")))).alias("__line"),
-    )
-    counts = rows.groupBy("__site", "__line").agg(F.count("*").alias("__n"))
-    counts = written(counts.filter(F.col("__line").isNull() | (F.col("__n") >= min_pages)), "line-counts")
-    totals = counts.filter("__line IS NULL").select(F.col("__site").alias("__of"), F.col("__n").alias("__pages"))
+    keys = F.concat(F.coalesce(keys, F.array().cast("array<bigint>")), F.array(F.lit(None).cast("bigint")))
+    at = F.col(f"`{site}`").alias("__site")
+    if classes is None:
+        rows = pages.select(at, F.explode(keys).alias("__line"))
+        counts = rows.groupBy("__site", "__line").agg(F.count("*").alias("__n"))
+    else:
+        # Equal pages of a site meet in a partial aggregate and look up their class as one row.
+        texts = pages.select(at, *text_keys(F.col(f"`{text}`")), keys.alias("__keys"))
+        texts = texts.groupBy("__site", "t1", "t2").agg(F.first("__keys").alias("__keys"), F.count("*").alias("__n"))
+        rows = texts.join(classes.hint("merge"), ["t1", "t2"]).select("__site", "class", "__n", F.explode("__keys").alias("__line"))
+        rows = rows.groupBy("__site", "__line", "class").agg(F.sum("__n").alias("__n"))
+        counts = rows.groupBy("__site", "__line").agg(F.sum("__n").alias("__n"), F.count("*").alias("__classes"))
+    measures = [c for c in counts.columns if c not in ("__site", "__line")]
+    often, over = F.lit(True), F.lit(True)
+    for c in measures:
+        often = often & (F.col(c) >= min_pages)
+        over = over & (F.col(c) > F.lit(max_ratio) * F.col(f"{c}_all"))
+    counts = written(counts.filter(F.col("__line").isNull() | often), "line-counts")
+    totals = counts.filter("__line IS NULL").select(F.col("__site").alias("__of"), *[F.col(c).alias(f"{c}_all") for c in measures])
     frequent = counts.filter("__line IS NOT NULL").join(totals, F.expr("__site <=> __of"))
-    return (
-        frequent.filter(F.col("__n") > F.lit(max_ratio) * F.col("__pages"))
-        .groupBy("__site").agg(F.collect_list("__line").alias("__drop"))
-    )
+    return frequent.filter(over).groupBy("__site").agg(F.collect_list("__line").alias("__drop"))
 
 
 def drop_site_lines(
@@ -51,6 +70,8 @@ def drop_site_lines(
     text: str = "text",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    classes: DataFrame | None = None,
+    keep_emptied: bool = False,
 ) -> DataFrame:
     """All columns, the text without its site's boilerplate lines, and n_lines and n_dropped.
 
@@ -59,9 +80,14 @@ def drop_site_lines(
     and the others keep their order. Pages with a null site are one site. A null text stays
     null with no lines; a page that loses all lines has an empty text. Repeated rows count as
     pages of their own. Columns named n_lines or n_dropped give way.
+
+    ``classes`` has a row (t1, t2, class) for each different text, named by ``text_keys``. A
+    line then goes only if it is over both bounds by pages and also by classes: of the site's
+    classes, more than ``max_ratio`` and at least ``min_pages`` hold it. With ``keep_emptied``
+    a page that would lose all its text keeps all of it.
     """
     names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    found = written(boilerplate(pages, site=site, text=text, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
+    found = written(boilerplate(pages, site=site, text=text, max_ratio=max_ratio, min_pages=min_pages, classes=classes), "boilerplate")
     lines = _lines(F.col("p.__text"))
     kept = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("__drop"), _key(line)))
     joined = (
@@ -69,6 +95,9 @@ def drop_site_lines(
         .alias("p").join(found, F.expr("__at <=> __site"), "left")
         .withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
     )
+    if keep_emptied:
+        filled = F.exists("__kept", lambda line: F.trim(F.translate(line, "\t\r", "  ")) != "")
+        joined = joined.withColumn("__kept", F.when(filled, F.col("__kept")))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
     n_lines = F.when(F.col("__text").isNull(), 0).otherwise(n_lines).cast("long")
     values = [
