@@ -136,3 +136,18 @@ def test_components(spark):
                 changed = True
     assert found == root
     assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_pairs_at_the_threshold_meet(spark):
+    """Isolated pairs just over the threshold: 5,000 pairs share a prefix in some tree, each of them."""
+    depth = nj.match_depth(nj.THRESHOLD, nj.TREES, nj.MAX_DEPTH, nj.TARGET_RECALL)
+    assert nj.recall(0.8, nj.TREES, depth) > 0.999999
+    assert depth == nj.MAX_DEPTH  # no minhash is computed for nothing
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sets = []
+        for _ in range(100):
+            common = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+            sets += [np.concatenate([common, rng.integers(0, 1 << 63, 10, dtype=np.uint64)]) for _ in range(2)]
+        keys = nj.prefix_keys(nj.signatures(sets, nj.TREES * nj.MAX_DEPTH), nj.TREES, nj.MAX_DEPTH, depth)
+        assert (keys[::2] == keys[1::2]).any(axis=1).all()
