@@ -52,3 +52,14 @@ def test_the_smallest_size_wins_and_ties_go_in_order():
     assert found.classify("eins zwei drei vier fuenf")[0] == "a"
     assert found.classify("qqq")[1] == 0.0
     assert Classifier(LanguageModel({"a": b"abc"})).classify("xyz") == ("a", 1.0)
+
+
+def test_copies_take_no_place_of_other_texts(spark):
+    """One text holds most rows of a language; its other texts are all sampled, or as many as wanted."""
+    copies = spark.range(5000).selectExpr("'ein und derselbe text' AS text", "'de' AS lang")
+    others = spark.range(60).selectExpr("concat('wort', translate(id, '0123456789', 'abcdefghij'), 'ende') AS text", "'de' AS lang")
+    rows = copies.union(others)
+    words = set(fit(rows, rows_per_language=100).dictionaries["de"].decode().split())
+    assert {r.text for r in others.collect()} < words
+    few = fit(rows.filter("text LIKE 'wort%'").union(copies), rows_per_language=40).dictionaries["de"].decode().split()
+    assert sum(w.startswith("wort") for w in few) in (39, 40)

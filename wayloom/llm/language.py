@@ -8,11 +8,12 @@ slowest level, which finds the shortest matches, decides. ``score`` says by how
 smallest total won, and a narrow margin is a rejection.
 
 The dictionaries have a fixed size, and the labelled rows behind them are a bounded sample:
-about ``rows_per_language`` texts, chosen by a hash. Prediction reads whole texts and moves none.
+at most ``rows_per_language`` different texts, chosen by a hash. Prediction reads whole texts and moves none.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,26 +59,32 @@ def fit(
     """
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
+    # Copies are drawn together, so texts are counted as they are drawn: by their hash.
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    different = rows.select("lang", "h").distinct().groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in different.limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return LanguageModel({}, level)
+    # Drawn with a margin of six deviations, and cut to the number wanted.
+    drawn = rows_per_language + 6 * math.isqrt(rows_per_language) + 6
     share: Column = F.lit(0)
     for name, count in counts.items():
-        kept = min(_BUCKETS, _BUCKETS * rows_per_language // count + 1)
+        kept = min(_BUCKETS, _BUCKETS * drawn // count + 1)
         share = F.when(F.col("lang") == name, kept).otherwise(share)
     part = max(256, 2 * dictionary_bytes // rows_per_language)
     sample = (
-        rows.withColumn("h", F.xxhash64("text"))
-        .filter(F.pmod("h", F.lit(_BUCKETS)) < share)
+        rows.filter(F.pmod("h", F.lit(_BUCKETS)) < share)
         .select("lang", "h", F.substring("text", 1, part).alias("text"))
         .groupBy("lang", "h").agg(F.min("text").alias("text"))
         .collect()
     )
     content: dict[str, list[str]] = {}
-    for row in sorted(sample, key=lambda r: (r["lang"], r["h"])):
-        content.setdefault(row["lang"], []).append(letters(row["text"]))
+    for row in sorted(sample, key=lambda r: (r["lang"], r["h"] % _BUCKETS, r["h"])):
+        texts = content.setdefault(row["lang"], [])
+        if len(texts) < rows_per_language:
+            texts.append(letters(row["text"]))
     return LanguageModel(
         {name: " ".join(texts).encode()[-dictionary_bytes:] for name, texts in sorted(content.items())}, level
     )
