@@ -63,3 +63,14 @@ def test_copies_take_no_place_of_other_texts(spark):
     assert {r.text for r in others.collect()} < words
     few = fit(rows.filter("text LIKE 'wort%'").union(copies), rows_per_language=40).dictionaries["de"].decode().split()
     assert sum(w.startswith("wort") for w in few) in (39, 40)
+
+
+def test_all_sampled_texts_have_a_place(spark):
+    """Texts with one opening, of letters of two bytes, longer together than the dictionary."""
+    own = "translate(id, '0123456789', 'абвгдежзик')"
+    rows = spark.range(50).selectExpr(f"concat(repeat('anfang ', 200), repeat(concat('wort', {own}, 'ende '), 500)) AS text", "'de' AS lang")
+    found = fit(rows, rows_per_language=50, dictionary_bytes=10_000).dictionaries["de"]
+    wanted = {r.own for r in spark.range(50).selectExpr(f"concat('wort', {own}, 'ende') AS own").collect()}
+    assert len(found) <= 10_000 and len(wanted & set(found.decode().split())) > 30
+    short = fit(rows.limit(3), rows_per_language=50, dictionary_bytes=10_000).dictionaries["de"]
+    assert 7_000 < len(short) <= 10_000

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.tables import long_texts, table
@@ -53,8 +53,9 @@ def fit(
 ) -> LanguageModel:
     """Dictionaries from rows whose text and language are not null.
 
-    Equal texts count once, and each gives the dictionary its first part only, of such a
-    length that all sampled texts of a language have a place. No labelled rows: no language.
+    Equal texts count once. Each gives the dictionary a part that starts anywhere in it, by a
+    hash, and has at most as many bytes as leave a place for all sampled texts of its language.
+    No labelled rows: no language.
     More than ``max_languages`` values of ``lang`` is an error, as all dictionaries go to each task.
     """
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
@@ -69,14 +70,17 @@ def fit(
         return LanguageModel({}, level)
     # Drawn with a margin of six deviations, and cut to the number wanted.
     drawn = rows_per_language + 6 * math.isqrt(rows_per_language) + 6
-    share: Column = F.lit(0)
+    share, part = F.lit(0), F.lit(0)
     for name, count in counts.items():
         kept = min(_BUCKETS, _BUCKETS * drawn // count + 1)
         share = F.when(F.col("lang") == name, kept).otherwise(share)
-    part = max(256, 2 * dictionary_bytes // rows_per_language)
+        # Twice the place, as only letters are kept.
+        part = F.when(F.col("lang") == name, max(1, 2 * dictionary_bytes // min(count, rows_per_language))).otherwise(part)
+    start = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - F.col("part") + 1, F.lit(1))).cast("int")
     sample = (
         rows.filter(F.pmod("h", F.lit(_BUCKETS)) < share)
-        .select("lang", "h", F.substring("text", 1, part).alias("text"))
+        .withColumn("part", part)
+        .select("lang", "h", F.substring("text", start, F.col("part")).alias("text"))
         .groupBy("lang", "h").agg(F.min("text").alias("text"))
         .collect()
     )
@@ -85,9 +89,18 @@ def fit(
         texts = content.setdefault(row["lang"], [])
         if len(texts) < rows_per_language:
             texts.append(letters(row["text"]))
-    return LanguageModel(
-        {name: " ".join(texts).encode()[-dictionary_bytes:] for name, texts in sorted(content.items())}, level
-    )
+    return LanguageModel({name: _dictionary(texts, dictionary_bytes) for name, texts in sorted(content.items())}, level)
+
+
+def _dictionary(texts: list[str], size: int) -> bytes:
+    """A part of each text; what short ones leave free goes to longer ones."""
+    parts, left = [t.encode("utf-8", "surrogatepass") for t in texts], size
+    for n, at in enumerate(sorted(range(len(parts)), key=lambda i: len(parts[i]))):
+        room = max(0, left // (len(parts) - n) - 1)
+        if len(parts[at]) > room:
+            parts[at] = parts[at][:room].decode("utf-8", "ignore").encode()
+        left -= len(parts[at]) + 1
+    return b" ".join(parts)[:size]
 
 
 def letters(text: str) -> str:
