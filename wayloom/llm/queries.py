@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayloom.llm import decontamination, fingerprints, html_extraction, language, line_dedup, near_join, packing, sharding, substring_dedup, url_filter
+from wayloom.llm import decontamination, fingerprints, html_extraction, language, line_dedup, near_join, packing, sharding, spelling, substring_dedup, url_filter
 
 
 def all_queries() -> dict:
@@ -17,6 +17,7 @@ def all_queries() -> dict:
         sharding.op8_sharding,
         substring_dedup.op9_substring_dedup,
         line_dedup.op10_line_dedup,
+        spelling.op11_spelling_variants,
     )
     return {query.__name__: query for query in found}
 
@@ -28,4 +29,5 @@ def all_oracles() -> dict[str, str]:
         "op6_benchmark_decontamination": decontamination.ORACLE,
         "op9_substring_dedup": substring_dedup.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
+        "op11_spelling_variants": spelling.ORACLE,
     }
