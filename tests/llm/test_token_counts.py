@@ -1,0 +1,67 @@
+import random
+
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from wayloom.llm.token_counts import PieceCounter, batch_counts, default_path, op13_token_counts, token_counts
+
+LONG = "wort und weiter, immer  weiter\n" * 4_000
+ODD = [
+    None, "", " ", "  ", "   ", " a", "a ", "a  ", "  a  b  ", "a b", "a▁b", "▁", "▁ ▁", "a ▁", "\n", "\t x", "a \n b",
+    "<s> </s> <unk> <0x41>", " x　y", "日本語 です", "\U0001f600 \U0001f468‍\U0001f469", "x" * 5_000, "a\x00b \x00", "é é", LONG, LONG + " ",
+]
+
+
+@pytest.fixture(scope="module")
+def model():
+    return sentencepiece.SentencePieceProcessor(model_file=default_path())
+
+
+def test_odd_texts(model):
+    want = [len(model.encode(text or "")) for text in ODD]
+    counter = PieceCounter(default_path())
+    assert counter.can_cut
+    for size in (10, 1_000, 1 << 20):
+        assert batch_counts(counter, pa.array(ODD, pa.string()), size).tolist() == want
+
+
+def test_random_texts_and_parts(model):
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("ab▁ ▁ \n. öé日") for _ in range(draw.randint(0, 40))) for _ in range(3_000)]
+    want = [len(model.encode(text)) for text in texts]
+    counter = PieceCounter(default_path())
+    assert counter.counts(pa.array(texts)).tolist() == want
+    for text, n in zip(texts[:500], want, strict=False):
+        assert sum(counter.counts(pa.array([part]))[0] for part in counter.parts(text, 5)) == n
+    assert len(list(counter.parts(LONG, 1_000))) > 50
+
+
+def test_rows(spark):
+    rows = [(i, text, "k") for i, text in enumerate(ODD)] + [(None, "a b", "z"), (3, "a b", "z"), (3, "a b", "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    found = token_counts(frame, limit=1, batch_bytes=500).collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=default_path())
+    want = [(i, len((text or "").encode()), n := len(model.encode(text or "")), n > 1) for i, text, _ in rows]
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    assert token_counts(frame.limit(0)).count() == 0
+    assert token_counts(frame, key="n_tokens").columns == ["n_tokens", "n_bytes", "over_limit"]
+
+
+def test_json_tokenizer(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", "two words", "<|endoftext|> x", "a  b"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_tokens for r in token_counts(frame, tokenizer=path).collect()}
+    library = Tokenizer.from_file(path)
+    assert found == {i: len(library.encode(text, add_special_tokens=False).ids) for i, text in enumerate(texts)}
+
+
+def test_query_equals_the_library(spark, model):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in op13_token_counts(spark, folder).collect()}
+    want = {i: (len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t in texts.items()}
+    assert found == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayloom.llm import decontamination, fingerprints, html_extraction, language, line_dedup, near_join, packing, sharding, spelling, substring_dedup, url_filter
+from wayloom.llm import decontamination, fingerprints, html_extraction, language, line_dedup, merkle, near_join, packing, sharding, spelling, substring_dedup, token_counts, url_filter
 
 
 def all_queries() -> dict:
@@ -18,6 +18,8 @@ def all_queries() -> dict:
         substring_dedup.op9_substring_dedup,
         line_dedup.op10_line_dedup,
         spelling.op11_spelling_variants,
+        merkle.op12_merkle_manifest,
+        token_counts.op13_token_counts,
     )
     return {query.__name__: query for query in found}
 
@@ -30,4 +32,6 @@ def all_oracles() -> dict[str, str]:
         "op9_substring_dedup": substring_dedup.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
         "op11_spelling_variants": spelling.ORACLE,
+        "op12_merkle_manifest": merkle.ORACLE,
+        "op12_merkle_manifest": merkle.ORACLE,
     }
