@@ -177,6 +177,16 @@ def _copies(large: DataFrame, floor: int, share: int) -> DataFrame:
     return large.filter(F.col("n") > floor).select("src", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("copies"))
 
 
+def link_sources(level: DataFrame, graph: LinkGraph, *facts: str) -> DataFrame:
+    """src_part and the ``facts`` of each page of a level, once for each part of its links."""
+    last_copy = F.coalesce("copies", F.lit(1)) - 1
+    return (
+        level.select(F.col("path").alias("src"), *facts).join(F.broadcast(graph.hubs), "src", "left")
+        .select("src", *facts, F.explode(F.sequence(F.lit(0), last_copy)).alias("part"))
+        .select(_src_part(F.col("src"), F.col("part")).alias("src_part"), *facts)
+    )
+
+
 def next_level(levels: list[DataFrame], graph: LinkGraph, improve: bool) -> DataFrame:
     """Pages one link beyond the last of ``levels``: path, ord, is_new.
 
@@ -184,14 +194,8 @@ def next_level(levels: list[DataFrame], graph: LinkGraph, improve: bool) -> Data
     any before found it. Targets and then pages are shuffled once; links, addresses and
     earlier levels are read where they lie.
     """
-    last_copy = F.coalesce("copies", F.lit(1)) - 1
-    sources = (
-        levels[-1].select(F.col("path").alias("src"), "ord").join(F.broadcast(graph.hubs), "src", "left")
-        .select("src", "ord", F.explode(F.sequence(F.lit(0), last_copy)).alias("part"))
-        .select(_src_part(F.col("src"), F.col("part")).alias("src_part"), "ord")
-    )
     targets = (
-        sources.join(graph.edges, "src_part")
+        link_sources(levels[-1], graph, "ord").join(graph.edges, "src_part")
         .groupBy(F.col("dst").alias("requested_path"))
         .agg(F.min("ord").alias("found"))
     )

@@ -309,6 +309,8 @@ def all_oracles() -> dict[str, str]:
           FROM sections s JOIN nation ON n_regionkey = s.ord""",
         "crawl_pages": f"{_graph()} {CRAWL}",
         "crawl_nearest": f"{_graph('depth, ord')} {CRAWL}",
+        "section_reach": f"""WITH RECURSIVE {HEADS}, {LINKS}, {SECTIONS}, {EDGES}, {WALK}
+          SELECT s.path AS section, r.path, CAST(r.depth AS INTEGER) AS depth_level FROM reached r JOIN sections s ON r.ord = s.ord""",
         "crawl_resumed": f"{_graph()} {CRAWL}",
         "crawl_snapshots": f"""{_graph()}, firsts AS (SELECT path, min(depth) AS d FROM reached GROUP BY path)
           SELECT CAST(r.d AS INTEGER) AS depth, count(*) AS pages_processed, count(*) AS snapshots_due

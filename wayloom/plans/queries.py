@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import content, scoring, times
 from wayloom.operators import crawl as walk
-from wayloom.operators import frontier, links, pages, progress, rates, report, sections, trends
+from wayloom.operators import frontier, links, pages, progress, rates, reach, report, sections, trends
 from wayloom.plans import inputs
 from wayloom.plans.inputs import AS_OF, MAX_DEPTH
 from wayloom.plans.scan import choose_sections, sample
@@ -108,6 +108,12 @@ def crawl_nearest(spark, sf_dir):
     return _crawl(spark, sf_dir, owner="nearest")
 
 
+def section_reach(spark, sf_dir):
+    """Every section with every page it reaches, not the owner alone."""
+    source = inputs.items(spark, sf_dir)
+    return reach.section_reach(source, sections.section_catalogue(source), max_depth=MAX_DEPTH)
+
+
 def crawl_resumed(spark, sf_dir):
     """Two levels first, then the rest from the saved state."""
     state = fresh_dir(spark, "state")
@@ -305,7 +311,7 @@ def all_queries() -> dict[str, Query]:
         page_records, page_status, publishing_orgs, related_links, link_edges, followable_links, resolved_links,
         build_urls, section_of_path,
         section_catalogue, select_sections, section_priority, section_sample, section_children,
-        crawl_pages, crawl_nearest, crawl_resumed, crawl_snapshots,
+        crawl_pages, crawl_nearest, section_reach, crawl_resumed, crawl_snapshots,
         page_table, section_rollup, scan_metadata, exclude_types, export_pages_flat,
         page_links, scan_progress_site, export_json, export_csv,
         url_priority, url_priority_events, frontier_new,
