@@ -1,0 +1,60 @@
+"""Rounds of a walk in order of priority, against a queue in plain Python."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+from tests import build
+from wayloom.operators.priority_walk import priority_walk
+
+BONUS = {"guide": -500, "detailed_guide": -400, "service": -300, "transaction": -300}
+
+
+def priority(path, kind, depth):
+    return max(1, depth * 10 + BONUS.get(kind, 0) - 100 * ("/services/" in path) - 50 * ("/guidance/" in path))
+
+
+def rounds(edges, kinds, roots, batch_size, max_depth):
+    follow = defaultdict(set)
+    for src, dst in edges:
+        follow[src].add(dst)
+    queue = sorted((priority(r, kinds[r], 0), r, 0) for r in set(roots) & set(kinds))
+    seen, found, number = {path for _, path, _ in queue}, [], 0
+    while queue:
+        batch, queue = queue[:batch_size], queue[batch_size:]
+        found += [(path, depth, p, number, place) for place, (p, path, depth) in enumerate(batch, 1)]
+        new = {}
+        for _, path, depth in batch:
+            for dst in follow[path] if depth < max_depth else ():
+                if dst in kinds and dst not in seen:
+                    new[dst] = min(new.get(dst, depth + 1), depth + 1)
+        queue = sorted(queue + [(priority(path, kinds[path], depth), path, depth) for path, depth in new.items()])
+        seen |= set(new)
+        number += 1
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("batch_size, max_depth", [(1, 2), (7, 3), (40, 6)])
+def test_random_graphs(spark, batch_size, max_depth):
+    rng = random.Random(batch_size)
+    areas = ["/services/", "/guidance/", "/other/"]
+    size = 8 if batch_size == 1 else 120
+    kinds = {f"{rng.choice(areas)}n{i}": rng.choice([*BONUS, "topic"]) for i in range(size)}
+    nodes = list(kinds)
+    edges = [(rng.choice(nodes), rng.choice([*nodes, "/missing"])) for _ in range(size * 2)]
+    follow = defaultdict(list)
+    for src, dst in edges:
+        follow[src].append(dst)
+    frame = build.items(spark, [build.item(n, follow[n], document_type=kinds[n]) for n in nodes])
+    roots = [*nodes[:3], nodes[0], "/absent"]
+    found = priority_walk(frame, build.sections(spark, *roots), batch_size=batch_size, max_depth=max_depth, bucket_rows=50)
+    assert found.columns == ["path", "depth", "priority", "round", "place"]
+    assert build.rows(found) == rounds(edges, kinds, roots, batch_size, max_depth)
+
+
+def test_nothing_to_walk(spark):
+    frame = build.items(spark, [build.item("/a")])
+    assert priority_walk(frame, build.sections(spark, "/b")).count() == 0
+    with pytest.raises(ValueError):
+        priority_walk(frame, build.sections(spark, "/a"), batch_size=0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wayloom.plans.inputs import AS_OF, MAX_DEPTH
-from wayloom.plans.queries import URL_BASE
+from wayloom.plans.queries import URL_BASE, WALK_BATCH
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 DAY = 86_400_000_000
@@ -128,6 +128,31 @@ totals AS (
 ),
 progress AS (SELECT *, {DURATION} AS scan_duration FROM totals)"""
 
+PRIORITY = """CAST(greatest(1, depth_level * 10
+  + CASE content_type WHEN 'guide' THEN -500 WHEN 'detailed_guide' THEN -400 WHEN 'service' THEN -300
+    WHEN 'transaction' THEN -300 ELSE 0 END
+  + CASE WHEN contains(path, '/services/') THEN -100 ELSE 0 END
+  + CASE WHEN contains(path, '/guidance/') THEN -50 ELSE 0 END) AS INTEGER)"""
+
+# All pages ever queued, each with its round and place once it is taken; a step is a round.
+PRIORITY_WALK = f"""
+kinds AS (SELECT path, any_value(content_type) AS content_type FROM heads GROUP BY path),
+entered AS (SELECT DISTINCT h.path, 0 AS depth_level, k.content_type FROM sections s
+  JOIN heads h ON h.requested_path = s.path JOIN kinds k ON k.path = h.path),
+queue(step, path, depth, priority, taken, place) AS (
+  SELECT 0, path, depth_level, CAST({PRIORITY} AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS BIGINT) FROM entered
+  UNION ALL
+  (WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY taken IS NULL ORDER BY priority, path, depth) AS rank FROM queue),
+    batch AS (SELECT * FROM ranked WHERE taken IS NULL AND rank <= {WALK_BATCH}),
+    linked AS (SELECT e.dst AS path, min(b.depth) + 1 AS depth_level FROM batch b JOIN edges e ON e.src = b.path
+      WHERE b.depth < {MAX_DEPTH} GROUP BY e.dst),
+    fresh AS (SELECT l.path, l.depth_level, k.content_type FROM linked l JOIN kinds k ON k.path = l.path ANTI JOIN ranked r ON r.path = l.path)
+  SELECT step + 1, path, depth, priority, CASE WHEN taken IS NULL AND rank <= {WALK_BATCH} THEN step ELSE taken END,
+    CASE WHEN taken IS NULL AND rank <= {WALK_BATCH} THEN rank ELSE place END
+  FROM ranked WHERE EXISTS (FROM batch)
+  UNION ALL SELECT (SELECT max(step) FROM ranked) + 1, path, depth_level, CAST({PRIORITY} AS INTEGER), NULL, NULL FROM fresh)
+)"""
+
 ITEMS = f"WITH {HEADS}, {LINKS}"
 CATALOGUE = f"WITH {LINKS}, {SECTIONS}"
 
@@ -180,11 +205,6 @@ STALENESS = "coalesce(least(1.0::DOUBLE, newest_age_days / 365.0::DOUBLE), 1.0::
 COMPLEXITY = """(least(1.0::DOUBLE, max_depth / 10.0::DOUBLE) + least(1.0::DOUBLE, average_depth / 5.0::DOUBLE))
   / 2.0::DOUBLE AS complexity_score"""
 
-PRIORITY = """CAST(greatest(1, depth_level * 10
-  + CASE content_type WHEN 'guide' THEN -500 WHEN 'detailed_guide' THEN -400 WHEN 'service' THEN -300
-    WHEN 'transaction' THEN -300 ELSE 0 END
-  + CASE WHEN contains(path, '/services/') THEN -100 ELSE 0 END
-  + CASE WHEN contains(path, '/guidance/') THEN -50 ELSE 0 END) AS INTEGER)"""
 QUEUE = f"SELECT section, path, depth_level AS depth, {PRIORITY} AS priority FROM site"
 
 
@@ -309,6 +329,8 @@ def all_oracles() -> dict[str, str]:
           FROM sections s JOIN nation ON n_regionkey = s.ord""",
         "crawl_pages": f"{_graph()} {CRAWL}",
         "crawl_nearest": f"{_graph('depth, ord')} {CRAWL}",
+        "priority_walk": f"""WITH RECURSIVE {HEADS}, {LINKS}, {SECTIONS}, {EDGES}, {PRIORITY_WALK}
+          SELECT path, depth, priority, taken AS round, place FROM queue WHERE step = (SELECT max(step) FROM queue)""",
         "section_reach": f"""WITH RECURSIVE {HEADS}, {LINKS}, {SECTIONS}, {EDGES}, {WALK}
           SELECT s.path AS section, r.path, CAST(r.depth AS INTEGER) AS depth_level FROM reached r JOIN sections s ON r.ord = s.ord""",
         "crawl_resumed": f"{_graph()} {CRAWL}",

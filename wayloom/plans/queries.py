@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import content, scoring, times
 from wayloom.operators import crawl as walk
 from wayloom.operators import frontier, links, pages, progress, rates, reach, report, sections, trends
+from wayloom.operators import priority_walk as by_priority
 from wayloom.plans import inputs
 from wayloom.plans.inputs import AS_OF, MAX_DEPTH
 from wayloom.plans.scan import choose_sections, sample
@@ -28,6 +29,7 @@ CHOSEN_SECTIONS = "AMERICA, /region/3"
 PREFERRED_SECTIONS = ("ASIA", "EUROPE")
 EXCLUDED_TYPES = ("transaction", "topic")
 HOUR_MICROS = 3_600_000_000
+WALK_BATCH = 4_000
 
 
 # Items and links
@@ -195,6 +197,13 @@ def _queue(spark, sf_dir):
     return frontier.frontier(inputs.pages(spark, sf_dir))
 
 
+def priority_walk(spark, sf_dir):
+    """The whole site in rounds of the best pages of the queue."""
+    source = inputs.items(spark, sf_dir)
+    found = by_priority.priority_walk(source, sections.section_catalogue(source), batch_size=WALK_BATCH, max_depth=MAX_DEPTH)
+    return found.select("path", "depth", "priority", "round", "place")
+
+
 def next_batch(spark, sf_dir):
     return frontier.next_batch(_queue(spark, sf_dir))
 
@@ -314,7 +323,7 @@ def all_queries() -> dict[str, Query]:
         crawl_pages, crawl_nearest, section_reach, crawl_resumed, crawl_snapshots,
         page_table, section_rollup, scan_metadata, exclude_types, export_pages_flat,
         page_links, scan_progress_site, export_json, export_csv,
-        url_priority, url_priority_events, frontier_new,
+        url_priority, url_priority_events, frontier_new, priority_walk,
         next_batch, next_batch_events, frontier_batches, frontier_batches_events,
         classify_fetches, landed_items, crawl_from_fetches, parsed_dates, rate_audit, rate_audit_hourly,
         scan_progress, progress_by_type, progress_by_depth, scan_duration, report_lines,
