@@ -42,6 +42,7 @@ class LinkGraph:
     ``edges`` (src_part, dst) are bucketed by ``src_part``, the source and the number of its
     part; only ``hubs`` (src, copies) have more than part 0. ``addresses`` are bucketed by
     requested_path into ``pages``, the number of partitions that aggregates shuffle to.
+    ``mark`` tells the items it was made from.
     """
 
     edges: DataFrame
@@ -49,6 +50,7 @@ class LinkGraph:
     hubs: DataFrame
     buckets: int
     pages: int
+    mark: str = ""
 
 
 def crawl(
@@ -84,7 +86,8 @@ def crawl(
         raise ValueError(f"the state in {store.path} was made with owner={last.owner}")
 
     roots = sections.select("ord", F.col("path").alias("section"))
-    made_from = _inputs(items, roots) if state else None
+    of_roots = _mark_of(roots.agg(*_row_marks(F.xxhash64("ord", "section")))) if state else ""
+    made_from = f"{_mark_of(_items_by_path(items).agg(*_sums()))} {of_roots}" if last else ""
     if last and last.inputs != made_from:
         raise ValueError(f"the state in {store.path} was made from other items or sections")
     try:
@@ -96,6 +99,7 @@ def crawl(
         else:
             roots = store.save("roots", roots)
             graph = stage_graph(items, store, bucket_rows)
+            made_from = f"{graph.mark} {of_roots}"
             depth, saved_pages = 0, 0
             level, fresh, pages = store.save_level(0, _root_level(roots, graph.addresses), graph.pages)
             levels = [level]
@@ -121,12 +125,26 @@ def crawl(
     return owned.join(roots, "ord").select("section", "path", "depth_level")
 
 
-def _inputs(items: DataFrame, roots: DataFrame) -> str:
-    """A mark of what a walk starts from, whatever the order of the rows."""
+def _row_marks(row_hash: Column) -> list[Column]:
+    """Number of rows and sum of their hashes, which no order and no repeated row can hide."""
+    return [F.count(F.lit(1)).alias("rows"), F.sum(row_hash.cast("decimal(20,0)")).alias("hashes")]
+
+
+def _items_by_path(items: DataFrame) -> DataFrame:
+    """For each path its links, rows and sum of hashes: all that a walk's staging asks of the items."""
     linked = F.xxhash64("requested_path", "base_path", "list_from", F.map_entries("links"))
-    of_items = items.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(linked).alias("x")).first()
-    of_roots = roots.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("ord", "section")).alias("x")).first()
-    return f"{of_items['n']}:{of_items['x']} {of_roots['n']}:{of_roots['x']}"
+    return items.groupBy(F.col("base_path").alias("src")).agg(
+        F.sum(link_rows(F.col("links"))).alias("n"), *_row_marks(linked)
+    )
+
+
+def _sums() -> list[Column]:
+    return [F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes")]
+
+
+def _mark_of(sums: DataFrame) -> str:
+    row = sums.first()
+    return f"{row['rows'] or 0}:{row['hashes'] or 0}"
 
 
 def stage_graph(items: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_ROWS) -> LinkGraph:
@@ -139,13 +157,11 @@ def stage_graph(items: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_R
     spark = items.sparkSession
     share = max(1, bucket_rows // 8)
     counted = Observation()
-    degrees = (
-        items.groupBy(F.col("base_path").alias("src"))
-        .agg(F.sum(link_rows(F.col("links"))).alias("n"))
-        .observe(counted, F.sum("n").alias("links"))
-    )
+    # Taken above the shuffle, where a task that runs again counts once.
+    degrees = _items_by_path(items).observe(counted, F.sum("n").alias("links"), *_sums())
     large = store.save("hubs", degrees.filter(F.col("n") > share).select("src", "n"))
     total = counted.get["links"] or 0
+    mark = f"{counted.get['rows'] or 0}:{counted.get['hashes'] or 0}"
     hubs = store.save("hubs_in_use", _copies(large, max(share, total // MAX_HUBS), share))
     at_hand = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(at_hand, math.ceil(total / SMALL_BUCKET_ROWS)), math.ceil(total / bucket_rows))
@@ -156,7 +172,7 @@ def stage_graph(items: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_R
     )
     edges = store.bucketed("links", parts.repartition(buckets, "src_part"), "src_part", buckets)
     addresses = item_addresses(items).repartition(at_hand, "requested_path")
-    return LinkGraph(edges, store.bucketed("addresses", addresses, "requested_path", at_hand), hubs, buckets, at_hand)
+    return LinkGraph(edges, store.bucketed("addresses", addresses, "requested_path", at_hand), hubs, buckets, at_hand, mark)
 
 
 def open_graph(store: CrawlState, buckets: int, pages: int) -> LinkGraph:

@@ -33,8 +33,8 @@ def site(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _listing(spark: SparkSession, sf_dir: str) -> str:
     """A mark of the folder's files, their sizes and times; no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sf_dir)
-    mark = F.xxhash64("path", "modificationTime", "length")
-    row = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x")).first()
+    mark = F.xxhash64("path", "modificationTime", "length").cast("decimal(20,0)")
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("x")).first()
     return f"{row['n']}:{row['x']}"
 
 
