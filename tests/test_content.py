@@ -11,6 +11,7 @@ from wayloom.functions import content
 from wayloom.operators import links, pages
 from wayloom.schemas import CONTENT_ITEMS
 from wayloom.sources import items as source
+from wayloom.sources import testdata
 
 
 def value(spark, column):
@@ -181,13 +182,31 @@ def test_repeated_keys_and_refetches(spark):
     assert landed["/s"].base_path is None and (landed["/n"].title, landed["/n"].links) == ("5", None)
 
 
-def test_large_bodies_are_not_called_bad(spark):
-    body = F.concat(F.lit('{"x": "'), F.repeat(F.lit("y"), 140_000_000))
-    log = spark.range(1).select(
-        F.lit(1).alias("request_id"), F.lit("/a").alias("requested_path"), F.lit(200).alias("http_status"), body.alias("body"),
-        F.lit(None).cast("string").alias("transport_error"),
-    )
-    assert source.outcome_counts(log).first().outcome == "Response too large to parse"
+def test_large_bodies_are_read(spark, monkeypatch):
+    """What a variant can't hold is read as a map; NaN stands in for a size over the reader's limit."""
+    monkeypatch.setattr(source, "MAX_BODY_BYTES", 150)
+    body = '{"base_path": "/a", "title": 7, "x": NaN, "links": {"related": ["x", {"base_path": "/b"}], "odd": 1}, "body": "' + "y" * 200
+    log = build.fetches(spark, [
+        (i, "c", f"/a{i}", None, 200, text, None) for i, text in enumerate([body + '"}', body, '{"title": NaN', '{"title": NaN}'])
+    ])
+    outcomes = {r.request_id: r.outcome for r in source.classify_fetches(log).collect()}
+    bad_json = "Invalid JSON response from API"
+    assert outcomes == {0: "ok", 1: "Response too large to parse", 2: bad_json, 3: bad_json}
+    [row] = source.items_from_fetches(log).collect()
+    assert (row.requested_path, row.base_path, row.title, row.body) == ("/a0", "/a", "7", "y" * 200)
+    assert {kind: [link.base_path for link in links] for kind, links in row.links.items()} == {"related": ["/b"]}
+
+
+def test_bodies_are_parsed_once_and_never_sorted(spark, sf_dir):
+    log = testdata.site_fetches(spark, sf_dir)
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert plan(source.answers(log)).count("VariantExpressionEvalUtils.parseJson(body") == 1
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+    text = plan(source.items_from_fetches(log))
+    for line in text.splitlines():
+        if "Sort" in line or "Aggregate" in line:
+            assert "body" not in line and "title" not in line
+    assert "ShuffledHashJoin" in text and text.count("Exchange hashpartitioning(row") == 2
 
 
 @pytest.mark.parametrize("fmt", ["json", "parquet"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions.times import duration_text
 from wayloom.operators import crawl, pages, report, sections, trends
-from wayloom.session import fresh_dir
+from wayloom.session import stored
 from wayloom.sources.items import is_rate_limited
 from wayloom.sources.state import DEFAULT_INTERVAL
 
@@ -39,9 +39,9 @@ def scan(
     """
     if detail not in DETAILS:
         raise ValueError(f"detail must be one of {DETAILS}")
-    chosen = _stored(choose_sections(items, names), "sections")
+    chosen = stored(choose_sections(items, names), "sections")
     walked = crawl.crawl(items, chosen, max_depth=max_depth, owner=owner, state=state, snapshot_every=snapshot_every)
-    found = _stored(pages.build_pages(walked, items, max_depth), "pages")
+    found = stored(pages.build_pages(walked, items, max_depth), "pages")
     kept = pages.exclude_types(found, excluded)
     types = found.groupBy("content_type").agg(F.count(F.lit(1)).alias("n"))
     totals = _totals(found, fetch_log)
@@ -66,7 +66,7 @@ def scan(
 
 def sample(items: DataFrame, names: str | None = None) -> dict[str, DataFrame]:
     """A quick look at the chosen sections from their root items only, without a walk."""
-    chosen = _stored(choose_sections(items, names), "sections")
+    chosen = stored(choose_sections(items, names), "sections")
     return {"samples": sections.section_sample(chosen, items), "children": sections.section_children(chosen, items)}
 
 
@@ -74,12 +74,6 @@ def choose_sections(items: DataFrame, names: str | None = None) -> DataFrame:
     return sections.select_sections(sections.require_sections(sections.section_catalogue(items)), names)
 
 
-def _stored(rows: DataFrame, label: str) -> DataFrame:
-    path = fresh_dir(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _progress(found: DataFrame, totals: DataFrame, types: DataFrame) -> DataFrame:
     """metric, item, n: the counters at the end of the scan, and its pages by type and depth."""
     names = ("sections_analyzed", "total_links_found", "rate_limit_hits")
