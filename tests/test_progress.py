@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import build
 from wayloom.operators import progress
@@ -83,3 +84,19 @@ def test_stream_equals_batch(spark, sf_dir):
     assert build.rows(progress.metrics_from_cells(live.latest_cells(spark, target))) == build.rows(
         progress.metrics_from_cells(progress.live_cells(batch.unionByName(more))))
     more.unpersist()
+
+
+def test_different_sections_after_a_restart(spark):
+    """Late and repeated events of a section don't count it twice."""
+    def at(day, *names):
+        frame = events(spark, *({"section": name, "links_found": 1} for name in names))
+        return frame.withColumn("event_time", F.lit(datetime(2024, 1, day)).cast("timestamp"))
+
+    source, target = fresh_dir(spark, "events"), fresh_dir(spark, "progress")
+    for frame, covered in ((at(5, "a", "b", "a", None), 2), (at(1, "b", "c", "c"), 3), (at(9, "a"), 3)):
+        frame.write.mode("append").parquet(source)
+        live.start_progress(live.read_page_events(spark, source), target, heartbeat=None).awaitTermination()
+        cells = live.latest_cells(spark, target)
+        counted = {r.metric: r.n for r in progress.metrics_from_cells(cells).collect()}
+        assert counted["sections_covered"] == covered
+        assert progress.status_from_cells(cells).first().total_links_found == spark.read.parquet(source).count()

@@ -46,6 +46,45 @@ def test_scan(spark, tmp_path):
     assert len(written) == 5
 
 
+def test_published_as_one(spark, tmp_path):
+    """Every table of a run reads back; a run without its manifest row is not seen."""
+    path = str(tmp_path / "out")
+    assert exports.published(spark, path) == {}
+    tables = scan(site(spark), as_of=AS_OF, detail="detailed")
+    for fmt, names in (("json", exports.JSON_TABLES), ("analysis", exports.ANALYSIS_TABLES)):
+        exports.publish(tables, path, fmt)
+        back = exports.published(spark, path)
+        assert set(back) == set(names)
+        for name in names:
+            assert back[name].schema.simpleString() == tables[name].schema.simpleString()
+            assert build.rows(back[name]) == build.rows(tables[name])
+    fewer = scan(site(spark), as_of=AS_OF, names="Two")
+    exports.export(fewer, f"{path}/run-3-torn", "json")
+    assert exports.published(spark, path)["trends"].count() == 3
+    exports.publish(fewer, path, "json")
+    assert {r.path for r in exports.published(spark, path)["pages"].collect()} == {"/two", "/a", "/b"}
+    for fmt, name, rows in (("csv", "pages", 3), ("report", "lines", 17)):
+        exports.publish(fewer, path, fmt)
+        assert exports.published(spark, path)[name].count() >= min(rows, 3)
+
+
+def test_cells_stand_for_pages(spark):
+    from wayloom.operators import pages, report, trends
+
+    tables = scan(site(spark), as_of=AS_OF)
+    found, cells, chosen = tables["pages"], tables["cells"], tables["catalogue"]
+    for operator in (trends.content_type_distribution, trends.content_type_totals, trends.depth_distribution, trends.depth_metrics,
+                     trends.org_distribution, trends.org_totals, trends.top_content_types, trends.top_publishers, pages.section_rollup):
+        assert build.rows(operator(cells)) == build.rows(operator(found))
+    assert build.rows(trends.section_trends(cells, chosen, AS_OF)) == build.rows(trends.section_trends(found, chosen, AS_OF))
+    assert build.rows(report.section_report(cells, chosen, AS_OF)) == build.rows(report.section_report(found, chosen, AS_OF))
+    assert build.rows(pages.scan_metadata(cells, 5, AS_OF)) == build.rows(pages.scan_metadata(found, 5, AS_OF))
+    parts = trends.page_cells(found.filter("depth_level < 1")).unionByName(trends.page_cells(found.filter("depth_level >= 1")))
+    assert build.rows(trends.merge_cells(parts)) == build.rows(cells)
+    assert build.rows(trends.section_trends(trends.page_cells(found.limit(0)), chosen, AS_OF)) == build.rows(
+        trends.section_trends(found.limit(0), chosen, AS_OF))
+
+
 def test_scan_of_chosen_sections(spark):
     tables = scan(site(spark), as_of=AS_OF, names="Two", max_depth=1)
     assert {r.path for r in tables["pages"].collect()} == {"/two", "/a", "/b"} and "reports" not in tables

@@ -62,11 +62,14 @@ def exclude_types(pages: DataFrame, types: Sequence[str]) -> DataFrame:
 
 
 def section_rollup(pages: DataFrame) -> DataFrame:
-    """Page counts per section: all, active, placeholder (A5)."""
+    """Page counts per section: all, active, placeholder (A5). Of pages or of their cells."""
+    one = F.col("n_pages") if "n_pages" in pages.columns else F.lit(1)
+    counted = lambda wanted: F.sum(F.when(wanted, one).otherwise(0)).cast("bigint")
+    active = F.col("status") == "active"
     return pages.groupBy("section").agg(
-        F.count(F.lit(1)).alias("total_pages"),
-        F.count_if(F.col("status") == "active").alias("active_pages"),
-        F.count_if(F.col("status") != "active").alias("placeholder_pages"),
+        F.sum(one).cast("bigint").alias("total_pages"),
+        counted(active).alias("active_pages"),
+        counted(F.col("status") != "active").alias("placeholder_pages"),
     )
 
 
@@ -85,11 +88,12 @@ def page_links(pages: DataFrame, items: DataFrame, max_depth: int) -> DataFrame:
 
 
 def scan_metadata(pages: DataFrame, max_depth: int, as_of: str | Column) -> DataFrame:
-    """One row: when the scan was made, its pages, sections and depth limit."""
+    """One row: when the scan was made, its pages, sections and depth limit (A6). Of pages or of their cells."""
+    total = F.sum("n_pages") if "n_pages" in pages.columns else F.count(F.lit(1))
     return pages.agg(
         iso_text(instant(as_of)).alias("scanned_at"),
         F.lit(max_depth).alias("depth_limit"),
-        F.count(F.lit(1)).alias("total_pages"),
+        F.coalesce(total, F.lit(0)).cast("bigint").alias("total_pages"),
         F.count_distinct("section").alias("sections_covered"),
     )
 

@@ -21,9 +21,18 @@ def progress_cells(events: DataFrame) -> DataFrame:
 
 
 def live_cells(events: DataFrame) -> DataFrame:
-    """The cells with the ``latest`` event of each, which a stream has to carry along."""
+    """The cells, each with its ``latest`` event, and one row per section met so far.
+
+    A section's row has ``met`` and no type or depth. However often and late its events come,
+    it is one row, so the number of sections is exact.
+    """
+    kind = "STRUCT<content_type: STRING, depth: INT, met: STRING, counts: BOOLEAN>"
+    as_cell = F.struct("content_type", "depth", F.lit(None).cast("string"), F.lit(True)).cast(kind)
+    as_section = F.struct(F.lit(None).cast("string"), F.lit(None).cast("int"), "section", F.lit(False)).cast(kind)
+    facts = [c for c in events.columns if c not in ("content_type", "depth")]
+    both = events.select(*facts, F.inline(F.array(as_cell, as_section))).filter("counts OR met IS NOT NULL")
     latest = F.max(F.when(F.col("section").isNotNull(), F.struct("event_time", "event_id", "section")))
-    return events.groupBy("content_type", "depth").agg(*_counters(), latest.alias("latest"))
+    return both.groupBy("content_type", "depth", "met", "counts").agg(*_counters(), latest.alias("latest"))
 
 
 def _counters() -> list[Column]:
@@ -49,8 +58,14 @@ def _with_latest(cells: DataFrame, events: DataFrame) -> DataFrame:
     return cells.unionByName(newest, allowMissingColumns=True)
 
 
+def _counting(cells: DataFrame) -> DataFrame:
+    """Without the rows of live cells that name a section."""
+    return cells.filter("counts") if "counts" in cells.columns else cells
+
+
 def status_from_cells(cells: DataFrame) -> DataFrame:
     """The one status row: sections, links, rate-limit hits, current section, duration."""
+    cells = _counting(cells)
     elapsed = F.unix_micros("last_time") - F.unix_micros("first_time")
     return cells.agg(
         F.coalesce(F.sum("sections"), F.lit(0)).alias("sections_analyzed"),
@@ -67,11 +82,11 @@ def status_from_cells(cells: DataFrame) -> DataFrame:
 
 def counts_from_cells(cells: DataFrame, column: str) -> DataFrame:
     """Histogram of ``content_type`` or ``depth``: column, n. Unset values do not count."""
-    return cells.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("pages").alias("n"))
+    return _counting(cells).filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("pages").alias("n"))
 
 
 def metrics_from_cells(cells: DataFrame) -> DataFrame:
-    """All counters as metric, item, n rows."""
+    """All counters as metric, item, n rows; of live cells, the number of different sections, too."""
     status = status_from_cells(cells)
     names = ("sections_analyzed", "total_links_found", "rate_limit_hits")
     totals = status.select(
@@ -79,7 +94,11 @@ def metrics_from_cells(cells: DataFrame) -> DataFrame:
     )
     by_type = counts_from_cells(cells, "content_type").select(F.lit("content_type").alias("metric"), F.col("content_type").alias("item"), "n")
     by_depth = counts_from_cells(cells, "depth").select(F.lit("depth").alias("metric"), F.col("depth").cast("string").alias("item"), "n")
-    return totals.unionByName(by_type).unionByName(by_depth)
+    found = totals.unionByName(by_type).unionByName(by_depth)
+    if "met" not in cells.columns:
+        return found
+    covered = cells.filter("NOT counts").agg(F.count("met").alias("n"))
+    return found.unionByName(covered.select(F.lit("sections_covered").alias("metric"), F.lit("").alias("item"), "n"))
 
 
 def scan_progress(events: DataFrame) -> DataFrame:

@@ -3,6 +3,11 @@
 ``as_of`` is a column or literal text; no operator reads the clock.
 Each aggregate reads its own one or two columns, so several of them over one stored page
 table cost about one scan of it.
+
+Every operator takes a page table or its cells (``page_cells``): one row for all pages that
+are alike in section, type, depth, status and owner, with their number and the figures of
+their dates. Cells of parts of a page table add up (``merge_cells``), and whatever is asked of
+them later reads no page again.
 """
 
 from __future__ import annotations
@@ -19,19 +24,64 @@ TOP_TYPES = 3
 TOP_PUBLISHERS = 5
 
 
+CELL = ("section", "content_type", "depth_level", "status", "publishing_org")
+
+
+def page_cells(pages: DataFrame) -> DataFrame:
+    """The cells of a page table: ``CELL``, n_pages, total_updates, oldest, newest, update_micros.
+
+    The sum of the dates is a DECIMAL, which is exact.
+    """
+    updated = parse_iso(F.col("last_updated"))
+    dated = pages.select(*CELL, updated.alias("updated"))
+    return dated.groupBy(*CELL).agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.count("updated").alias("total_updates"),
+        F.min("updated").alias("oldest"),
+        F.max("updated").alias("newest"),
+        F.sum(F.unix_micros("updated").cast("decimal(20,0)")).alias("update_micros"),
+    )
+
+
+def merge_cells(cells: DataFrame) -> DataFrame:
+    """Cells of several parts of a page table as those of the whole."""
+    sums = [F.sum(name).alias(name) for name in ("n_pages", "total_updates")]
+    dates = [F.min("oldest").alias("oldest"), F.max("newest").alias("newest")]
+    micros = F.sum("update_micros").cast("decimal(30,0)").alias("update_micros")
+    return cells.groupBy(*CELL).agg(*sums, *dates, micros)
+
+
+def _is_cells(pages: DataFrame) -> bool:
+    return "n_pages" in pages.columns
+
+
+def number(pages: DataFrame) -> Column:
+    """Sum of the pages in the rows of a group."""
+    return F.sum("n_pages") if _is_cells(pages) else F.count(F.lit(1))
+
+
 def update_patterns(pages: DataFrame, as_of: str | Column) -> DataFrame:
     """Oldest and newest update, how many, and the age in full days of the mean one (A1, K4).
 
     Ages add up as DECIMAL: a double sum of microseconds is inexact from 2^53 on.
     """
     now = instant(as_of)
-    dated = pages.select("section", parse_iso(F.col("last_updated")).alias("updated"))
-    sums = dated.groupBy("section").agg(
-        F.min("updated").alias("oldest"),
-        F.max("updated").alias("newest"),
-        F.count("updated").alias("total_updates"),
-        F.sum(age_micros(now, F.col("updated")).cast("decimal(20,0)")).alias("ages"),
-    )
+    if _is_cells(pages):
+        of_now = F.sum("total_updates").cast("decimal(20,0)") * F.unix_micros(now).cast("decimal(17,0)")
+        sums = pages.groupBy("section").agg(
+            F.min("oldest").alias("oldest"),
+            F.max("newest").alias("newest"),
+            F.sum("total_updates").alias("total_updates"),
+            (of_now - F.sum("update_micros").cast("decimal(37,0)")).cast("decimal(30,0)").alias("ages"),
+        )
+    else:
+        dated = pages.select("section", parse_iso(F.col("last_updated")).alias("updated"))
+        sums = dated.groupBy("section").agg(
+            F.min("updated").alias("oldest"),
+            F.max("updated").alias("newest"),
+            F.count("updated").alias("total_updates"),
+            F.sum(age_micros(now, F.col("updated")).cast("decimal(20,0)")).alias("ages"),
+        )
     whole = floor_div(F.col("ages"), F.col("total_updates").cast("decimal(20,0)") * DAY_MICROS)
     return sums.select(
         "section",
@@ -47,7 +97,7 @@ def update_patterns(pages: DataFrame, as_of: str | Column) -> DataFrame:
 def content_type_distribution(pages: DataFrame) -> DataFrame:
     """section, content_type, n (A2)."""
     kind = F.coalesce("content_type", F.lit("unknown")).alias("content_type")
-    return pages.groupBy("section", kind).agg(F.count(F.lit(1)).alias("n"))
+    return pages.groupBy("section", kind).agg(number(pages).alias("n"))
 
 
 def content_type_totals(pages: DataFrame) -> DataFrame:
@@ -58,22 +108,23 @@ def content_type_totals(pages: DataFrame) -> DataFrame:
 def depth_distribution(pages: DataFrame) -> DataFrame:
     """section, depth_level, n (A3)."""
     depth = F.coalesce("depth_level", F.lit(0)).alias("depth_level")
-    return pages.groupBy("section", depth).agg(F.count(F.lit(1)).alias("n"))
+    return pages.groupBy("section", depth).agg(number(pages).alias("n"))
 
 
 def depth_metrics(pages: DataFrame) -> DataFrame:
     """section, max_depth, average_depth (A3)."""
     depth = F.coalesce("depth_level", F.lit(0))
+    total = F.sum(depth * F.col("n_pages")) if _is_cells(pages) else F.sum(depth)
     return pages.groupBy("section").agg(
         F.greatest(F.lit(0), F.max(depth)).alias("max_depth"),
-        (F.sum(depth) / F.count(F.lit(1))).alias("average_depth"),
+        (total / number(pages)).alias("average_depth"),
     )
 
 
 def org_distribution(pages: DataFrame) -> DataFrame:
     """section, publishing_org, n; pages without an owner are left out."""
     owned = pages.filter(F.coalesce("publishing_org", F.lit("")) != "")
-    return owned.groupBy("section", "publishing_org").agg(F.count(F.lit(1)).alias("n"))
+    return owned.groupBy("section", "publishing_org").agg(number(pages).alias("n"))
 
 
 def org_totals(pages: DataFrame) -> DataFrame:

@@ -301,6 +301,12 @@ UNION ALL SELECT 'content_type', content_type, count(*) FROM page_events GROUP B
 UNION ALL SELECT 'depth', CAST(depth AS VARCHAR), count(*) FROM page_events GROUP BY depth"""
 
 
+LANDED = f"""SELECT '/doc/' || event_id AS requested_path,
+    CASE WHEN outcome = 'ok' THEN json_extract_string(props, '$.base_path') END AS base_path,
+    CASE WHEN outcome = 'not_found' THEN outcome END AS error
+  FROM (SELECT *, {OUTCOME} AS outcome FROM events) WHERE outcome IN ('ok', 'not_found')"""
+
+
 def all_oracles() -> dict[str, str]:
     site = f"{_graph()}, {SITE}"
     event_site = f"WITH {EVENT_SITE}, {EVENT_SECTIONS}"
@@ -373,10 +379,8 @@ def all_oracles() -> dict[str, str]:
         "frontier_batches": f"""{site} SELECT *,
           (row_number() OVER (PARTITION BY section ORDER BY priority, path, depth) - 1) // 10 AS batch FROM ({QUEUE})""",
         "classify_fetches": f"SELECT {OUTCOME} AS outcome, count(*) AS n FROM events GROUP BY ALL",
-        "landed_items": f"""SELECT '/doc/' || event_id AS requested_path,
-            CASE WHEN outcome = 'ok' THEN json_extract_string(props, '$.base_path') END AS base_path,
-            CASE WHEN outcome = 'not_found' THEN outcome END AS error
-          FROM (SELECT *, {OUTCOME} AS outcome FROM events) WHERE outcome IN ('ok', 'not_found')""",
+        "landed_items": LANDED,
+        "landed_stream": LANDED,
         "rate_audit": _audit(1_000_000, 10),
         "rate_audit_hourly": _audit(3_600_000_000, 2),
         "scan_progress": f"""{progress} SELECT sections_analyzed, total_links_found, rate_limit_hits, current_section,
@@ -389,10 +393,27 @@ def all_oracles() -> dict[str, str]:
           FROM events GROUP BY user_id)""",
         "report_lines": f"{progress} {_report('page_events')}",
         "site_report_lines": f"{site}, {SITE_PROGRESS} {_report('site')}",
-        "progress_stream": f"{progress} {METRICS}",
+        "progress_stream": f"""{progress} {METRICS}
+          UNION ALL SELECT 'sections_covered', '', count(DISTINCT section) FROM page_events""",
+        "heartbeat_events": f"""WITH RECURSIVE moments AS (SELECT ts, min(event_id) AS event_id FROM events WHERE ts IS NOT NULL GROUP BY ts),
+          pointers AS (SELECT ts, event_id, min(ts) OVER (ORDER BY ts RANGE BETWEEN INTERVAL '60.000001 seconds' FOLLOWING
+            AND UNBOUNDED FOLLOWING) AS next FROM moments),
+          beats(beat, ts, event_id, next) AS (
+            SELECT CAST(0 AS BIGINT), ts, event_id, next FROM pointers WHERE ts = (SELECT min(ts) FROM moments)
+            UNION ALL SELECT b.beat + 1, p.ts, p.event_id, p.next FROM beats b JOIN pointers p ON p.ts = b.next)
+          SELECT beat, event_id, {DURATION} AS elapsed FROM (
+            SELECT *, epoch_us(ts) - epoch_us((SELECT min(ts) FROM moments)) AS us FROM beats WHERE beat > 0)""",
+        "published_tables": f"""{site} SELECT 'metadata' AS name, CAST(1 AS BIGINT) AS n
+          UNION ALL SELECT 'sections', count(DISTINCT section) FROM site
+          UNION ALL SELECT 'section_depths', count(DISTINCT (section, depth_level)) FROM site
+          UNION ALL SELECT 'progress', 3 + count(DISTINCT content_type) + count(DISTINCT depth_level) FROM site
+          UNION ALL SELECT 'pages', count(*) FROM site
+          UNION ALL SELECT 'page_links', CAST(sum(related_links_count) AS BIGINT) FROM site""",
     }
     for name, (ctes, final) in _over_site().items():
         extra = f", {ctes}" if ctes else ""
         oracles[name] = f"{site}{extra} {final}"
         oracles[f"{name}_events"] = f"{event_site}{extra} {final}"
+    oracles["section_report_from_cells"] = oracles["section_report"]
+    oracles["section_trends_from_cells_events"] = oracles["section_trends_events"]
     return oracles

@@ -6,13 +6,14 @@ Every query runs over the whole tables of the folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import content, scoring, times
 from wayloom.operators import crawl as walk
-from wayloom.operators import frontier, links, pages, progress, rates, reach, report, sections, trends
+from wayloom.operators import frontier, heartbeats, links, pages, progress, rates, reach, report, sections, trends
 from wayloom.operators import priority_walk as by_priority
 from wayloom.plans import inputs
 from wayloom.plans.inputs import AS_OF, MAX_DEPTH
@@ -20,6 +21,7 @@ from wayloom.plans.scan import choose_sections, sample
 from wayloom.session import fresh_dir
 from wayloom.sources import exports, items, testdata
 from wayloom.sources.state import CrawlState
+from wayloom.streaming import landing
 from wayloom.streaming import progress as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +162,14 @@ def export_json(spark, sf_dir):
     return spark.read.schema(stored.schema).json(f"{path}/pages")
 
 
+def published_tables(spark, sf_dir):
+    """How many rows each JSON table of the last published run has, read through its manifest."""
+    path = fresh_dir(spark, "published")
+    exports.publish(inputs.site(spark, sf_dir), path, "json")
+    found = [rows.select(F.lit(name).alias("name")) for name, rows in exports.published(spark, path).items()]
+    return reduce(DataFrame.unionAll, found).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def export_csv(spark, sf_dir):
     """The flat pages as the CSV sink writes them, read again."""
     stored, path = pages.export_columns(inputs.pages(spark, sf_dir)), fresh_dir(spark, "csv")
@@ -244,6 +254,19 @@ def _update_patterns(page_table):
     return trends.update_patterns(page_table, AS_OF)
 
 
+def section_report_from_cells(spark, sf_dir):
+    """The section reports again, from the stored cells of the scan alone."""
+    return report.section_report(inputs.site(spark, sf_dir)["cells"], inputs.sections(spark, sf_dir), AS_OF)
+
+
+def section_trends_from_cells_events(spark, sf_dir):
+    """Trends from the merged cells of two halves of the events, as two levels of a scan leave them."""
+    found = testdata.event_pages(spark, sf_dir)
+    odd = F.pmod(F.xxhash64("path"), F.lit(2)) == 1
+    halves = trends.page_cells(found.filter(odd)).unionByName(trends.page_cells(found.filter(~odd)))
+    return trends.section_trends(trends.merge_cells(halves), inputs.event_sections(spark, sf_dir), AS_OF)
+
+
 # Fetch log and progress
 
 def classify_fetches(spark, sf_dir):
@@ -254,6 +277,14 @@ def landed_items(spark, sf_dir):
     return items.items_from_fetches(testdata.fetch_log(spark, sf_dir)).select("requested_path", "base_path", "error")
 
 
+def landed_stream(spark, sf_dir):
+    """The items that a stream over the log's files has landed, in four batches."""
+    source, target = fresh_dir(spark, "log"), fresh_dir(spark, "landing")
+    testdata.fetch_log(spark, sf_dir).repartition(4, "request_id").write.parquet(source)
+    landing.start_landing(landing.read_fetches(spark, source, 1), target, merge_every=2).awaitTermination()
+    return landing.landed_items(spark, target).select("requested_path", "base_path", "error")
+
+
 def crawl_from_fetches(spark, sf_dir):
     """The walk over what a log of API answers holds."""
     path = fresh_dir(spark, "landed")
@@ -297,6 +328,11 @@ def scan_duration(spark, sf_dir):
     )
 
 
+def heartbeat_events(spark, sf_dir):
+    """The heartbeats of a scan whose progress reports are the events."""
+    return heartbeats.heartbeats(testdata.page_events(spark, sf_dir)).select("beat", "event_id", "elapsed")
+
+
 def report_lines(spark, sf_dir):
     events = testdata.page_events(spark, sf_dir)
     return report.report_lines(progress.scan_progress(events), progress.progress_by_type(events), AS_OF)
@@ -322,12 +358,12 @@ def all_queries() -> dict[str, Query]:
         section_catalogue, select_sections, section_priority, section_sample, section_children,
         crawl_pages, crawl_nearest, section_reach, crawl_resumed, crawl_snapshots,
         page_table, section_rollup, scan_metadata, exclude_types, export_pages_flat,
-        page_links, scan_progress_site, export_json, export_csv,
+        page_links, scan_progress_site, export_json, published_tables, export_csv,
         url_priority, url_priority_events, frontier_new, priority_walk,
         next_batch, next_batch_events, frontier_batches, frontier_batches_events,
-        classify_fetches, landed_items, crawl_from_fetches, parsed_dates, rate_audit, rate_audit_hourly,
-        scan_progress, progress_by_type, progress_by_depth, scan_duration, report_lines,
-        site_report_lines, progress_stream,
+        classify_fetches, landed_items, landed_stream, crawl_from_fetches, parsed_dates, rate_audit, rate_audit_hourly,
+        scan_progress, progress_by_type, progress_by_depth, scan_duration, heartbeat_events, report_lines,
+        site_report_lines, progress_stream, section_report_from_cells, section_trends_from_cells_events,
     ]
     registry: dict[str, Query] = {query.__name__: query for query in named}
     for name, operator in {

@@ -31,7 +31,8 @@ def scan(
 ) -> dict[str, DataFrame]:
     """Tables of one scan, by name, ready for ``exports.export``.
 
-    The catalogue and the page table are stored once; all other tables read those. Types
+    The catalogue, the page table and its cells are stored once. All that counts pages reads the
+    cells, so the page table is scanned once, however many analyses follow. Types
     are excluded after the walk, so links of excluded pages are still followed, and what
     counts the scan (metadata, sections and their depths, progress, text report) still counts
     them; the pages, their links, the trends with their histograms and the section reports
@@ -42,25 +43,27 @@ def scan(
     chosen = stored(choose_sections(items, names), "sections")
     walked = crawl.crawl(items, chosen, max_depth=max_depth, owner=owner, state=state, snapshot_every=snapshot_every)
     found = stored(pages.build_pages(walked, items, max_depth), "pages")
-    kept = pages.exclude_types(found, excluded)
-    types = found.groupBy("content_type").agg(F.count(F.lit(1)).alias("n"))
-    totals = _totals(found, fetch_log)
+    cells = stored(trends.page_cells(found), "cells")
+    kept, kept_cells = pages.exclude_types(found, excluded), pages.exclude_types(cells, excluded)
+    types = cells.groupBy("content_type").agg(F.sum("n_pages").alias("n"))
+    totals = _totals(cells, fetch_log)
     tables = {
         "catalogue": chosen,
-        "metadata": pages.scan_metadata(found, max_depth, as_of),
-        "sections": pages.section_rollup(found),
-        "section_depths": trends.depth_distribution(found),
-        "progress": _progress(found, totals, types),
+        "cells": cells,
+        "metadata": pages.scan_metadata(cells, max_depth, as_of),
+        "sections": pages.section_rollup(cells),
+        "section_depths": trends.depth_distribution(cells),
+        "progress": _progress(cells, totals, types),
         "lines": report.report_lines(totals, types, as_of),
         "pages": kept,
         "page_links": pages.page_links(kept, items, max_depth),
-        "trends": trends.section_trends(kept, chosen, as_of),
-        "type_distribution": trends.content_type_distribution(kept),
-        "depth_distribution": trends.depth_distribution(kept),
-        "org_distribution": trends.org_distribution(kept),
+        "trends": trends.section_trends(kept_cells, chosen, as_of),
+        "type_distribution": trends.content_type_distribution(kept_cells),
+        "depth_distribution": trends.depth_distribution(kept_cells),
+        "org_distribution": trends.org_distribution(kept_cells),
     }
     if detail == "detailed":
-        tables["reports"] = report.section_report_documents(kept, chosen, as_of)
+        tables["reports"] = report.section_report_documents(kept_cells, chosen, as_of)
     return tables
 
 
@@ -74,22 +77,23 @@ def choose_sections(items: DataFrame, names: str | None = None) -> DataFrame:
     return sections.select_sections(sections.require_sections(sections.section_catalogue(items)), names)
 
 
-def _progress(found: DataFrame, totals: DataFrame, types: DataFrame) -> DataFrame:
+def _progress(cells: DataFrame, totals: DataFrame, types: DataFrame) -> DataFrame:
     """metric, item, n: the counters at the end of the scan, and its pages by type and depth."""
     names = ("sections_analyzed", "total_links_found", "rate_limit_hits")
     counters = totals.select(F.inline(F.array(*(
         F.struct(F.lit(name).alias("metric"), F.lit("").alias("item"), F.col(name).cast("bigint").alias("n")) for name in names
     ))))
     by_type = types.filter("content_type IS NOT NULL").select(F.lit("content_type").alias("metric"), F.col("content_type").alias("item"), "n")
-    depths = found.groupBy("depth_level").agg(F.count(F.lit(1)).alias("n"))
+    depths = cells.groupBy("depth_level").agg(F.sum("n_pages").alias("n"))
     by_depth = depths.select(F.lit("depth").alias("metric"), F.col("depth_level").cast("string").alias("item"), "n")
     return counters.unionByName(by_type).unionByName(by_depth)
 
 
-def _totals(found: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
+def _totals(cells: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
     """The summary row of the report; refusals and duration need the fetch log."""
-    totals = found.agg(
-        F.count_distinct("section").alias("sections_analyzed"), F.count(F.lit(1)).alias("total_links_found")
+    totals = cells.agg(
+        F.count_distinct("section").alias("sections_analyzed"),
+        F.coalesce(F.sum("n_pages"), F.lit(0)).alias("total_links_found"),
     )
     if fetch_log is None:
         nothing = F.lit(None).cast("string")

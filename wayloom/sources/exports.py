@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayloom.operators.pages import export_columns
 
 FORMATS = ("json", "csv", "report", "analysis")
+JSON_TABLES = ("metadata", "sections", "section_depths", "progress", "pages", "page_links")
+ANALYSIS_TABLES = ("trends", "type_distribution", "depth_distribution", "org_distribution", "reports")
+MANIFEST = "number BIGINT, folder STRING, format STRING, tables ARRAY<STRUCT<name: STRING, columns: STRING>>"
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -48,14 +54,55 @@ def export(tables: dict[str, DataFrame], path: str, fmt: str) -> None:
               as one folder each
     """
     if fmt == "json":
-        for name in ("metadata", "sections", "section_depths", "progress", "pages", "page_links"):
+        for name in JSON_TABLES:
             write_json(tables[name], f"{path}/{name}")
     elif fmt == "csv":
         write_csv(tables["pages"], path)
     elif fmt == "report":
         write_report(tables["lines"], path)
     elif fmt == "analysis":
-        for name in ("trends", "type_distribution", "depth_distribution", "org_distribution", "reports"):
+        for name in ANALYSIS_TABLES:
             write_json(tables[name], f"{path}/{name}")
     else:
         raise ValueError(f"format must be one of {FORMATS}")
+
+
+def publish(tables: dict[str, DataFrame], path: str, fmt: str) -> str:
+    """Export into a new run folder below ``path`` and then make it the one that readers open.
+
+    The manifest row is written last, so a reader sees all tables of one run: the one before
+    until that row is there. One run is published to ``path`` at a time. Returns the folder.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    last = _last_run(spark, path)
+    number = last["number"] + 1 if last else 1
+    folder = f"run-{number}-{uuid.uuid4().hex}"
+    export(tables, f"{path}/{folder}", fmt)
+    names = {"json": JSON_TABLES, "analysis": ANALYSIS_TABLES}.get(fmt, ())
+    columns = [(name, tables[name].schema.toDDL()) for name in names]
+    row = spark.createDataFrame([(number, folder, fmt, columns)], MANIFEST)
+    row.drop("number").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/number={number}")
+    return f"{path}/{folder}"
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the last run published to ``path``, by name: those of json and analysis,
+    ``pages`` as text columns of a csv, ``lines`` of a report. Nothing published gives none."""
+    last = _last_run(spark, path)
+    if not last:
+        return {}
+    folder = f"{path}/{last['folder']}"
+    if last["format"] == "csv":
+        return {"pages": spark.read.option("header", True).option("emptyValue", "").csv(folder)}
+    if last["format"] == "report":
+        return {"lines": spark.read.text(folder)}
+    return {table["name"]: spark.read.schema(table["columns"]).json(f"{folder}/{table['name']}") for table in last["tables"]}
+
+
+def _last_run(spark: SparkSession, path: str):
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("number")).first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
