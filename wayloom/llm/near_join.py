@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wayloom.llm.components import components
 from wayloom.llm.shingles import WordHashes, mixed, shingle_set
-from wayloom.llm.tables import long_texts, table, written
+from wayloom.llm.tables import give_back, long_texts, table, written
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 48, 6, 0.999999
@@ -146,6 +146,7 @@ def signed_rows(documents: DataFrame, *, key: str, text: str, shingle_words: int
                     [part.column(0), part.column(2), part.column(3), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["id", "t1", "t2", "node", "keys"],
                 )
+        give_back()
 
     return long_texts(source).mapInArrow(run, schema)
 
@@ -167,6 +168,7 @@ def _verified(members: DataFrame, shingle_words: int, threshold: float) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     part.columns[:4] + [pa.array(sets, pa.binary())], names=["grp", "node", "copies", "blocks", "shingles"]
                 )
+        give_back()
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -214,6 +216,8 @@ def _verified(members: DataFrame, shingle_words: int, threshold: float) -> DataF
         if current:
             done(rows, current)
         yield flush()
+        rows.clear()
+        give_back()
 
     return work.mapInArrow(compare, "node binary, links long, root binary")
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +44,19 @@ def long_texts(frame: DataFrame) -> DataFrame:
     if not 0 < int(spark.conf.get(name)) <= MAX_ROWS:
         spark.conf.set(name, str(MAX_ROWS))
     return frame
+
+
+@cache
+def _trim():
+    """What gives free memory of the C library back to the system, where there is such a call."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda kept: 0
+
+
+def give_back() -> None:
+    """Free memory goes back to the system at the end of a task; the worker process lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.tables import long_texts, table
+from wayloom.llm.tables import give_back, long_texts, table
 
 LIMIT = 4096
 BATCH_BYTES = 8 << 20
@@ -168,7 +168,7 @@ def token_counts(
             sizes = pc.binary_length(pc.fill_null(texts, "")).cast(pa.int64())
             found = pa.array(batch_counts(model, texts, batch_bytes))
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, found], names=["key", "n_bytes", "n_tokens"])
-        pa.default_memory_pool().release_unused()  # the worker process lives on
+        give_back()
 
     counted = long_texts(source).mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, n_bytes long, n_tokens long")
     results = {"n_bytes": F.col("n_bytes"), "n_tokens": F.col("n_tokens"), "over_limit": F.col("n_tokens") > limit}

@@ -48,6 +48,12 @@ def of_process(path: str) -> WordTokenizer:
     return _OF_PROCESS[path]
 
 
+def forget(path: str) -> None:
+    """Drop the words that this worker process has seen; the tokenizer stays."""
+    known = of_process(path)
+    known.chunks, known.before, known.pieces = {}, {}, {}
+
+
 class WordTokenizer:
     """Ids as little-endian 32-bit bytes. No id spans a space or a line end, so the ids of a
     text are those of its chunks one after the other, and a chunk seen before costs a look-up.
