@@ -1,12 +1,13 @@
 import itertools
 import re
+import time
 from html import unescape
 
 import numpy as np
 import pytest
 
 from wayloom.llm.html_extraction import Model, PageMaker, extract, fit, main_texts, marginals, op5_html_extraction, train
-from wayloom.llm.html_tree import FEATURES, Forest, Tree, parse
+from wayloom.llm.html_tree import FEATURES, MAX_DEPTH, Forest, Tree, parse
 from wayloom.llm.tables import table
 
 
@@ -117,3 +118,16 @@ def test_odd_rows(spark, model):
     assert rows[-1].text == rows[-2].text != ""
     assert extract(pages.limit(0), model).count() == 0
     assert train(pages.limit(0), made_pages=20).weights.any()
+
+
+@pytest.mark.parametrize("page", [
+    "<x>" * 200_000 + "deep", "</x>" * 200_000 + "text", "<x></y>" * 100_000, "<p><x>" * 100_000, "<head><body>" * 50_000,
+    "<div>" * 100_000 + "text" + "</div>" * 100_000, "<li><ul>" * 80_000,
+])
+def test_broken_nesting_takes_linear_time(page):
+    start = time.monotonic()
+    tree = parse(page)
+    assert max(tree.depths) <= MAX_DEPTH + 1 and sum(map(len, tree.texts.values())) == len(re.sub("<[^>]*>", "", page))
+    chance, _ = marginals(fit([]), Forest([tree]))
+    assert len(chance) == len(tree.parents)
+    assert time.monotonic() - start < 20

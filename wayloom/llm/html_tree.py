@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -51,6 +53,8 @@ E_LINK, E_SHARE, E_LENGTH = E_HINT + _H, E_HINT + _H + 3, E_HINT + _H + 7
 L_BIAS = E_LENGTH + 5
 L_TAG, L_LENGTH, L_LINK, L_END, L_SIGN, L_PLACE = L_BIAS + 1, L_BIAS + 1 + _T, L_BIAS + 6 + _T, L_BIAS + 9 + _T, L_BIAS + 10 + _T, L_BIAS + 11 + _T
 FEATURES = L_PLACE + 3
+# Elements nested deeper are siblings at this depth, as browsers lay them out.
+MAX_DEPTH = 512
 
 
 class Tree:
@@ -63,6 +67,8 @@ class Tree:
         self.labels = [0]
 
     def add(self, parent: int, tag: str, names: str, label: int) -> int:
+        if self.depths[parent] >= MAX_DEPTH:
+            parent = self.parents[parent]
         self.parents.append(parent)
         self.depths.append(self.depths[parent] + 1)
         self.tags.append(tag)
@@ -71,11 +77,15 @@ class Tree:
         return len(self.parents) - 1
 
 
-def _end_of_raw(page: str, tag: str, start: int) -> int:
-    """Where the element's content ends; scripts end at their first end tag whatever is in them."""
-    found = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, start)
+def _end_of_raw(page: str, tag: str, start: int, endless: set[str]) -> int:
+    """Where the element's content ends; scripts end at their first end tag whatever is in them.
+
+    A tag without one from here on goes to ``endless`` and is not looked for again.
+    """
+    found = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, start)
     if found:
         return found.start()
+    endless.add(tag)
     if tag == "head":
         body = re.compile(r"<body\b", re.I).search(page, start)
         return body.start() if body else len(page)
@@ -87,6 +97,8 @@ def parse(page: str) -> Tree:
     choices) are left out, inline elements belong to the block around them."""
     tree = Tree()
     stack: list[tuple[str, int]] = [("html", 0)]
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements above the first, by tag
+    endless: set[str] = set()  # raw elements of which no end tag follows
     run: list[str] = []
     linked, in_link = 0, 0
 
@@ -111,8 +123,14 @@ def parse(page: str) -> Tree:
 
     def pop_to(depth: int) -> None:
         flush()
+        for closed, _ in stack[depth:]:
+            places[closed].pop()
         del stack[depth:]
 
+    def nearest(tags: Iterable[str]) -> int:
+        """Depth of the innermost open element of these tags, 0 if there is none."""
+        return max((places[name][-1] for name in tags if places.get(name)), default=0)
+
     at = 0
     size = len(page)
     while at < size:
@@ -133,10 +151,8 @@ def parse(page: str) -> Tree:
                 in_link = max(0, in_link - 1)
             if tag in INLINE:
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
+            if places.get(tag):
+                pop_to(places[tag][-1])
             continue
         if tag == "br":
             run.append(" ")
@@ -149,7 +165,7 @@ def parse(page: str) -> Tree:
         if attributes.endswith("/") and tag in ("svg", "iframe", "object"):
             continue
         if tag in RAW:
-            at = _end_of_raw(page, tag, at)
+            at = _end_of_raw(page, tag, at, endless)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -157,15 +173,11 @@ def parse(page: str) -> Tree:
             continue
         flush()
         in_link = 0
-        if tag in ("html", "body") and any(open_tag == tag for open_tag, _ in stack[1:]) or tag == "html":
+        if tag == "html" or tag == "body" and places.get(tag):
             continue
-        for depth in range(len(stack) - 1, 0, -1):
-            open_tag = stack[depth][0]
-            if open_tag == "p" or open_tag in CLOSES.get(tag, ()):
-                pop_to(depth)
-                break
-            if open_tag in SCOPES:
-                break
+        closed = nearest(("p", *CLOSES.get(tag, ())))
+        if closed and closed >= nearest(SCOPES):
+            pop_to(closed)
         names, label = "", tree.labels[stack[-1][1]]
         if attributes and "=" in attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
@@ -176,6 +188,7 @@ def parse(page: str) -> Tree:
                     label = 0
                 else:
                     names += " " + value
+        places[tag].append(len(stack))
         stack.append((tag, tree.add(stack[-1][1], tag, names, label)))
     flush()
     return tree
