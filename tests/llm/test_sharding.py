@@ -82,3 +82,17 @@ def test_odd_rows(spark):
     with pytest.raises(ValueError):
         bounds(5, 2, 0.5)
     assert set(ring(spark, 3, 8, 64)) == {-1, 0, 1, 2}
+
+
+def test_one_key_with_most_rows_is_cut(spark):
+    """Every slot once, shares alike, and no task numbers a whole hot cell."""
+    rows = [(None if i % 3 else i, i) for i in range(900)] + [(5, 0)] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, n long")
+    found = shard_rows(frame, order=("n",), shards=7, cell_rows=50)
+    assert found.columns == ["doc_id", "n", "shard", "slot"]
+    got = found.collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n) for r in got) == sorted((a is None, a, b) for a, b in rows)
+    slots = {shard: sorted(r.slot for r in got if r.shard == shard) for shard in range(7)}
+    assert all(s == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert "hashpartitioning(__cell#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "__part#" in plan

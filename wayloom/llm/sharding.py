@@ -7,7 +7,8 @@ shard has room. With a load factor of 1 the bounds add up to the number of rows,
 fill and their counts are at most one apart; a larger factor moves fewer rows when shards change.
 
 Only the counts per cell (a fixed number of cells) reach the driver, which walks the ring over
-them; the rows are numbered inside their cells, which no shard, source or text can make large.
+them; the rows are numbered inside their cells. A cell is large only if very many rows have one
+key; such a cell is cut by a hash of the columns that order it, and numbered part by part.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.llm.tables import table
 
 CELLS = 1 << 16
 VIRTUAL_NODES = 256
+CELL_ROWS, MAX_CUTS = 100_000, 100_000
 
 
 def ring(spark, shards: int, virtual_nodes: int, cells: int) -> np.ndarray:
@@ -84,6 +86,25 @@ def walk(counts: np.ndarray, owners: np.ndarray, capacity: np.ndarray) -> list[t
     return parts
 
 
+def _numbered(placed: DataFrame, counts: np.ndarray, order: list[Column], cell_rows: int) -> DataFrame:
+    """The rows with ``__n``, their number in their cell from 0; large cells part by part."""
+    least = max(cell_rows, int(counts.sum()) // MAX_CUTS)
+    cuts = [(int(cell), -(-int(counts[cell]) // least)) for cell in np.flatnonzero(counts > least)]
+    if not cuts:
+        return placed.withColumn("__n", F.row_number().over(Window.partitionBy("__cell").orderBy(*order)).cast("long") - 1)
+    # At most MAX_CUTS parts of large cells and as many such cells.
+    large = placed.sparkSession.createDataFrame(cuts, "__of long, __cuts int")
+    part = F.coalesce(F.pmod(F.xxhash64(*order), F.col("__cuts")), F.lit(0))
+    parted = placed.join(F.broadcast(large), F.col("__cell") == F.col("__of"), "left").withColumn("__part", part).drop("__of")
+    earlier = Window.partitionBy("__cell").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parted.filter("__cuts IS NOT NULL").groupBy("__cell", "__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = sizes.select(F.col("__cell").alias("__of"), F.col("__part").alias("__p"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__cell", "__part").orderBy(*order)
+    found = parted.withColumn("__n", F.row_number().over(inside).cast("long") - 1)
+    found = found.join(F.broadcast(before), (F.col("__cell") == F.col("__of")) & (F.col("__part") == F.col("__p")), "left")
+    return found.withColumn("__n", F.col("__n") + F.coalesce("__before", F.lit(0))).drop("__of", "__p", "__before", "__part", "__cuts")
+
+
 def shard_rows(
     rows: DataFrame,
     *,
@@ -93,11 +114,13 @@ def shard_rows(
     virtual_nodes: int = VIRTUAL_NODES,
     load_factor: float = 1.0,
     cells: int = CELLS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """All columns, and ``shard`` and ``slot``, the row's number in its shard, gapless from 0.
 
     Rows of one cell are ordered by its hash, ``key`` and ``order``; rows that agree in all of
-    them may change places. Null keys are one key. Columns named shard or slot give way. An
+    them may change places. In cells of more than ``cell_rows`` rows a hash of ``order`` goes
+    before these. Null keys are one key. Columns named shard or slot give way. An
     empty table gives no rows.
     """
     spark = rows.sparkSession
@@ -116,8 +139,7 @@ def shard_rows(
         filled[shard] += last - first
     # At most two parts a cell and one more a shard.
     plan = spark.createDataFrame(listed, "__cell long, __first long, __last long, shard int, __base long")
-    inside = Window.partitionBy("__cell").orderBy(hashed, F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in order])
-    numbered = placed.withColumn("__n", F.row_number().over(inside).cast("long") - 1)
+    numbered = _numbered(placed, counts, [hashed, *[F.col(f"`{c}`") for c in (key, *order)]], cell_rows)
     return (
         numbered.join(F.broadcast(plan), (numbered["__cell"] == plan["__cell"]) & F.expr("__n >= __first AND __n < __last"))
         .select(*[F.col(f"`{c}`") for c in names], "shard", (F.col("__n") + F.col("__base")).alias("slot"))
