@@ -40,6 +40,14 @@ def test_report_reads_each_column_about_once(spark, sf_dir):
     assert all(len(columns) <= 2 for columns in scans)
 
 
+def test_reports_from_cells_read_no_pages(spark, sf_dir):
+    """All that counts pages reads the cells, which one scan of the page table made."""
+    for frame in (QUERIES["section_report_from_cells"](spark, sf_dir), *(inputs.site(spark, sf_dir)[name] for name in ("trends", "sections", "metadata", "progress"))):
+        scans = read_columns(plan(frame))
+        assert scans and not any("last_updated" in columns or "related_links_count" in columns for columns in scans)
+        assert not any("path" in columns and "ord" not in columns and "title" not in columns for columns in scans if len(columns) > 1)
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     below = plan(pages.page_links(inputs.pages(spark, sf_dir), inputs.items(spark, sf_dir), 5))
     assert "PushedFilters: [IsNotNull(depth_level), LessThan(depth_level,5)" in below
