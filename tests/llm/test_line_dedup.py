@@ -3,7 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tests.compare import connect, difference
-from wayloom.llm.line_dedup import ORACLE, drop_site_lines, op10_line_dedup, text_keys
+from wayloom.llm.line_dedup import ORACLE, drop_site_lines, like_texts, op10_line_dedup, text_keys
 
 
 def brute(rows, ratio, least):
@@ -56,3 +56,26 @@ def test_classes_count_once_and_emptied_pages_stay(spark):
     classes = pages.select(*text_keys(F.col("text")), F.xxhash64("text").alias("class")).distinct()
     found = {r.doc_id: (r.text, r.n_dropped) for r in drop_site_lines(pages, classes=classes, keep_emptied=True).collect()}
     assert found == {i: (f"own {i}", 1) if i < 20 else (text, 0) for i, _, text in rows}
+
+
+def test_like_texts(spark):
+    words = lambda seed, n: [f"w{seed * 7919 + i * 31 % 977}" for i in range(n)]
+    texts = {f"lone {i}": " ".join(words(i, 120)) for i in range(40)}
+    for group in range(3):
+        own = words(500 + group, 300)
+        texts |= {f"group {group} {i}": " ".join([*own[:9 * i], f"edit{i}", *own[9 * i + 1:]]) for i in range(30)}
+    texts |= {"short": "a b", "short too": "A  b", "short other": "a c", "empty": "", "blank": " \n", "null": None, "long": "x y " * 60_000}
+    frame = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts.values())] + [(1, "a b", "z")] * 5, "t1 long, text string, class string")
+    found = frame.select("text", *[k.alias(n) for k, n in zip(text_keys(F.col("text")), ("h1", "h2"), strict=True)]).distinct()
+    likes = like_texts(frame).withColumnsRenamed({"t1": "h1", "t2": "h2"})
+    rows = found.join(likes, ["h1", "h2"]).collect()
+    assert len(rows) == len(set(texts.values())) == likes.count()
+    classes = {r.text: r["class"] for r in rows}
+    sizes = Counter(classes.values())
+    assert all(sizes[classes[t]] == 1 for name, t in texts.items() if name.startswith("lone"))
+    for group in range(3):
+        assert len({classes[t] for name, t in texts.items() if name.startswith(f"group {group}")}) <= 2
+    assert classes["a b"] == classes["A  b"] != classes["a c"] and classes[""] != classes[" \n"]
+    assert like_texts(frame.limit(0)).count() == 0
+    plan = like_texts(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan

@@ -14,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.llm.components import components
 from wayloom.llm.tables import table, written
 
 MAX_RATIO = 0.08
 MIN_PAGES = 4
+# For classes of like texts: words a shingle, smallest hashes kept of a text, how many of these
+# in a row name a candidate, and the part of them that like texts share.
+SHINGLE_WORDS, SKETCH, RUN, ALIKE = 5, 24, 4, 0.6
 
 
 def _key(line: Column) -> Column:
@@ -33,6 +37,39 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
 
 
+def _sketch(words: Column) -> Column:
+    """The smallest hashes of the word shingles, ascending; empty without words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE_WORDS - 1), F.lit(1)))
+    hashes = F.transform(starts, lambda at: F.xxhash64(F.slice(words, at, SHINGLE_WORDS)))
+    return F.when(F.size(words) > 0, F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)).otherwise(F.array().cast("array<bigint>"))
+
+
+def like_texts(pages: DataFrame, *, text: str = "text") -> DataFrame:
+    """t1, t2, class: a class of like texts for each different text, in column expressions alone.
+
+    Texts are candidates if some of their smallest shingle hashes stand next to each other in both
+    sketches, and are linked if they share most of the sketch with the first such text. What
+    links hold together is a class. A near copy may stay alone by chance; unlike texts rarely
+    meet. Texts without words are classes of their own.
+    """
+    value = F.col(f"`{text}`")
+    words = F.filter(F.split(F.lower(F.coalesce(value, F.lit(""))), r"\s+"), lambda word: word != "")
+    # Above a generator the words are made once, not once for each shingle.
+    texts = pages.select(*text_keys(value), F.explode(F.array(words)).alias("words"))
+    texts = texts.select("t1", "t2", _sketch(F.col("words")).alias("sketch"))
+    texts = written(texts.groupBy("t1", "t2").agg(F.first("sketch").alias("sketch")), "line-texts")
+    sketch, size = F.col("sketch"), F.size("sketch")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (RUN - 1), F.lit(1))), lambda at: F.xxhash64(F.slice(sketch, at, RUN)))
+    keyed = texts.filter(size > 0).select("t1", F.explode(F.array_distinct(runs)).alias("k"))
+    shared = keyed.groupBy("k").agg(F.min("t1").alias("b"), F.count("*").alias("n")).filter("n > 1").select("k", "b")
+    met = keyed.join(shared, "k").filter("t1 <> b").select(F.col("t1").alias("a"), "b").distinct()
+    one, other = (texts.select(F.col("t1").alias(c), sketch.alias(f"of_{c}")) for c in "ab")
+    common = F.size(F.array_intersect("of_a", "of_b")) / F.least(F.size("of_a"), F.size("of_b"))
+    links = met.join(one, "a").join(other, "b").filter(common >= ALIKE).select("a", "b")
+    labels = components(links, "line-likes").select(F.col("node").alias("t1"), "label")
+    return texts.select("t1", "t2").join(labels, "t1", "left").select("t1", "t2", F.coalesce("label", "t1").alias("class"))
+
+
 def boilerplate(
     pages: DataFrame, *, site: str, text: str, max_ratio: float, min_pages: int, classes: DataFrame | None = None
 ) -> DataFrame:
