@@ -22,9 +22,8 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near copies count once, or a large group of them would lose the lines it has in common.
     """
-    classes = near_join.near_classes(docs.select(F.xxhash64("text").alias("id"), "text"), key="id")
-    classes = classes.groupBy("t1", "t2").agg(F.min("class_id").alias("class"))
-    cleaned = line_dedup.drop_site_lines(docs, classes=written(classes, "line-classes"), keep_emptied=True)
+    classes = written(line_dedup.like_texts(docs), "line-classes")
+    cleaned = line_dedup.drop_site_lines(docs, classes=classes, keep_emptied=True)
     return cleaned.select(
         *[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in COLUMNS]
     )
