@@ -1,6 +1,8 @@
+import unicodedata
 import zlib
 
 import pytest
+import zstandard
 
 from wayloom.llm.language import Classifier, LanguageModel, fit, identify, op7_language_id
 from wayloom.llm.tables import table
@@ -74,3 +76,40 @@ def test_all_sampled_texts_have_a_place(spark):
     assert len(found) <= 10_000 and len(wanted & set(found.decode().split())) > 30
     short = fit(rows.limit(3), rows_per_language=50, dictionary_bytes=10_000).dictionaries["de"]
     assert 7_000 < len(short) <= 10_000
+
+
+def test_numbers_that_look_like_letters_are_none(spark, model):
+    texts = ["½ ² ①", "Ⅷ ⅻ 12", "_ 3 ①", "ª", "Ⅷ the of and"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in identify(docs, model).collect()}
+    assert [found[i] for i in range(3)] == ["und"] * 3 and "und" not in (found[3], found[4])
+
+
+def test_query_against_plain_compression(spark):
+    """Every text of the smallest table, one compressor made anew for each piece and language."""
+    folder = "/root/testdata/sf0.001"
+    rows = table(spark, folder, "documents").collect()
+    learned = fit(spark.createDataFrame([(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1], "text string, lang string"))
+    found = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in op7_language_id(spark, folder).collect()}
+
+    def sizes(data, level):
+        total = []
+        for content in learned.dictionaries.values():
+            made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made.precompute_compress(level=level)
+            squeeze = zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_dict_id=False)
+            total.append(sum(len(squeeze.compress(data[at : at + 1024])) for at in range(0, len(data), 1024)))
+        return total
+
+    for r in rows:
+        words = "".join(c if unicodedata.category(c).startswith("L") else " " for c in (r.text or "").lower()).split()
+        want = ("und", 0.0)
+        if words:
+            data = " ".join(words).encode()
+            for level in (5, 19):
+                order = sorted(zip(sizes(data, level), learned.dictionaries, strict=True), key=lambda pair: pair[0])
+                (best, name), (second, _) = order[:2]
+                want = (name, (second - best) / second)
+                if want[1] >= 0.03:
+                    break
+        assert found[r.doc_id] == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1, *want)

@@ -14,11 +14,11 @@ at most ``rows_per_language`` different texts, chosen by a hash. Prediction read
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ MIN_SCORE = 0.005
 CHUNK_BYTES = 1024
 CLOSE = 0.03
 SLOWEST_LEVEL = 19
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}+")
 _BUCKETS = 1 << 30
 
 
