@@ -7,6 +7,7 @@ import pytest
 
 from tests import build
 from wayloom.operators.priority_walk import priority_walk
+from wayloom.sources.state import CrawlState
 
 BONUS = {"guide": -500, "detailed_guide": -400, "service": -300, "transaction": -300}
 
@@ -53,6 +54,19 @@ def test_random_graphs(spark, batch_size, max_depth):
     assert build.rows(found) == rounds(edges, kinds, roots, batch_size, max_depth)
 
 
+def test_rounds_in_a_row_are_one_step(spark, monkeypatch):
+    """60 rounds of one page each, which were 60 rounds of jobs: few pages come in before the queue's first."""
+    nodes = ["/root", *(f"/n{i:02d}" for i in range(58)), "/m"]
+    follow = {"/root": nodes[1:59], "/n57": ["/m"]}
+    frame = build.items(spark, [build.item(n, follow.get(n, ())) for n in nodes])
+    written, bucketed = [], CrawlState.bucketed
+    monkeypatch.setattr(CrawlState, "bucketed", lambda self, name, *rest: written.append(name) or bucketed(self, name, *rest))
+    found = priority_walk(frame, build.sections(spark, "/root"), batch_size=1)
+    edges = [(src, dst) for src, to in follow.items() for dst in to]
+    assert build.rows(found) == rounds(edges, dict.fromkeys(nodes, "guide"), ["/root"], 1, 5)
+    assert len([name for name in written if name.startswith("entered/")]) < 10
+
+
 def test_nothing_to_walk(spark):
     frame = build.items(spark, [build.item("/a")])
     assert priority_walk(frame, build.sections(spark, "/b")).count() == 0
