@@ -236,3 +236,46 @@ def test_snapshot_cadence():
 def test_unknown_owner(spark):
     with pytest.raises(ValueError):
         walk.crawl(build.items(spark, [build.item("/a")]), build.sections(spark, "/a"), owner="any")
+
+
+def test_stored_tables_are_not_sorted_again(spark, tmp_path):
+    """A level sorts what it shuffles; links, addresses and earlier levels lie sorted."""
+    frame = build.items(spark, [build.item("/a", ["/b", "/c"]), build.item("/b", ["/c"]), build.item("/c")])
+    store = CrawlState(spark, str(tmp_path / "walk"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph = walk.stage_graph(frame, store)
+        roots = build.sections(spark, "/a").selectExpr("ord", "path AS section")
+        level, _, _ = store.save_level(0, walk._root_level(roots, graph.addresses), graph.pages)
+        found = walk.next_level([level], graph, True)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert build.rows(found) == [("/b", 0, True), ("/c", 0, True)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        store.release()
+    assert plan.count("Sort [") == plan.count("Exchange hashpartitioning") > 0
+
+
+def test_links_are_read_between_the_sources_only(spark, tmp_path):
+    frame = build.items(spark, [build.item(f"/n{i}", [f"/n{i + 1}"]) for i in range(9)])
+    store = CrawlState(spark, str(tmp_path / "walk"))
+    try:
+        graph = walk.stage_graph(frame, store, 8)
+        level = frame.filter("base_path IN ('/n3', '/n5')").selectExpr("base_path AS path", "0 AS ord")
+        found = walk.followed(walk.link_sources(level, graph, "ord"), graph)
+        assert sorted(row["dst"] for row in found.collect()) == ["/n4", "/n6"]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(src_part,/n3\n0)" in plan and "LessThanOrEqual(src_part,/n5\n0)" in plan
+    finally:
+        store.release()
+
+
+def test_hubs_are_found_among_the_sources_of_large_cells(spark, tmp_path):
+    frame = build.items(spark, [build.item("/hub", [f"/t{i}" for i in range(30)]), *(build.item(f"/s{i}", ["/hub"]) for i in range(20))])
+    store = CrawlState(spark, str(tmp_path / "walk"))
+    try:
+        graph = walk.stage_graph(frame, store, 64)
+        assert build.rows(graph.hubs) == [("/hub", 4)]
+        assert graph.mark == "" and store.load("large_cells", "cell BIGINT").count() == 1
+    finally:
+        store.release()

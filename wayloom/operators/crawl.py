@@ -32,6 +32,7 @@ BUCKET_ROWS = 8_000_000
 SMALL_BUCKET_ROWS = 100_000
 MAX_BUCKETS = 100_000
 MAX_HUBS = 100_000
+HUB_CELLS = 65_536
 JOINED_LEVELS = 8
 
 
@@ -87,7 +88,7 @@ def crawl(
 
     roots = sections.select("ord", F.col("path").alias("section"))
     of_roots = _mark_of(roots.agg(*_row_marks(F.xxhash64("ord", "section")))) if state else ""
-    made_from = f"{_mark_of(_items_by_path(items).agg(*_sums()))} {of_roots}" if last else ""
+    made_from = f"{_mark_of(items.agg(*_row_marks(_item_hash())))} {of_roots}" if last else ""
     if last and last.inputs != made_from:
         raise ValueError(f"the state in {store.path} was made from other items or sections")
     try:
@@ -98,7 +99,7 @@ def crawl(
             depth, fresh, pages, saved_pages = last.depth, None, last.pages_processed, last.pages_processed
         else:
             roots = store.save("roots", roots)
-            graph = stage_graph(items, store, bucket_rows)
+            graph = stage_graph(items, store, bucket_rows, marked=bool(state))
             made_from = f"{graph.mark} {of_roots}"
             depth, saved_pages = 0, 0
             level, fresh, pages = store.save_level(0, _root_level(roots, graph.addresses), graph.pages)
@@ -130,12 +131,8 @@ def _row_marks(row_hash: Column) -> list[Column]:
     return [F.count(F.lit(1)).alias("rows"), F.sum(row_hash.cast("decimal(20,0)")).alias("hashes")]
 
 
-def _items_by_path(items: DataFrame) -> DataFrame:
-    """For each path its links, rows and sum of hashes: all that a walk's staging asks of the items."""
-    linked = F.xxhash64("requested_path", "base_path", "list_from", F.map_entries("links"))
-    return items.groupBy(F.col("base_path").alias("src")).agg(
-        F.sum(link_rows(F.col("links"))).alias("n"), *_row_marks(linked)
-    )
+def _item_hash() -> Column:
+    return F.xxhash64("requested_path", "base_path", "list_from", F.map_entries("links"))
 
 
 def _sums() -> list[Column]:
@@ -147,21 +144,29 @@ def _mark_of(sums: DataFrame) -> str:
     return f"{row['rows'] or 0}:{row['hashes'] or 0}"
 
 
-def stage_graph(items: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_ROWS) -> LinkGraph:
+def stage_graph(items: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_ROWS, marked: bool = False) -> LinkGraph:
     """Bucket the links by source and the addresses by request, once for all levels.
 
     A source with more links than an eighth of a bucket is a hub: its links are spread by
     target over several parts. A hub has more than 1/MAX_HUBS of all links, so there are
     fewer than MAX_HUBS of them, and their list, empty or not, is safe to broadcast.
+
+    Links are counted by cells of a hash, of which few rows are shuffled; only the sources in a
+    cell that is as large as a hub are counted one by one. ``marked`` asks for the items' mark.
     """
     spark = items.sparkSession
     share = max(1, bucket_rows // 8)
     counted = Observation()
+    cell, n = F.pmod(F.xxhash64("base_path"), F.lit(HUB_CELLS)), F.sum(link_rows(F.col("links"))).alias("n")
     # Taken above the shuffle, where a task that runs again counts once.
-    degrees = _items_by_path(items).observe(counted, F.sum("n").alias("links"), *_sums())
-    large = store.save("hubs", degrees.filter(F.col("n") > share).select("src", "n"))
+    facts = [F.sum("n").alias("links"), F.count_if(F.col("n") > share).alias("large"), *(_sums() if marked else [])]
+    cells = items.groupBy(cell.alias("cell")).agg(n, *(_row_marks(_item_hash()) if marked else [])).observe(counted, *facts)
+    large_cells = store.save("large_cells", cells.filter(F.col("n") > share).select("cell"))
+    suspects = items.join(F.broadcast(large_cells), cell == F.col("cell")) if counted.get["large"] else items.limit(0)
+    degrees = suspects.groupBy(F.col("base_path").alias("src")).agg(n)
+    large = store.save("hubs", degrees.filter(F.col("n") > share))
     total = counted.get["links"] or 0
-    mark = f"{counted.get['rows'] or 0}:{counted.get['hashes'] or 0}"
+    mark = f"{counted.get['rows'] or 0}:{counted.get['hashes'] or 0}" if marked else ""
     hubs = store.save("hubs_in_use", _copies(large, max(share, total // MAX_HUBS), share))
     at_hand = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(at_hand, math.ceil(total / SMALL_BUCKET_ROWS)), math.ceil(total / bucket_rows))
@@ -203,6 +208,16 @@ def link_sources(level: DataFrame, graph: LinkGraph, *facts: str) -> DataFrame:
     )
 
 
+def followed(sources: DataFrame, graph: LinkGraph) -> DataFrame:
+    """The links of these ``link_sources`` with their facts.
+
+    Buckets are sorted by source, and their files are read between the first and the last of
+    the sources only.
+    """
+    low, high = sources.agg(F.min("src_part"), F.max("src_part")).first()
+    return sources.join(graph.edges.filter(F.col("src_part").between(F.lit(low), F.lit(high))), "src_part")
+
+
 def next_level(levels: list[DataFrame], graph: LinkGraph, improve: bool) -> DataFrame:
     """Pages one link beyond the last of ``levels``: path, ord, is_new.
 
@@ -211,7 +226,7 @@ def next_level(levels: list[DataFrame], graph: LinkGraph, improve: bool) -> Data
     earlier levels are read where they lie.
     """
     targets = (
-        link_sources(levels[-1], graph, "ord").join(graph.edges, "src_part")
+        followed(link_sources(levels[-1], graph, "ord"), graph)
         .groupBy(F.col("dst").alias("requested_path"))
         .agg(F.min("ord").alias("found"))
     )

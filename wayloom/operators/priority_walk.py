@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.scoring import url_priority
-from wayloom.operators.crawl import BUCKET_ROWS, LinkGraph, link_sources, stage_graph
+from wayloom.operators.crawl import BUCKET_ROWS, LinkGraph, followed, link_sources, stage_graph
 from wayloom.operators.frontier import BATCH_SIZE
 from wayloom.operators.pages import page_records
 from wayloom.operators.ranking import number_rows
@@ -129,15 +129,9 @@ def _kinds(items: DataFrame, store: CrawlState, graph: LinkGraph) -> DataFrame:
 
 
 def _targets(level: DataFrame, graph: LinkGraph) -> DataFrame:
-    """requested_path, round, depth: the links of these pages by the first round that meets them.
-
-    The pages of a step are near each other, and so are their links: a bucket is sorted by
-    source, and its files are read between the first and the last source only.
-    """
-    sources = link_sources(level, graph, "round", "depth")
-    low, high = sources.agg(F.min("src_part"), F.max("src_part")).first()
-    near = graph.edges.filter(F.col("src_part").between(F.lit(low), F.lit(high)))
-    return _first(sources.withColumn("depth", F.col("depth") + 1).join(near, "src_part"), F.col("dst"), "requested_path")
+    """requested_path, round, depth: the links of these pages by the first round that meets them."""
+    sources = link_sources(level, graph, "round", "depth").withColumn("depth", F.col("depth") + 1)
+    return _first(followed(sources, graph), F.col("dst"), "requested_path")
 
 
 def _first(rows: DataFrame, key: Column, name: str) -> DataFrame:

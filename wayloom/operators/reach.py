@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.operators.crawl import BUCKET_ROWS, LinkGraph, link_sources, stage_graph
+from wayloom.operators.crawl import BUCKET_ROWS, LinkGraph, followed, link_sources, stage_graph
 from wayloom.session import fresh_dir
 from wayloom.sources.state import CrawlState
 
@@ -77,7 +77,7 @@ def next_bits(level: DataFrame, seen: DataFrame, graph: LinkGraph) -> DataFrame:
     addresses and what was seen are read where they lie.
     """
     targets = (
-        link_sources(level, graph, "word", "bits").join(graph.edges, "src_part")
+        followed(link_sources(level, graph, "word", "bits"), graph)
         .groupBy(F.col("dst").alias("requested_path"), "word").agg(F.bit_or("bits").alias("bits"))
     )
     found = _keyed(targets.join(graph.addresses, "requested_path"))

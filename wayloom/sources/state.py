@@ -25,6 +25,8 @@ class CrawlState:
         self.spark = spark
         self.path = path.rstrip("/")
         self._tables: dict[str, str] = {}
+        # A bucket is one file, so joins by its key need not sort again what lies there sorted.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def bucketed(self, name: str, rows: DataFrame, key: str, buckets: int) -> DataFrame:
         """The rows in ``buckets`` by ``key``. Only a named table remembers its buckets, so it
