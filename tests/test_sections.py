@@ -91,6 +91,14 @@ def test_hot_group_is_numbered_in_several_ranges(spark):
     assert numbered.filter("place <> id + 1").count() == 0 and numbered.count() == 20_000
 
 
+def test_numbers_follow_from_the_sorted_ranges(spark):
+    """Rows are shuffled and sorted before they are written; what reads them again does neither."""
+    rows = spark.range(0, 3_000, 1, 4).selectExpr("CAST(id % 3 AS STRING) AS g", "id DIV 3 AS k")
+    numbered = ranking.number_rows(rows, ["g"], ["k"], "place")
+    assert numbered.filter("place <> k + 1").count() == 0 and numbered.count() == 3_000
+    assert "row_number" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+
+
 START = datetime(2024, 1, 1)
 
 
