@@ -99,6 +99,23 @@ def test_numbers_follow_from_the_sorted_ranges(spark):
     assert "row_number" not in numbered._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_many_links_meet_the_pages_in_more_partitions(spark, monkeypatch):
+    rng = random.Random(3)
+    nodes = [f"/n{i}" for i in range(30)]
+    to = {node: rng.sample(nodes, 4) + ["/assets/x.pdf", "/missing"] for node in nodes}
+    items = build.items(spark, [build.item(node, to[node]) for node in nodes] + [build.item("/n1", requested="/old")])
+    depths = {node: rng.randrange(4) for node in nodes[:20]}
+    table = spark.createDataFrame(list(depths.items()), "path STRING, depth_level INT")
+    expected = {(depth, dst) for src, depth in depths.items() for dst in to[src] if dst in to and depths.get(dst, 9) > depth}
+    usual = frontier.links_beyond(items, table)
+    monkeypatch.setattr(frontier, "PART_LINKS", 20)
+    split = frontier.links_beyond(items, table)
+    assert build.rows(usual) == build.rows(split) == sorted(expected, key=repr)
+    # 181 entries, 20 to a partition; below that the session's partitions stay.
+    assert "RepartitionByExpression" in str(split._jdf.queryExecution().optimizedPlan().toString())
+    assert "RepartitionByExpression" not in str(usual._jdf.queryExecution().optimizedPlan().toString())
+
+
 START = datetime(2024, 1, 1)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.scoring import url_priority
-from wayloom.operators.links import followable_edges, item_addresses
+from wayloom.operators.links import followable_edges, item_addresses, link_rows
 from wayloom.operators.ranking import number_rows
 
 BATCH_SIZE = 10
+PART_LINKS = 2_000_000
 
 
 def linked_pages(items: DataFrame, sources: DataFrame) -> DataFrame:
@@ -35,17 +38,19 @@ def links_beyond(items: DataFrame, pages: DataFrame) -> DataFrame:
     """depth, path: what the pages of each depth link to and no page of that depth or above is.
 
     ``pages`` has path and depth_level. Targets are made distinct for each depth before they
-    are looked up, so a popular target is a row per depth.
+    are looked up, so a popular target is a row per depth. Where the links are too many for the
+    session's shuffle partitions, they meet the pages in more of them, so that a task sorts its
+    share in memory. Paths are made distinct where they meet the pages seen.
     """
-    targets = (
-        followable_edges(items)
-        .join(pages.select(F.col("path").alias("src"), F.col("depth_level").alias("depth")), "src")
-        .select("depth", F.col("dst").alias("requested_path"))
-        .distinct()
-    )
-    linked = targets.join(item_addresses(items), "requested_path").select("depth", "path").distinct()
+    edges, sources = followable_edges(items), pages.select(F.col("path").alias("src"), F.col("depth_level").alias("depth"))
+    parts = math.ceil((items.agg(F.sum(link_rows(F.col("links")))).first()[0] or 0) / PART_LINKS)
+    if parts > int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        edges, sources = edges.repartition(parts, "src"), sources.repartition(parts, "src")
+    targets = edges.join(sources, "src").select("depth", F.col("dst").alias("requested_path")).distinct()
+    linked = targets.join(item_addresses(items), "requested_path").select("depth", "path")
     seen = pages.groupBy("path").agg(F.min("depth_level").alias("seen"))
-    return linked.join(seen, "path", "left").filter("seen IS NULL OR seen > depth").select("depth", "path")
+    beyond = linked.join(seen, "path", "left").filter("seen IS NULL OR seen > depth")
+    return beyond.select("depth", "path").distinct()
 
 
 def frontier(pages: DataFrame) -> DataFrame:
