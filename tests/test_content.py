@@ -226,3 +226,16 @@ def test_read_raw_documents(spark, tmp_path):
     row = source.read_items(spark, str(path), "json").first()
     assert (row.requested_path, row.list_from, row.title, row.links) == ("/a", None, "Ü", None)
     assert CONTENT_ITEMS.startswith("requested_path")
+
+
+def test_links_are_counted_by_built_in_functions(spark):
+    """A list that is null is left to the plain way; both give the number of targets."""
+    frame = build.items(spark, [
+        build.item("/a", links={"related": [(None, "/x"), None, ("no path", None)], "other": [(None, "/x")]}),
+        build.item("/b", links={"related": None, "other": [(None, "/y")]}),
+        build.item("/c", links={}),
+        build.item("/d"),
+    ])
+    count, every = content.related_links_count(F.col("links")), F.size(content.related_links(F.col("links")))
+    assert [tuple(r) for r in frame.select(count, every).collect()] == [(2, 2), (1, 1), (0, 0), (0, 0)]
+    assert "array_size(flatten(map_values(links" in str(links.link_rows(F.col("links")))

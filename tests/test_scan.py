@@ -6,7 +6,7 @@ import pytest
 
 from tests import build
 from wayloom.operators.sections import NoSectionsError
-from wayloom.plans.scan import sample, scan
+from wayloom.plans.scan import choose_sections, sample, scan
 from wayloom.sources import exports
 
 AS_OF = "2024-02-01 00:00:00"
@@ -109,3 +109,9 @@ def test_sample(spark):
     assert build.rows(found["samples"]) == [
         ("Lost", "/lost", 0, None), ("One", "/one", 0, "browse_page"), ("Two", "/two", 0, "browse_page")]
     assert found["children"].isEmpty()
+
+
+def test_catalogue_is_taken_from_the_items_once(spark):
+    chosen = choose_sections(site(spark), "Two")
+    assert build.rows(chosen.select("path")) == [("/two",)]
+    assert chosen.inputFiles() and all("/sections-" in name for name in chosen.inputFiles())

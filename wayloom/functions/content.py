@@ -56,6 +56,12 @@ def related_links(links: Column) -> Column:
     )
 
 
+def related_links_count(links: Column) -> Column:
+    """How many targets ``related_links`` has, by built-in functions alone unless a list is null."""
+    targets = F.flatten(F.map_values(links))["base_path"]
+    return F.coalesce(F.array_size(F.array_compact(targets)), F.array_size(related_links(links)))
+
+
 def related_links_within(links: Column, depth: Column, max_depth: int) -> Column:
     """The same, but empty where the walk stops (P5)."""
     return F.when(depth < max_depth, related_links(links)).otherwise(F.array().cast("ARRAY<STRING>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions.content import is_followable, related_links
+from wayloom.functions.content import is_followable, related_links_count
 
 
 def link_edges(items: DataFrame, *more: str) -> DataFrame:
@@ -29,13 +29,14 @@ def link_counts(items: DataFrame) -> DataFrame:
     """Links with a target per item, copies included: path, n_links."""
     return (
         items.groupBy(F.col("base_path").alias("path"))
-        .agg(F.sum(F.size(related_links(F.col("links")))).cast("bigint").alias("n_links"))
+        .agg(F.sum(related_links_count(F.col("links"))).cast("bigint").alias("n_links"))
     )
 
 
 def link_rows(links: Column) -> Column:
-    """Entries in all lists of one row, with or without a target."""
+    """Entries in all lists of one row, with or without a target. Only a null list needs the sum of the sizes."""
     return F.coalesce(
+        F.array_size(F.flatten(F.map_values(links))),
         F.aggregate(F.map_values(links), F.lit(0), lambda total, entries: total + F.coalesce(F.array_size(entries), F.lit(0))),
         F.lit(0),
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions.content import content_type, last_updated, page_status, publishing_org, related_links
+from wayloom.functions.content import content_type, last_updated, page_status, publishing_org, related_links_count
 from wayloom.functions.times import instant, iso_text
 from wayloom.operators.links import link_edges
 
@@ -37,7 +37,7 @@ def build_pages(crawled: DataFrame, items: DataFrame, max_depth: int) -> DataFra
     counts = (
         items.filter(_has_path())
         .groupBy(F.col("base_path").alias("path"), "requested_path")
-        .agg(F.sum(F.size(related_links(F.col("links")))).alias("n_links"))
+        .agg(F.sum(related_links_count(F.col("links"))).alias("n_links"))
     )
     # The facts are worked out below the join, so no sort or shuffle ever carries a body.
     documents = page_records(items).join(counts, ["path", "requested_path"], "left")

@@ -40,7 +40,7 @@ def scan(
     """
     if detail not in DETAILS:
         raise ValueError(f"detail must be one of {DETAILS}")
-    chosen = stored(choose_sections(items, names), "sections")
+    chosen = choose_sections(items, names)
     walked = crawl.crawl(items, chosen, max_depth=max_depth, owner=owner, state=state, snapshot_every=snapshot_every)
     found = stored(pages.build_pages(walked, items, max_depth), "pages")
     cells = stored(trends.page_cells(found), "cells")
@@ -69,12 +69,14 @@ def scan(
 
 def sample(items: DataFrame, names: str | None = None) -> dict[str, DataFrame]:
     """A quick look at the chosen sections from their root items only, without a walk."""
-    chosen = stored(choose_sections(items, names), "sections")
+    chosen = choose_sections(items, names)
     return {"samples": sections.section_sample(chosen, items), "children": sections.section_children(chosen, items)}
 
 
 def choose_sections(items: DataFrame, names: str | None = None) -> DataFrame:
-    return sections.select_sections(sections.require_sections(sections.section_catalogue(items)), names)
+    """The chosen sections; the items are read once for them, when the catalogue is stored."""
+    catalogue = stored(sections.section_catalogue(items), "sections")
+    return sections.select_sections(sections.require_sections(catalogue), names)
 
 
 def _progress(cells: DataFrame, totals: DataFrame, types: DataFrame) -> DataFrame:
