@@ -54,6 +54,12 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan(QUERIES["next_batch"](spark, sf_dir))
 
 
+def test_lists_of_links_meet_their_pages_whole(spark, sf_dir):
+    frame = pages.page_links(inputs.pages(spark, sf_dir), inputs.items(spark, sf_dir), 5)
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= text.index("Generate") < text.index("Join") and text.rindex("Generate posexplode") < text.index("Join")
+
+
 def test_head_documents_do_not_read_the_listings(spark, sf_dir):
     """Continuation rows are dropped by the optimiser, before any scan of them."""
     text = plan(QUERIES["page_status"](spark, sf_dir))

@@ -76,15 +76,19 @@ def section_rollup(pages: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame, items: DataFrame, max_depth: int) -> DataFrame:
     """section, path, link_type, pos, dst: the links of all pages below the depth limit (P5).
 
-    An item with several addresses is read once, by its first one, as in the page table.
+    An item with several addresses is read once, by its first one, as in the page table. Items
+    meet their pages with their lists whole; the links are taken out of them after that.
     """
     first = (
         items.filter(F.col("list_from").isNull() & _has_path())
         .groupBy(F.col("base_path").alias("path")).agg(F.min("requested_path").alias("requested_path"))
     )
     below = pages.filter(F.col("depth_level") < max_depth).select("section", "path").join(first, "path")
-    links = link_edges(items, "requested_path").withColumnRenamed("src", "path")
-    return below.join(links, ["path", "requested_path"]).select("section", "path", "link_type", "pos", "dst")
+    lists = items.filter(related_links_count(F.col("links")) > 0).select(
+        F.col("base_path").alias("path"), "requested_path", "list_from", "links"
+    )
+    linking = below.join(lists, ["path", "requested_path"]).withColumnRenamed("path", "base_path")
+    return link_edges(linking, "section").select("section", F.col("src").alias("path"), "link_type", "pos", "dst")
 
 
 def scan_metadata(pages: DataFrame, max_depth: int, as_of: str | Column) -> DataFrame:
