@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests import build
 from wayloom.operators import crawl as walk
@@ -279,3 +280,13 @@ def test_hubs_are_found_among_the_sources_of_large_cells(spark, tmp_path):
         assert graph.mark == "" and store.load("large_cells", "cell BIGINT").count() == 1
     finally:
         store.release()
+
+
+def test_marks_are_exact_sums_of_hashes(spark):
+    """Sums of 64-bit pieces, no decimals, give the sum of the signed hashes."""
+    hashes = [-(2**63), 2**63 - 1, -1, 0, 12345678901234567, 2**62, 2**62, 2**62, -7]
+    rows = spark.createDataFrame([(value,) for value in hashes], "h BIGINT")
+    marks = rows.agg(*walk._row_marks(F.col("h")))
+    assert walk._mark_of(marks.first().asDict()) == f"{len(hashes)}:{sum(hashes)}"
+    assert walk._mark_of(rows.limit(0).agg(*walk._row_marks(F.col("h"))).first().asDict()) == "0:0"
+    assert all(kind == "bigint" for _, kind in marks.dtypes)

@@ -17,6 +17,7 @@ the page later, the lower one has reached in as many steps or fewer.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,12 +29,14 @@ from wayloom.session import fresh_dir
 from wayloom.sources.state import DEFAULT_INTERVAL, CrawlState, snapshot_due
 
 OWNERS = ("first_section", "nearest")
-BUCKET_ROWS = 8_000_000
+BUCKET_ROWS = 2_000_000
 SMALL_BUCKET_ROWS = 100_000
 MAX_BUCKETS = 100_000
 MAX_HUBS = 100_000
 HUB_CELLS = 65_536
 JOINED_LEVELS = 8
+MARKS = ("rows", "high", "middle", "low")
+MARK_BITS = 22
 
 
 @dataclass(frozen=True)
@@ -87,8 +90,8 @@ def crawl(
         raise ValueError(f"the state in {store.path} was made with owner={last.owner}")
 
     roots = sections.select("ord", F.col("path").alias("section"))
-    of_roots = _mark_of(roots.agg(*_row_marks(F.xxhash64("ord", "section")))) if state else ""
-    made_from = f"{_mark_of(items.agg(*_row_marks(_item_hash())))} {of_roots}" if last else ""
+    of_roots = _mark_of(_first_row(roots, F.xxhash64("ord", "section"))) if state else ""
+    made_from = f"{_mark_of(_first_row(items, _item_hash()))} {of_roots}" if last else ""
     if last and last.inputs != made_from:
         raise ValueError(f"the state in {store.path} was made from other items or sections")
     try:
@@ -127,8 +130,21 @@ def crawl(
 
 
 def _row_marks(row_hash: Column) -> list[Column]:
-    """Number of rows and sum of their hashes, which no order and no repeated row can hide."""
-    return [F.count(F.lit(1)).alias("rows"), F.sum(row_hash.cast("decimal(20,0)")).alias("hashes")]
+    """Number of rows and sum of their hashes, which no order and no repeated row can hide.
+
+    The sum is kept as those of three pieces of 22 bits, 64-bit numbers that hold 2^41 rows.
+    """
+    piece = F.lit((1 << MARK_BITS) - 1)
+    pieces = {
+        "high": F.shiftright(row_hash, 2 * MARK_BITS),
+        "middle": F.shiftright(row_hash, MARK_BITS).bitwiseAND(piece),
+        "low": row_hash.bitwiseAND(piece),
+    }
+    return [F.count(F.lit(1)).alias("rows"), *(F.sum(value).alias(name) for name, value in pieces.items())]
+
+
+def _first_row(rows: DataFrame, row_hash: Column) -> Mapping:
+    return rows.agg(*_row_marks(row_hash)).first().asDict()
 
 
 def _item_hash() -> Column:
@@ -136,12 +152,12 @@ def _item_hash() -> Column:
 
 
 def _sums() -> list[Column]:
-    return [F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes")]
+    return [F.sum(name).alias(name) for name in MARKS]
 
 
-def _mark_of(sums: DataFrame) -> str:
-    row = sums.first()
-    return f"{row['rows'] or 0}:{row['hashes'] or 0}"
+def _mark_of(sums: Mapping) -> str:
+    rows, high, middle, low = (sums[name] or 0 for name in MARKS)
+    return f"{rows}:{(((high << MARK_BITS) + middle) << MARK_BITS) + low}"
 
 
 def stage_graph(items: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_ROWS, marked: bool = False) -> LinkGraph:
@@ -166,7 +182,7 @@ def stage_graph(items: DataFrame, store: CrawlState, bucket_rows: int = BUCKET_R
     degrees = suspects.groupBy(F.col("base_path").alias("src")).agg(n)
     large = store.save("hubs", degrees.filter(F.col("n") > share))
     total = counted.get["links"] or 0
-    mark = f"{counted.get['rows'] or 0}:{counted.get['hashes'] or 0}" if marked else ""
+    mark = _mark_of(counted.get) if marked else ""
     hubs = store.save("hubs_in_use", _copies(large, max(share, total // MAX_HUBS), share))
     at_hand = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(at_hand, math.ceil(total / SMALL_BUCKET_ROWS)), math.ceil(total / bucket_rows))
