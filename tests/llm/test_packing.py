@@ -1,3 +1,4 @@
+import sys
 import zlib
 
 import numpy as np
@@ -41,6 +42,33 @@ def test_ids_survive_a_full_memory(plain, monkeypatch):
         assert words.encode(text) == np.asarray(ids_of(plain, text)[:-1], dtype="<u4").tobytes()
 
 
+def test_words_take_no_calls_of_their_own(plain):
+    """Different words cost Arrow's time, not calls of Python functions for each of them."""
+    words = WordTokenizer(default_path())
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + j)}o{chr(97 + i // 26)}," for j in range(26)) for i in range(400)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = words.encode_all(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < 10_400 / 2
+    assert found == [np.asarray(ids_of(plain, t)[:-1], dtype="<u4").tobytes() for t in texts]
+
+
+def test_every_plain_letter_is_cut_as_the_tokenizer_cuts(plain):
+    letters = [chr(c) for c in range(0x21, 0x250)]
+    marks = ["'s", "'ll", "'r", "'re", "--'s", "'s't", "''m", "'dx", "1²", "É'VE", "a'"]
+    texts = [f"{c} a{c}b {c}{c}1{c} {c}" + f" {c}".join(marks) + c for c in letters] + ["", " ", "\n\n", "'", "' 's"]
+    found = WordTokenizer(default_path()).encode_all(texts)
+    assert found == [np.asarray(ids_of(plain, t)[:-1], dtype="<u4").tobytes() for t in texts]
+
+
 def test_slices_join_to_the_text(monkeypatch):
     monkeypatch.setattr("wayloom.llm.tokens.SLICE_CHARS", 7)
     for text in ["", "abc", "a bc def ghij klmno p", "x" * 50, "word " * 9]:

@@ -25,6 +25,7 @@ from wayloom.llm.tables import give_back, long_texts, table
 from wayloom.llm.tokens import default_path, forget, of_process
 
 END_ID = 2
+FLUSH_IDS = 1 << 20
 PIECES = (
     "start long, length long, loss long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
@@ -152,8 +153,8 @@ def pack(
     Sequences stay within all limits. Those that are not full because of their segments or
     loss need padding; the last of each partition are cut to powers of two.
 
-    With ``keep_words`` a worker process remembers the words it has seen (some 100 to 250 MB)
-    from task to task, which saves time where a job does nothing else.
+    With ``keep_words`` a worker process remembers the pieces of words it has seen (700,000 and
+    those of one step more) from task to task, which saves time where a job does nothing else.
     """
     path = tokenizer or default_path()
     columns = [F.col(f"`{keep}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")]
@@ -170,10 +171,11 @@ def pack(
         held: dict[int, list] = {}  # example number -> [key, ids, tokens still to place]
         number, sequence_id = 0, TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
+        size = 0  # ids in rows
         key_field = None
 
         def place(sequence: list) -> int:
-            nonlocal sequence_id
+            nonlocal sequence_id, size
             offset = 0
             for example, start, length in sequence:
                 entry = held[example]
@@ -187,9 +189,11 @@ def pack(
                 if not entry[2]:
                     del held[example]
             sequence_id += 1
+            size += offset
             return offset
 
         def flush() -> pa.RecordBatch:
+            nonlocal size
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
             types = [key_field.type, *[pa.int64()] * 6, pa.binary()]
             names = ["key", "start", "length", "loss", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -197,6 +201,7 @@ def pack(
                 [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names
             )
             rows.clear()
+            size = 0
             return batch
 
         for batch in batches:
@@ -211,9 +216,9 @@ def pack(
                     held[number] = [key, ids, len(ids) // 4, len(first) // 4]
                     for sequence in packer.add(number, len(ids) // 4, len(first) // 4):
                         place(sequence)
+                        if size >= FLUSH_IDS or len(rows) >= 4096:
+                            yield flush()
                     number += 1
-                if len(rows) >= 4096:
-                    yield flush()
         waiting = list(packer.drain())
         for sequence in waiting[:-1]:
             place(sequence)
