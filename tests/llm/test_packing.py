@@ -61,6 +61,25 @@ def test_words_take_no_calls_of_their_own(plain):
     assert found == [np.asarray(ids_of(plain, t)[:-1], dtype="<u4").tobytes() for t in texts]
 
 
+def test_the_library_gets_a_bounded_number_of_characters_at_a_time():
+    """Its results are many times their texts, so they are not all made at once."""
+    words = WordTokenizer(default_path())
+    sizes, library = [], words.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(sum(map(len, texts)))
+            return library.encode_batch_fast(texts, **options)
+
+    words.tokenizer = Watched()
+    odd = [f"日本{i:05d}語" for i in range(30_000)]
+    plain_words = [f"w{i:06d}" for i in range(30_000)]
+    found = words.encode_all([" ".join(odd), " ".join(plain_words)])
+    assert max(sizes) <= 1 << 17 < sum(sizes)
+    words.tokenizer = library
+    assert found == [b"".join(words.encode(t) for t in part) for part in (odd, plain_words)]
+
+
 def test_every_plain_letter_is_cut_as_the_tokenizer_cuts(plain):
     letters = [chr(c) for c in range(0x21, 0x250)]
     marks = ["'s", "'ll", "'r", "'re", "--'s", "'s't", "''m", "'dx", "1²", "É'VE", "a'"]

@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 21
+ENCODED_CHARS = 1 << 16
 MAX_CHUNKS = 250_000  # so many different chunks are cut at a time
 MAX_PIECES = 700_000
 
@@ -128,10 +129,16 @@ class WordTokenizer:
         self.ids = _rows(np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64))
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each has."""
-        found = [item.ids for item in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(lengths.sum())), lengths
+        """The ids of all texts, and how many each has. The library's results, which are many times
+        that, are made for some ``ENCODED_CHARS`` at a time."""
+        step = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))) // ENCODED_CHARS
+        bounds = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)]
+        ids, lengths = [np.empty(0, dtype="<u4")], [np.empty(0, dtype=np.int64)]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            found = [item.ids for item in self.tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _encode_pieces(self, pieces: pa.Array) -> pa.Array:
         """Many pieces in few calls: each ends with the one id that closes a word."""
