@@ -193,6 +193,7 @@ class WordTokenizer:
                 found[owner].append(ids)
             parts.clear()
             owners.clear()
+            pa.default_memory_pool().release_unused()  # what the arrays of this slice took
 
         for at, text in enumerate(texts):
             for part in text_slices(text):
