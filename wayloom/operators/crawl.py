@@ -73,6 +73,7 @@ def crawl(
     ``state`` folder the walk saves a snapshot at every level that brings the pages since the
     last one to ``snapshot_every``, and one at its end; where the folder holds snapshots it
     goes on from the deepest one. A state of other items, sections or owner is refused.
+    Without one nobody can go on, so the links it laid out are freed at its end.
 
     ``bucket_rows`` is the number of links a bucket may hold; hubs and parts follow from it.
     """
@@ -124,6 +125,8 @@ def crawl(
             pages += new_pages
     finally:
         store.release()
+    if not state:
+        store.clear("links", "addresses")
 
     owned = _owned_pages(store.levels(0, min(depth, max_depth)), owner)
     return owned.join(roots, "ord").select("section", "path", "depth_level")

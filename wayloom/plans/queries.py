@@ -158,7 +158,7 @@ def scan_progress_site(spark, sf_dir):
 def export_json(spark, sf_dir):
     """The pages as the JSON sink writes them, read again."""
     stored, path = inputs.pages(spark, sf_dir), fresh_dir(spark, "json")
-    exports.export(inputs.site(spark, sf_dir), path, "json")
+    exports.export(inputs.site(spark, sf_dir), path, "json", exports.GZIP)
     return spark.read.schema(stored.schema).json(f"{path}/pages")
 
 

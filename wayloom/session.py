@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name: str = "wayloom", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings every operator assumes: AQE on, UTC clock."""
@@ -46,8 +50,24 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A write in here frees the disk of its shuffles when it ends. Otherwise they stay until the
+    driver collects garbage, which one that does little work itself may not do for half an hour.
+
+    Only for writes: a frame made in here that is run twice would shuffle twice.
+    """
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def stored(rows: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, from which later steps start."""
     path = fresh_dir(rows.sparkSession, label)
-    rows.write.parquet(path)
+    with freed_shuffles(rows.sparkSession):
+        rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -6,34 +6,45 @@ import uuid
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.operators.pages import export_columns
+from wayloom.session import freed_shuffles
 
 FORMATS = ("json", "csv", "report", "analysis")
 JSON_TABLES = ("metadata", "sections", "section_depths", "progress", "pages", "page_links")
 ANALYSIS_TABLES = ("trends", "type_distribution", "depth_distribution", "org_distribution", "reports")
 MANIFEST = "number BIGINT, folder STRING, format STRING, tables ARRAY<STRUCT<name: STRING, columns: STRING>>"
+PLAIN, GZIP = "none", "gzip"
 
+# A compressed file is read by one task, so none holds more rows.
+GZIP_ROWS = 1_000_000
 
-def write_json(rows: DataFrame, path: str) -> None:
+
+def _writer(rows: DataFrame, compression: str) -> DataFrameWriter:
+    writer = rows.write.mode("overwrite").option("compression", compression)
+    return writer if compression == PLAIN else writer.option("maxRecordsPerFile", GZIP_ROWS)
+
+
+def write_json(rows: DataFrame, path: str, compression: str = PLAIN) -> None:
     """One JSON document per line, nested columns kept, nulls written out."""
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    with freed_shuffles(rows.sparkSession):
+        _writer(rows, compression).option("ignoreNullFields", "false").json(path)
 
 
-def write_csv(pages: DataFrame, path: str) -> bool:
+def write_csv(pages: DataFrame, path: str, compression: str = PLAIN) -> bool:
     """Flat page rows with a header; no rows give a warning and no file."""
     if pages.isEmpty():
         warnings.warn("No data to write to CSV", stacklevel=2)
         return False
-    export_columns(pages).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    _writer(export_columns(pages), compression).option("header", True).option("emptyValue", "").csv(path)
     return True
 
 
-def write_report(lines: DataFrame, path: str) -> None:
+def write_report(lines: DataFrame, path: str, compression: str = PLAIN) -> None:
     """The lines in order; part files sort by name."""
-    lines.orderBy("line_no", "line").select("line").write.mode("overwrite").text(path)
+    _writer(lines.orderBy("line_no", "line").select("line"), compression).text(path)
 
 
 def output_path(folder: str, stamp: str, fmt: str) -> str:
@@ -43,7 +54,7 @@ def output_path(folder: str, stamp: str, fmt: str) -> str:
     return f"{folder.rstrip('/')}/content_{stamp}.{fmt}"
 
 
-def export(tables: dict[str, DataFrame], path: str, fmt: str) -> None:
+def export(tables: dict[str, DataFrame], path: str, fmt: str, compression: str = PLAIN) -> None:
     """Write the tables the format needs below ``path``.
 
     json      ``metadata``, ``sections``, ``section_depths``, ``progress``, ``pages`` and
@@ -52,22 +63,24 @@ def export(tables: dict[str, DataFrame], path: str, fmt: str) -> None:
     report    ``lines``
     analysis  ``trends``, the histograms of types, depths and organisations, and ``reports``
               as one folder each
+
+    With ``compression="gzip"`` the same files end in ``.gz``; Spark reads both.
     """
     if fmt == "json":
         for name in JSON_TABLES:
-            write_json(tables[name], f"{path}/{name}")
+            write_json(tables[name], f"{path}/{name}", compression)
     elif fmt == "csv":
-        write_csv(tables["pages"], path)
+        write_csv(tables["pages"], path, compression)
     elif fmt == "report":
-        write_report(tables["lines"], path)
+        write_report(tables["lines"], path, compression)
     elif fmt == "analysis":
         for name in ANALYSIS_TABLES:
-            write_json(tables[name], f"{path}/{name}")
+            write_json(tables[name], f"{path}/{name}", compression)
     else:
         raise ValueError(f"format must be one of {FORMATS}")
 
 
-def publish(tables: dict[str, DataFrame], path: str, fmt: str) -> str:
+def publish(tables: dict[str, DataFrame], path: str, fmt: str, compression: str = GZIP) -> str:
     """Export into a new run folder below ``path`` and then make it the one that readers open.
 
     The manifest row is written last, so a reader sees all tables of one run: the one before
@@ -77,7 +90,7 @@ def publish(tables: dict[str, DataFrame], path: str, fmt: str) -> str:
     last = _last_run(spark, path)
     number = last["number"] + 1 if last else 1
     folder = f"run-{number}-{uuid.uuid4().hex}"
-    export(tables, f"{path}/{folder}", fmt)
+    export(tables, f"{path}/{folder}", fmt, compression)
     names = {"json": JSON_TABLES, "analysis": ANALYSIS_TABLES}.get(fmt, ())
     columns = [(name, tables[name].schema.toDDL()) for name in names]
     row = spark.createDataFrame([(number, folder, fmt, columns)], MANIFEST)

@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from wayloom.session import freed_shuffles
+
 LEVELS = "path STRING, ord INT, is_new BOOLEAN, depth INT"
 SNAPSHOTS = (
     "pages_processed BIGINT, sections_covered BIGINT, snapshots_due BIGINT, "
@@ -32,10 +34,11 @@ class CrawlState:
         """The rows in ``buckets`` by ``key``. Only a named table remembers its buckets, so it
         has a name until ``release``."""
         table = self._name(name)
-        (
-            rows.write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
-            .option("path", f"{self.path}/{name}").saveAsTable(table)
-        )
+        with freed_shuffles(self.spark):
+            (
+                rows.write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
+                .option("path", f"{self.path}/{name}").saveAsTable(table)
+            )
         return self.spark.table(table)
 
     def reopen(self, name: str, columns: str, key: str, buckets: int) -> DataFrame:
@@ -57,8 +60,14 @@ class CrawlState:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self._tables.clear()
 
+    def clear(self, *names: str) -> None:
+        """Free the files of tables that nothing reads any more."""
+        for name in names:
+            self.spark.range(0).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
     def save(self, name: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        with freed_shuffles(self.spark):
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.load(name, rows.schema)
 
     def load(self, name: str, schema) -> DataFrame:
